@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import mixing, sharding
+from ledgerline.llm import bpe, mixing, sharding, simhash
 from ledgerline.llm.common import own_columns, table
 
 SHARDS = 24
@@ -25,6 +25,25 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public vocabulary files are on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded; digests of both."""
+    out = bpe.encode(own_columns(table(spark, sf_dir, "documents"), ["doc_id", "text"]), tokenizer_path())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    out = simhash.near_duplicates(own_columns(table(spark, sf_dir, "documents"), ["doc_id", "text"]))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 #: CRC-32 by its definition: a table of 256 entries by eight shifts each, then one step a byte.
 _CRC_SQL = """
 crc_table AS (
@@ -94,7 +113,12 @@ FROM placed
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The contract queries by name."""
-    return {"op1_sharding": op1_sharding, "op8_mixing": op8_mixing}
+    return {
+        "op1_sharding": op1_sharding,
+        "op5_bpe": op5_bpe,
+        "op8_mixing": op8_mixing,
+        "op9_simhash": op9_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
