@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, mixing, sharding, simhash
+from ledgerline.llm import bpe, mixing, sharding, simhash, urls
 from ledgerline.llm.common import own_columns, table
 
 SHARDS = 24
@@ -44,6 +44,39 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Rules of the url query: verdict, then host and path prefix.
+RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules; urls that no rule fits aren't listed and so allowed."""
+    out = urls.judge(own_columns(table(spark, sf_dir, "pages"), ["page_id", "url"]), RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP10_SQL = """
+WITH rules(verdict, key) AS (VALUES {rules}),
+parts AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+         row_number() OVER () AS n
+  FROM pages),
+fits AS (
+  SELECT n, arg_min(key, (-length(key), key)) AS rule, arg_min(verdict, (-length(key), key)) AS verdict
+  FROM parts JOIN rules
+    ON ends_with('.' || host, '.' || split_part(key, '/', 1)) AND starts_with(path, substr(key, strpos(key, '/')))
+  WHERE host <> '' GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (n)
+""".replace("{rules}", ", ".join(f"('{v}', '{k}')" for v, k in RULES))
+
+
 #: CRC-32 by its definition: a table of 256 entries by eight shifts each, then one step a byte.
 _CRC_SQL = """
 crc_table AS (
@@ -118,9 +151,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bpe": op5_bpe,
         "op8_mixing": op8_mixing,
         "op9_simhash": op9_simhash,
+        "op10_url_filter": op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for those of them that SQL can express."""
-    return {"op1_sharding": OP1_SQL, "op8_mixing": OP8_SQL}
+    return {"op1_sharding": OP1_SQL, "op8_mixing": OP8_SQL, "op10_url_filter": OP10_SQL}
