@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, mixing, sharding, simhash, urls
+from ledgerline.llm import ann, bpe, innerproduct, mixing, sharding, simhash, urls
 from ledgerline.llm.common import own_columns, table
 
 SHARDS = 24
@@ -44,6 +44,30 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest found for every hundredth vector among all others."""
+    rows = own_columns(table(spark, sf_dir, "embeddings"), ["vec_id", "embedding"])
+    return ann.search(rows, F.col("vec_id") % 100 == 0, 10)
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every twentieth vector with all others."""
+    rows = own_columns(table(spark, sf_dir, "embeddings"), ["vec_id", "embedding"])
+    return innerproduct.top_k(rows, F.col("vec_id") % 20 == 0, 20)
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""
+
 #: Rules of the url query: verdict, then host and path prefix.
 RULES = [
     ("allow", "com/"),
@@ -148,7 +172,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The contract queries by name."""
     return {
         "op1_sharding": op1_sharding,
+        "op3_ann": op3_ann,
         "op5_bpe": op5_bpe,
+        "op7_topk": op7_topk,
         "op8_mixing": op8_mixing,
         "op9_simhash": op9_simhash,
         "op10_url_filter": op10_url_filter,
@@ -157,4 +183,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for those of them that SQL can express."""
-    return {"op1_sharding": OP1_SQL, "op8_mixing": OP8_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_sharding": OP1_SQL, "op7_topk": OP7_SQL, "op8_mixing": OP8_SQL, "op10_url_filter": OP10_SQL}
