@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import ann, bpe, innerproduct, mixing, sharding, simhash, urls
+from ledgerline.llm import ann, bpe, innerproduct, mixing, pii, sharding, simhash, urls
 from ledgerline.llm.common import own_columns, table
 
 SHARDS = 24
@@ -50,6 +50,11 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, F.col("vec_id") % 100 == 0, 10)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced, and how many values that were."""
+    return pii.pseudonymise(own_columns(table(spark, sf_dir, "documents"), ["doc_id", "text"]))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest integer inner products of every twentieth vector with all others."""
     rows = own_columns(table(spark, sf_dir, "embeddings"), ["vec_id", "embedding"])
@@ -174,6 +179,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op3_ann": op3_ann,
         "op5_bpe": op5_bpe,
+        "op6_pii": op6_pii,
         "op7_topk": op7_topk,
         "op8_mixing": op8_mixing,
         "op9_simhash": op9_simhash,
