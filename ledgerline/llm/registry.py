@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import ann, bpe, innerproduct, mixing, pii, sharding, simhash, urls
+from ledgerline.llm import ann, bpe, innerproduct, licenses, mixing, pii, sharding, simhash, urls
 from ledgerline.llm.common import own_columns, table
 
 SHARDS = 24
@@ -32,6 +32,46 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scanned for license phrases and templates."""
+    return licenses.scan(own_columns(table(spark, sf_dir, "documents"), ["doc_id", "text"])).drop("spans")
+
+
+#: The templates as patterns over words with one space between: the same language, for SQL.
+_TEMPLATE_SQL = {
+    "apache-2.0": "licensed under the apache license (version )?2 0",
+    "mit-notice": "(released )?(distributed )?under the (terms of the )?mit license",
+    "gpl-3.0": "(this work is )?licensed under the gnu general public license (version )?3",
+    "cc-by-nc-4.0": "licensed under (the )?(creative commons )?(attribution noncommercial )?cc by nc 4 0",
+    "cc-by-4.0": "licensed under (the )?(creative commons )?cc by 4 0",
+    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of ([^ ]+ ){0,6}and associated documentation files",
+    "bsd-terms": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "copyright-notice": "copyright (c )?([^ ]+ ){0,8}all rights reserved",
+}
+
+OP4_SQL = """
+WITH worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+lined AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS line FROM worded),
+placed AS (
+  SELECT *,
+    list_filter(range(len(w)), lambda i: w[i + 1] = 'mit' AND w[i + 2] = 'license') AS mit,
+    list_filter(range(len(w)), lambda i: w[i + 1] = 'apache' AND w[i + 2] = 'license') AS apache,
+    list_filter(range(len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS gpl,
+    list_filter([{templates}], lambda x: x IS NOT NULL) AS extra
+  FROM lined),
+joined AS (
+  SELECT *, list_concat(mit, apache, gpl) AS places,
+    list_filter([CASE WHEN len(mit) > 0 THEN 'mit' END, CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END], lambda x: x IS NOT NULL) AS base
+  FROM placed)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
+       array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, extra))), ',') AS labels,
+       CASE WHEN len(extra) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM joined
+""".replace("{templates}", ", ".join(f"CASE WHEN regexp_matches(line, ' {p} ') THEN '{label}' END" for label, p in _TEMPLATE_SQL.items()))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded; digests of both."""
     out = bpe.encode(own_columns(table(spark, sf_dir, "documents"), ["doc_id", "text"]), tokenizer_path())
@@ -178,6 +218,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op3_ann": op3_ann,
+        "op4_licenses": op4_licenses,
         "op5_bpe": op5_bpe,
         "op6_pii": op6_pii,
         "op7_topk": op7_topk,
@@ -189,4 +230,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for those of them that SQL can express."""
-    return {"op1_sharding": OP1_SQL, "op7_topk": OP7_SQL, "op8_mixing": OP8_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_sharding": OP1_SQL, "op4_licenses": OP4_SQL, "op7_topk": OP7_SQL, "op8_mixing": OP8_SQL, "op10_url_filter": OP10_SQL}
