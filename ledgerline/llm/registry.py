@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import ann, bpe, innerproduct, licenses, mixing, pii, sharding, simhash, urls
+from ledgerline.llm import ann, bpe, innerproduct, licenses, mixing, pii, quality, sharding, simhash, urls
 from ledgerline.llm.common import own_columns, table
 
 SHARDS = 24
@@ -84,6 +84,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labels that aren't held out."""
+    docs = own_columns(table(spark, sf_dir, "documents"), ["doc_id", "text"])
+    network = quality.fit(docs, own_columns(table(spark, sf_dir, "labels"), ["doc_id", "quality"]))
+    out = quality.score(docs, network)
+    return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest found for every hundredth vector among all others."""
     rows = own_columns(table(spark, sf_dir, "embeddings"), ["vec_id", "embedding"])
@@ -217,6 +225,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The contract queries by name."""
     return {
         "op1_sharding": op1_sharding,
+        "op2_quality": op2_quality,
         "op3_ann": op3_ann,
         "op4_licenses": op4_licenses,
         "op5_bpe": op5_bpe,
