@@ -26,8 +26,10 @@ PASSAGE, PIECE = 100, 1 << 20
 PER_CLASS, FIT_PASSAGES = 3000, 64
 EMBED, GATE, EPOCHS, SEED = 24, 12, 240, 11
 
-#: Kinds of bytes whose shares are features; the rest is one more kind.
-KINDS = (b"aeiou", b"bcdfghjklmnpqrstvwxyz", b"AEIOUBCDFGHJKLMNPQRSTVWXYZ", b"0123456789", b" ", b"\n", b"\t\r\x0b\x0c", b".", b",", b"!", b"?", b"'\"", b"#", b"$", b"%", b"&", b"*", b"|", b"@", b"/\\", b":;", b"-", b"_", b"()[]{}", b"<>", b"=+~^`", bytes(range(128, 256)))
+#: Kinds of bytes whose shares are features; the rest is one more kind.  Letters are not told apart, nor those
+#: beyond ASCII from a-z, so that no language looks better than another.
+LOWER = b"abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
+KINDS = (LOWER, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b"\t\r\x0b\x0c", b".", b",", b"!", b"?", b"'\"", b"#", b"$", b"%", b"&", b"*", b"|", b"@", b"/\\", b":;", b"-", b"_", b"()[]{}", b"<>", b"=+~^`")
 _KIND = np.full(256, len(KINDS), np.uint8)
 for _k, _bytes in enumerate(KINDS):
     _KIND[list(_bytes)] = _k
@@ -100,8 +102,8 @@ def encode(texts: list[bytes], passage: int = PASSAGE) -> tuple[np.ndarray, np.n
         return (total_[stop] - total_[start]).astype(np.float64)
 
     kind = _KIND[data]
-    upper, letters = sums(kind == 2), sums(kind <= 2)
-    marks = sums((kind >= 7) & (kind < len(KINDS) - 1))
+    upper, letters = sums(kind == 1), sums(kind <= 1)
+    marks = sums((kind >= 6) & (kind < len(KINDS)))
     known = np.sort((at.astype(np.uint64) << np.uint64(36)) | (hashed >> np.uint64(28)))
     fresh = np.ones(len(known), bool)
     fresh[1:] = known[1:] != known[:-1]
