@@ -54,27 +54,32 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: fl
     return t.withColumn("target", target).select("_null", "_source", "source_size", "target")
 
 
+def checksum() -> Column:
+    """CRC-32 of the text column; null counts as empty."""
+    return F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+
+
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """How much of every document the mix takes.
 
     Returns doc_id, size (words), source_size, target (both of its source), copies (whole repetitions),
-    extra (words of one more repetition, below size) and taken (copies x size + extra).  Defined results:
+    extra (words of one more repetition, below size) and taken (copies x size + extra), and what the row was
+    known by (_null, _source, _crc).  Defined results:
     a null text is empty; an empty document is taken 0 words and one copy for each whole repetition;
     a null source is a source of its own, last in order; a source without words has target 0; repeated
     rows each count; an empty table gives no rows; further columns are not looked at.
     """
     rows = documents.count()
     buckets = unit_buckets(rows)
-    text = F.coalesce(F.col("text"), F.lit(""))
     slim = documents.select(
         F.col("doc_id"),
         word_count(F.col("text")).alias("size"),
         F.col("source").isNull().alias("_null"),
         F.coalesce(F.col("source"), F.lit("")).alias("_source"),
-        F.crc32(text.cast("binary")).alias("_crc"),
+        checksum().alias("_crc"),
     )
     key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("_crc").cast("string"))
-    slim = slim.withColumn("_h", F.md5(key)).withColumn("_b", (F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)).cast("int")).drop("_crc")
+    slim = slim.withColumn("_h", F.md5(key)).withColumn("_b", (F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)).cast("int"))
     sizes = targets(slim.groupBy("_null", "_source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
     order = [F.col("_h"), F.col("doc_id"), F.col("size")]
     placed = running_totals(slim, ["_null", "_source"], "_b", order, F.col("size"), "_before")
@@ -86,4 +91,19 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: fl
     full = (F.col("extra") == F.col("size")) & (F.col("size") > 0)
     out = out.withColumn("taken", F.col("copies") * F.col("size") + F.col("extra"))
     out = out.withColumn("copies", F.col("copies") + full.cast("long")).withColumn("extra", F.when(full, F.lit(0)).otherwise(F.col("extra")).cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", "copies", "extra", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "copies", "extra", "taken", "_null", "_source", "_crc")
+
+
+def sampled(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """The mix itself: every document as often as the mix takes it, in the columns of ``documents``.
+
+    A document that is taken in part counts as one more copy if at least half of it is.  Repeated rows (equal
+    id, text and source) share what they are taken together, rounded to the nearest for each.
+    """
+    share = mix(documents, weights, max_epochs, seed).withColumn("_times", F.col("copies") + ((F.col("extra") > 0) & (F.col("extra") * 2 >= F.col("size"))).cast("long"))
+    keys = [F.coalesce(F.col("doc_id"), F.lit(0)).alias("_i"), F.col("doc_id").isNull().alias("_j"), "_null", "_source", "_crc"]
+    share = share.groupBy(*keys).agg(F.round(F.avg("_times")).cast("int").alias("_times")).filter("_times > 0")
+    own = [F.col(f"`{c}`") for c in documents.columns]
+    rows = documents.select(*own, F.coalesce(F.col("doc_id"), F.lit(0)).alias("_i"), F.col("doc_id").isNull().alias("_j"), F.col("source").isNull().alias("_null"), F.coalesce(F.col("source"), F.lit("")).alias("_source"), checksum().alias("_crc"))
+    taken = rows.join(share, ["_i", "_j", "_null", "_source", "_crc"])
+    return taken.select(*own, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")

@@ -161,7 +161,7 @@ def train(x: np.ndarray, owner: np.ndarray, labels: np.ndarray, weight: np.ndarr
     """Fit by Adam on the weighted cross entropy of document labels, all gradients written out."""
     rng = np.random.default_rng(seed)
     n, begin = len(labels), np.searchsorted(owner, np.arange(len(labels)))
-    mean, scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-3
+    mean, scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-2
     data = ((x - mean) / scale).clip(-6, 6)
     draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
     w = {"W": draw(x.shape[1], EMBED), "b": np.zeros(EMBED), "V": draw(EMBED, GATE), "U": draw(EMBED, GATE), "w": draw(GATE), "c": draw(EMBED), "d": np.zeros(1)}
