@@ -22,18 +22,28 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a leaf of a text and of an unsplit run; words of up to KEPT bytes are remembered, up to TABLE of them.
+#: Bytes of a leaf of a text and of an unsplit run; words of up to KEPT bytes are remembered, up to TABLE of them
+#: and TABLE parts of words.
 TEXT_LEAF, RUN_LEAF, KEPT, TABLE = 16_384, 512, 64, 250_000
 #: Rows and bytes of text that are encoded before they are handed on.
 ROWS, BYTES = 512, 4 << 20
 SPACE = b" \t\n\x0b\x0c\r"
 
+#: The tokenizer pattern and normaliser whose effect on plain words is worked out here, and what
+#: plain words are made of (printable ASCII and the letters of Latin-1, in UTF-8).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALISERS = ["NFC", "Replace", "Lowercase"]
+PLAIN = re.compile(rb"(?:[\x21-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+PLAIN_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-z0-9ß-öø-ÿ\n]+")
+
 SCHEMA = "n_tokens long, ids binary, decoded string"
 
 
@@ -45,6 +55,16 @@ def tree(leaves: list, join: Callable):
     return leaves[0]
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return array("I", ids).tobytes() if sys.byteorder == "little" else b"".join(i.to_bytes(4, "little") for i in ids)
+
+
+def unpacked(data: bytes) -> array | list[int]:
+    """Ids of what ``packed`` gave."""
+    return array("I", data) if sys.byteorder == "little" else [int.from_bytes(data[k : k + 4], "little") for k in range(0, len(data), 4)]
+
+
 class Codec:
     """The encoder of one worker, made from the text of a tokenizer file."""
 
@@ -62,35 +82,73 @@ class Codec:
         self.spelt = [x.encode() for x in self.token]
         self.mark = model.get("end_of_word_suffix") or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        # The bare model, over strings that have one symbol a byte: with and without the mark at the end.
+        # The bare model, over strings that have one symbol a byte: with and (made when needed) without the mark.
         self.closed = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.mark or None))
-        self.open = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges))
+        self._open = None
+        self.source = tokenizer_json
         special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        # A word of the usual characters is split here, as the tokenizer's own pattern would; the parts of all
+        # words, which are far fewer than the words, go to the bare model.
+        split = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        usual = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])] == NORMALISERS
+        self.plain = usual and [p.get("type") for p in split] == ["Split", "ByteLevel"] and split[0]["pattern"] == {"Regex": PATTERN} and bool(self.mark) and all("<|" in t["content"] for t in spec.get("added_tokens", []))
+        # One symbol for each byte: printable ones stand for themselves, the others follow from 256 on.
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in kept]
+        self.symbols = {b: 256 + k for k, b in enumerate(others)}
+        self.parts: dict[str, bytes] = {}
         self.ids: dict[bytes, bytes] = {}
-        self.dec: dict[bytes, bytes] = {}
+
+    @property
+    def open(self):
+        """The bare model without the word-end mark."""
+        if self._open is None:
+            from tokenizers import Tokenizer, models
+
+            model = json.loads(self.source)["model"]
+            merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+            self._open = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges))
+        return self._open
 
     # -- words -------------------------------------------------------------------------------------
 
     def learn(self, words: set[bytes]) -> None:
         """Encode the words that the table lacks, in one parallel call; long unsplit ones by their own tree."""
         new = [w for w in words if w not in self.ids]
-        short = [w for w in new if len(w) <= self.run_leaf]
-        found = self.full.encode_batch_fast([w.decode() for w in short], add_special_tokens=False) if short else []
-        for w, e in zip(short, found, strict=True):
-            self._put(w, e.ids)
+        plain, short = [], []
         for w in new:
             if len(w) > self.run_leaf:
-                self._put(w, self.long_word(w.decode()))
-
-    def _put(self, word: bytes, ids: list[int]) -> None:
-        self.ids[word] = b"".join([i.to_bytes(4, "little") for i in ids])
-        self.dec[word] = b" ".join([self.spelt[i] for i in ids])
+                self.ids[w] = packed(self.long_word(w.decode()))
+            elif self.plain and PLAIN.fullmatch(w) and b"<|" not in w:
+                plain.append(w)
+            else:
+                short.append(w)
+        # All plain words in one string: split, and looked up part by part.
+        found = PLAIN_PARTS.findall(b"\n".join(plain).decode().lower()) if plain else []
+        parts = self.parts
+        fresh = list({p for p in found if p not in parts and p != "\n"})
+        encoded = self.closed.encode_batch_fast([p if p.isascii() else p.encode().decode("latin-1").translate(self.symbols) for p in fresh], add_special_tokens=False)
+        for p, e in zip(fresh, encoded, strict=True):
+            parts[p] = packed(e.ids)
+        ids, k = b"", 0
+        for p in found:
+            if p == "\n":
+                self.ids[plain[k]] = ids
+                ids, k = b"", k + 1
+            else:
+                ids += parts[p]
+        if plain:
+            self.ids[plain[k]] = ids
+        for w, e in zip(short, self.full.encode_batch_fast([w.decode() for w in short], add_special_tokens=False), strict=True):
+            self.ids[w] = packed(e.ids)
+        if len(parts) > TABLE:
+            parts.clear()
 
     def forget_long(self) -> None:
         """Drop the words too long to be worth keeping."""
         for w in [w for w in self.ids if len(w) > KEPT]:
-            del self.ids[w], self.dec[w]
+            del self.ids[w]
 
     # -- long unsplit runs -------------------------------------------------------------------------
 
@@ -167,7 +225,6 @@ class Codec:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of every text."""
         if len(self.ids) > TABLE:
             self.ids.clear()
-            self.dec.clear()
         trees, words = [], set()
         for text in texts:
             data = (text or "").encode()
@@ -181,9 +238,10 @@ class Codec:
         out = []
         for leaves in trees:
             part = tree(leaves, self.join_texts)[0]
-            self.learn({w for w in part if w not in self.ids})
-            ids, dec = self.ids, self.dec
-            out.append((b"".join([ids[w] for w in part]), b" ".join([d for w in part if (d := dec[w])])))
+            if len(leaves) > 1:  # words that came about where leaves meet
+                self.learn(set(part).difference(self.ids))
+            ids = b"".join(map(self.ids.__getitem__, part))
+            out.append((ids, b" ".join(map(self.spelt.__getitem__, unpacked(ids)))))
         self.forget_long()
         return out
 
