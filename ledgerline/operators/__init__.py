@@ -1 +1 @@
-"""Operators of the engine."""
+"""Operators: DataFrame in, DataFrame out."""
