@@ -23,12 +23,12 @@ def resolved(df: DataFrame, registry: DataFrame, email: str, name: str, prefix:
     """
     rows = registry.count()
     known = F.struct("canonical_id", "name", "org")
-    by_mail = registry.select(F.explode("emails").alias("_k"), known.alias("_m")).groupBy(F.lower(F.trim("_k")).alias("_ek")).agg(F.min("_m").alias("_mail"))
-    by_name = registry.groupBy(F.lower(F.trim("name")).alias("_nk")).agg(F.min(known).alias("_name"))
-    out = df.join(_sized(by_mail, rows), F.lower(F.trim(email)) == F.col("_ek"), "left").join(_sized(by_name, rows), F.lower(F.trim(name)) == F.col("_nk"), "left")
-    hit = F.coalesce("_mail", "_name")
+    by_mail = registry.select(F.explode("emails").alias("_reg_key"), known.alias("_reg_row")).groupBy(F.lower(F.trim("_reg_key")).alias("_reg_mail_key")).agg(F.min("_reg_row").alias("_reg_by_mail"))
+    by_name = registry.groupBy(F.lower(F.trim("name")).alias("_reg_name_key")).agg(F.min(known).alias("_reg_by_name"))
+    out = df.join(_sized(by_mail, rows), F.lower(F.trim(email)) == F.col("_reg_mail_key"), "left").join(_sized(by_name, rows), F.lower(F.trim(name)) == F.col("_reg_name_key"), "left")
+    hit = F.coalesce("_reg_by_mail", "_reg_by_name")
     out = out.withColumn(f"{prefix}_name", F.coalesce(hit["name"], F.col(name))).withColumn(f"{prefix}_org", F.coalesce(hit["org"], F.lit("Unknown"))).withColumn(f"{prefix}_resolved", hit.isNotNull())
-    return out.drop("_ek", "_nk", "_mail", "_name")
+    return out.drop("_reg_mail_key", "_reg_name_key", "_reg_by_mail", "_reg_by_name")
 
 
 def listed(text: Column) -> Column:

@@ -30,15 +30,25 @@ BATCH = 40
 #: Speech acts of this front end (another set than that of the statements).
 ACTS = ("statement", "proposal", "agreement", "decision", "report_of_decision", "question", "action_item", "other")
 
-_BY = Window.partitionBy("doc_id")
-_ORDER = _BY.orderBy("line_no")
+
+def _by():
+    return Window.partitionBy("doc_id")
+
+
+def _order():
+    return _by().orderBy("line_no")
+
+
+def _so_far():
+    return _order().rowsBetween(Window.unboundedPreceding, 0)
+
 
 
 def transcript_meta(lines: DataFrame) -> DataFrame:
     """doc_id, meta, participants (attendees split at every comma) and content_start (line after the first blank one after Attendees)."""
     t = lines.withColumn("t", strip(F.col("text"))).withColumn("k", F.regexp_extract("t", HEADER, 1)).withColumn("v", F.trim(F.regexp_extract("t", HEADER, 2)))
-    t = t.withColumn("listed", F.min(F.when(F.col("k") == "Attendees", F.col("line_no"))).over(_BY)).withColumn("last", F.max("line_no").over(_BY))
-    t = t.withColumn("blank", F.min(F.when((F.col("t") == "") & (F.col("line_no") > F.col("listed")), F.col("line_no"))).over(_BY))
+    t = t.withColumn("listed", F.min(F.when(F.col("k") == "Attendees", F.col("line_no"))).over(_by())).withColumn("last", F.max("line_no").over(_by()))
+    t = t.withColumn("blank", F.min(F.when((F.col("t") == "") & (F.col("line_no") > F.col("listed")), F.col("line_no"))).over(_by()))
     t = t.withColumn("content_start", F.coalesce(F.col("blank") + 1, F.col("last") + 1))
     keyed = t.filter((F.col("k") != "") & (F.col("line_no") < F.col("content_start"))).groupBy("doc_id", "k").agg(F.max_by("v", "line_no").alias("v"))
     meta = keyed.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("meta"))
@@ -55,13 +65,12 @@ def utterances(lines: DataFrame) -> DataFrame:
     t = lines.join(transcript_meta(lines).select("doc_id", "content_start"), "doc_id").withColumn("t", strip(F.col("text")))
     content = F.col("line_no") >= F.col("content_start")
     t = t.withColumn("mark", content & F.col("t").rlike(MARKER)).withColumn("speaker", F.trim(F.regexp_extract("t", MARKER, 1)))
-    full = (F.lag("t", 3).over(_ORDER) == F.col("speaker")) & F.lag("t", 2).over(_ORDER).rlike(DOUBLED) & F.lag("t", 1).over(_ORDER).rlike(INITIALS)
+    full = (F.lag("t", 3).over(_order()) == F.col("speaker")) & F.lag("t", 2).over(_order()).rlike(DOUBLED) & F.lag("t", 1).over(_order()).rlike(INITIALS)
     wide = F.col("mark") & F.coalesce(full, F.lit(False)) & (F.col("line_no") - 3 >= F.col("content_start"))
     seconds = F.coalesce(F.nullif(F.regexp_extract("t", MARKER, 3), F.lit("")).cast("int"), F.lit(0))
     t = t.withColumn("wide", wide).withColumn("time", F.format_string("%d:%02d", F.regexp_extract("t", MARKER, 2).try_cast("int"), seconds))
-    so_far = _ORDER.rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("n", F.sum(F.col("mark").cast("int")).over(so_far) - 1)
-    t = t.withColumn("head", F.coalesce(F.bool_or("wide").over(_ORDER.rowsBetween(1, 3)), F.lit(False)))
+    t = t.withColumn("n", F.sum(F.col("mark").cast("int")).over(_so_far()) - 1)
+    t = t.withColumn("head", F.coalesce(F.bool_or("wide").over(_order().rowsBetween(1, 3)), F.lit(False)))
     of = Window.partitionBy("doc_id", "n")
     t = t.withColumn("last_line", F.max(F.when(~F.col("head"), F.col("line_no"))).over(of)).withColumn("first_line", F.min(F.when(F.col("mark"), F.col("line_no"))).over(of) + 1)
     rows = t.filter("n >= 0")
@@ -100,8 +109,8 @@ def messages(lines: DataFrame, banner: str = BANNER) -> DataFrame:
     placeholders (which are noted); it ends before a closing phrase or a line that is just the sender's name.
     """
     t = lines.withColumn("t", strip(F.col("text"))).withColumn("begins", F.col("t").rlike(FROM))
-    n = F.sum(F.col("begins").cast("int")).over(_ORDER.rowsBetween(Window.unboundedPreceding, 0))
-    t = t.withColumn("_some", F.bool_or("begins").over(_BY)).filter("_some").withColumn("n", F.greatest(n, F.lit(1)) - 1)
+    n = F.sum(F.col("begins").cast("int")).over(_order().rowsBetween(Window.unboundedPreceding, 0))
+    t = t.withColumn("_some", F.bool_or("begins").over(_by())).filter("_some").withColumn("n", F.greatest(n, F.lit(1)) - 1)
     block = Window.partitionBy("doc_id", "n").orderBy("line_no")
     so_far = block.rowsBetween(Window.unboundedPreceding, 0)
     shapes = {"subject": r"^Subject:\s*(.*)$", "date": r"^(?:Date|Sent):\s*(.+)$", "to": r"^To:\s*(.*)$", "cc": r"^Cc:\s*(.*)$", "from": FROM, "count": r"^Messages in thread:\s*(\d+)$"}

@@ -5,8 +5,35 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_SIMPLE = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "boolean": T.BooleanType(), "date": T.DateType(), "double": T.DoubleType()}
+
+
+def _parts(text: str) -> list[str]:
+    """Parts between commas that aren't inside angle brackets."""
+    out, depth, at = [], 0, 0
+    for i, c in enumerate(text):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append(text[at:i].strip())
+            at = i + 1
+    return [*out, text[at:].strip()]
+
+
+def _type(text: str) -> T.DataType:
+    kind, _, inner = text.strip().partition("<")
+    if not inner:
+        return _SIMPLE[kind]
+    inner = inner[:-1]
+    if kind == "array":
+        return T.ArrayType(_type(inner))
+    if kind == "map":
+        return T.MapType(*map(_type, _parts(inner)))
+    return T.StructType([T.StructField(n.strip(), _type(t)) for n, _, t in (p.partition(":") for p in _parts(inner))])
+
+
 def _schema(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)
+    """A schema from its text, without a session (Spark's own parser needs one)."""
+    return T.StructType([T.StructField(n, _type(t)) for n, _, t in (p.partition(" ") for p in _parts(ddl))])
 
 
 ACTS = ("proposal", "agreement", "decision", "report", "question", "objection")

@@ -48,7 +48,7 @@ class HoldBack:
 def held_back(chunks: DataFrame) -> DataFrame:
     """Tokens of a stream of chunks: (request, seq, chunk, last) to (request, seq, text, complete).
 
-    One row out for each chunk in, in order of ``seq`` within a micro-batch; ``complete`` (the whole reply)
+    The request comes out as text.  One row out for each chunk in, in order of ``seq`` within a micro-batch; ``complete`` (the whole reply)
     is set on the last.  State per request is the text so far.  Chunks of a request must arrive in order.
     """
 
@@ -60,7 +60,7 @@ def held_back(chunks: DataFrame) -> DataFrame:
             text = h.feed(chunk or "")
             if last:
                 text += h.finish()
-            out.append((key[0], seq, text, h.buffer if last else None))
+            out.append((str(key[0]), seq, text, h.buffer if last else None))
         if rows["last"].any():
             state.remove()
         else:
