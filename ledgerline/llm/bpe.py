@@ -21,6 +21,7 @@ No shuffle: texts are encoded where they are read.
 from __future__ import annotations
 
 import json
+import os
 import re
 import sys
 from array import array
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of a leaf of a text and of an unsplit run; words of up to KEPT bytes are remembered, up to TABLE of them
 #: and TABLE parts of words.
-TEXT_LEAF, RUN_LEAF, KEPT, TABLE = 16_384, 512, 64, 250_000
+TEXT_LEAF, RUN_LEAF, KEPT, TABLE = 16_384, 512, 48, 200_000
 #: Rows and bytes of text that are encoded before they are handed on.
-ROWS, BYTES = 512, 4 << 20
+ROWS, BYTES = 256, 1 << 20
 SPACE = b" \t\n\x0b\x0c\r"
 
 #: The tokenizer pattern and normaliser whose effect on plain words is worked out here, and what
@@ -55,6 +56,11 @@ def tree(leaves: list, join: Callable):
     return leaves[0]
 
 
+def sliced(items: list, size: int = 2048) -> Iterator[list]:
+    """A list in slices: what the library makes of one is freed before the next."""
+    return (items[k : k + size] for k in range(0, len(items), size))
+
+
 def packed(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
     return array("I", ids).tobytes() if sys.byteorder == "little" else b"".join(i.to_bytes(4, "little") for i in ids)
@@ -128,9 +134,9 @@ class Codec:
         found = PLAIN_PARTS.findall(b"\n".join(plain).decode().lower()) if plain else []
         parts = self.parts
         fresh = list({p for p in found if p not in parts and p != "\n"})
-        encoded = self.closed.encode_batch_fast([p if p.isascii() else p.encode().decode("latin-1").translate(self.symbols) for p in fresh], add_special_tokens=False)
-        for p, e in zip(fresh, encoded, strict=True):
-            parts[p] = packed(e.ids)
+        for some in sliced(fresh):
+            for p, e in zip(some, self.closed.encode_batch_fast([p if p.isascii() else p.encode().decode("latin-1").translate(self.symbols) for p in some], add_special_tokens=False), strict=True):
+                parts[p] = packed(e.ids)
         ids, k = b"", 0
         for p in found:
             if p == "\n":
@@ -140,8 +146,9 @@ class Codec:
                 ids += parts[p]
         if plain:
             self.ids[plain[k]] = ids
-        for w, e in zip(short, self.full.encode_batch_fast([w.decode() for w in short], add_special_tokens=False), strict=True):
-            self.ids[w] = packed(e.ids)
+        for some in sliced(short):
+            for w, e in zip(some, self.full.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                self.ids[w] = packed(e.ids)
         if len(parts) > TABLE:
             parts.clear()
 
@@ -285,6 +292,9 @@ def encode(documents: DataFrame, tokenizer: str, text: str = "text", text_leaf:
     own = [c for c in keep if c != text]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Leaves are encoded side by side by the library's threads; each thread keeps memory of its own, so a
+        # task starts few of them.  Spark's tasks are what fills the cores.
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")
         codec = Codec(shared.value, text_leaf, run_leaf)
         for batch in batches:
             start = 0
