@@ -9,42 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.functions.text import tokens
 
 
-def find_start(text: Column, wanted: Column) -> Column:
-    """0-based place of the first verbatim occurrence of one collapsed text in another, or null.
-
-    In the JVM: occurrences are looked for one after another until one has both its edges outside of tokens
-    (words, or words and numbers joined by a single . or ,).
-    """
-    return F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text))),
-        F.struct(F.lit(1).alias("from"), F.lit(None).cast("int").alias("hit"), F.lit(False).alias("over")),
-        lambda s, _: F.when(s["over"], s).otherwise(_next_hit(text, wanted, s)),
-        lambda s: s["hit"],
-    )
-
-
-def _next_hit(text: Column, wanted: Column, state: Column) -> Column:
-    at = F.call_function("locate", wanted, text, state["from"])
-    whole = (at > 0) & ~inside_token(text, at - 1) & ~inside_token(text, at - 1 + F.length(wanted))
-    return F.struct((at + 1).alias("from"), F.when(whole, at - 1).alias("hit"), ((at == 0) | whole).alias("over"))
-
-
-def inside_token(text: Column, place: Column) -> Column:
-    """Whether a 0-based place is strictly inside a token: two characters on each side tell."""
-    before = F.when(place >= 2, F.substring(text, place - 1, F.lit(2))).otherwise(F.substring(text, F.lit(1), place))
-    after = F.substring(text, place + 1, F.lit(2))
-    over_word = before.rlike(r"(?U)\w$") & after.rlike(r"(?U)^(?:\w|[.,]\w)")
-    over_mark = before.rlike(r"(?U)\w[.,]$") & after.rlike(r"(?U)^\w")
-    return over_word | over_mark
-
-
 def find_spans(pairs: DataFrame, lines: str = "lines", span: str = "span", name: str = "match") -> DataFrame:
     """Add ``match``: struct of first_line, last_line, position and text of the span in the row's lines, or null.
 
@@ -102,23 +73,48 @@ def _located(lines, span: str | None) -> tuple:
     return none
 
 
-def contained(texts: DataFrame, wanted: DataFrame, text: str, item: str) -> DataFrame:
+@F.pandas_udf(T.IntegerType())
+def _start_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, items in batches:
+        yield pd.Series([_start(t, i) for t, i in zip(texts, items, strict=True)], dtype="Int32")
+
+
+def _start(text: str | None, item: str | None) -> int | None:
+    """0-based place of the first occurrence whose edges cut no token."""
+    at = text.find(item) if text and item else -1
+    while at >= 0:
+        if not _inside_token(text, at) and not _inside_token(text, at + len(item)):
+            return at
+        at = text.find(item, at + 1)
+    return None
+
+
+def _inside_token(text: str, place: int) -> bool:
+    """Whether a place is strictly inside a token: two characters on each side tell."""
+    import re
+
+    before, after = text[max(0, place - 2) : place], text[place : place + 2]
+    if re.search(r"\w$", before):
+        return bool(re.match(r"\w|[.,]\w", after))
+    return bool(re.search(r"\w[.,]$", before) and re.match(r"\w", after))
+
+
+def contained(texts: DataFrame, wanted: DataFrame, text: str, item: str, key: str) -> DataFrame:
     """All pairs in which an item stands verbatim in a text (both collapsed), with its 0-based start.
 
-    A containment join has no equal key, so one is made: no token may be cut at an item's edges, so all tokens
-    of an item are tokens of the text.  Token counts are combined before the shuffle; texts meet items on the
-    item's rarest token alone, and only then is the substring looked for.  Items without any token (marks
-    only) are few and compared with all texts.
+    ``key`` names a text.  A containment join has no equal key, so one is made: no token may be cut at an
+    item's edges, so all tokens of an item are tokens of the text.  Token counts are combined before the
+    shuffle; texts meet items on the item's rarest token alone, as bare (key, token) rows, and only pairs that
+    meet are fetched and searched.  Items without any token (marks only) are few and compared with all texts.
     """
     words = lambda c: F.array_distinct(tokens(F.col(c)))
     asked = wanted.filter(F.col(item) != "").withColumn("_words", words(item))
-    held_words = texts.withColumn("_words", words(text))
-    vocabulary = asked.select(F.explode("_words").alias("_w")).distinct()
-    counted = held_words.select(F.explode("_words").alias("_w")).join(vocabulary, "_w", "left_semi").groupBy("_w").count()
-    ranked = asked.select(item, F.explode("_words").alias("_w")).distinct().join(counted, "_w", "left")
-    rarest = ranked.groupBy(item).agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), F.col("_w"))).alias("_r")).select(item, F.col("_r._w").alias("_w"))
-    keyed = asked.drop("_words").join(rarest, item)
-    met = held_words.withColumn("_w", F.explode("_words")).drop("_words").join(keyed, "_w").drop("_w")
-    bare = texts.crossJoin(asked.filter(F.size("_words") == 0).drop("_words"))
-    hits = met.unionByName(bare).filter(F.contains(F.col(text), F.col(item)))
-    return hits.withColumn("start", find_start(F.col(text), F.col(item))).filter("start is not null")
+    held = texts.select(F.col(key).alias("_key"), F.explode(words(text)).alias("_w"))
+    vocabulary = asked.select(item, F.explode("_words").alias("_w")).distinct()
+    counted = held.join(vocabulary.select("_w").distinct(), "_w", "left_semi").groupBy("_w").count()
+    rarest = vocabulary.join(counted, "_w", "left").groupBy(item).agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), F.col("_w"))).alias("_r")).filter("_r.n > 0").select(F.col(item).alias("_item"), F.col("_r._w").alias("_w"))
+    met = held.join(rarest, "_w").select("_key", "_item")
+    bare = texts.select(F.col(key).alias("_key")).crossJoin(asked.filter(F.size("_words") == 0).select(F.col(item).alias("_item")))
+    pairs = texts.join(met.union(bare), F.col(key) == F.col("_key")).filter(F.contains(F.col(text), F.col("_item")))
+    found = pairs.withColumn("start", _start_udf(F.col(text), F.col("_item"))).filter("start is not null")
+    return found.join(asked.drop("_words").withColumnRenamed(item, "_asked"), F.col("_item") == F.col("_asked")).withColumnRenamed("_asked", item).drop("_key", "_item")

@@ -163,7 +163,7 @@ found AS (SELECT doc_id, item_id, raw, body, passage, good[1] - 1 AS start FROM
 def _span_pairs(spark: SparkSession, d: str) -> DataFrame:
     texts = _t(spark, d, "documents").select("doc_id", "text", X.collapse(F.col("text")).alias("body"))
     wanted = _t(spark, d, "benchmark").select("item_id", X.collapse(F.col("text")).alias("passage"))
-    return spans.contained(texts, wanted, "body", "passage")
+    return spans.contained(texts, wanted, "body", "passage", "doc_id")
 
 
 @query(_SPANS + "SELECT doc_id, item_id, start::INTEGER AS start FROM found")

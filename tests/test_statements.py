@@ -17,7 +17,7 @@ def test_spans(spark):
 def test_contained_needs_whole_tokens(spark):
     texts = spark.createDataFrame([(1, "it costs 3.4 and 3 more"), (2, "13 or 3.5"), (3, "... dots"), (4, None)], "id int, t string")
     items = spark.createDataFrame([("3",), ("3.4 and",), ("...",), ("zz",), ("",)], "w string")
-    got = {(r["id"], r["w"], r["start"]) for r in spans.contained(texts, items, "t", "w").collect()}
+    got = {(r["id"], r["w"], r["start"]) for r in spans.contained(texts, items, "t", "w", "id").collect()}
     assert got == {(1, "3", 17), (1, "3.4 and", 9), (3, "...", 0)}
 
 
