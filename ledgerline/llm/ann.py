@@ -69,6 +69,8 @@ class Graph:
         self.links = np.argsort(d, axis=1, kind="stable")[:, : self.degree] if k > 1 else np.zeros((1, 1), np.int64)
         # The walk starts from spread entries: every round(sqrt(k))-th centroid.
         self.entries = np.arange(0, k, max(1, round(math.sqrt(k))))
+        #: Mean distance of a centroid to the nearest other.
+        self.spread = float(np.sqrt(d.min(axis=1)).mean()) if k > 1 else 0.0
 
     def nearest(self, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
         """(lists, distances), nearest first, of the ``want`` nearest centroids that the walk finds."""
@@ -110,15 +112,20 @@ def fit(vectors: DataFrame, rows: int, most_lists: int = MOST_LISTS) -> Graph:
     return Graph(balanced_centroids(sample, min(lists, len(sample))))
 
 
-def _routed(rows: DataFrame, graph, want: int, ratio: float, d: int) -> DataFrame:
-    """One row (list, id, v) for each list a vector goes to."""
+def _routed(rows: DataFrame, graph, want: int, ratio: float, d: int, floor: bool) -> DataFrame:
+    """One row (list, id, v) for each list a vector goes to.
+
+    With ``floor``, a nearest distance below the spread of the centroids counts as that spread: a query that
+    lies on a centroid still looks around.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 2048):
                 part = batch.slice(s, 2048)
                 lists, far = graph.value.nearest(matrix(part.column(1), d), want)
-                good = (far <= (1 + ratio) * far[:, :1]) & np.isfinite(far)
+                nearest = np.maximum(far[:, :1], graph.value.spread) if floor else far[:, :1]
+                good = (far <= (1 + ratio) * nearest) & np.isfinite(far)
                 row, col = np.nonzero(good)
                 taken = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(lists[row, col].astype(np.int32)), *taken.columns], names=["list", "id", "v"])
@@ -160,8 +167,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id
     graph, lists = spark.sparkContext.broadcast(fitted), len(fitted.centres)
     few = count <= 50 * (k + 1)  # so small that every list is read
     want = lists if few else max(min(lists, 16), math.ceil(probe * lists))
-    posted = durable(_routed(rows, graph, copies, near, d))
-    asked = durable(_routed(rows.filter(is_query), graph, want, np.inf if few else ratio, d))
+    posted = durable(_routed(rows, graph, copies, near, d, False))
+    asked = durable(_routed(rows.filter(is_query), graph, want, 1e9 if few else ratio, d, True))
     posted, posting_chunks = _chunked(posted, chunk)
     asked, query_chunks = _chunked(asked, chunk)
     left = _crossed(asked, posting_chunks, "qc", "pc")
