@@ -31,8 +31,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by pseudonyms of the same format (so lengths stay)."""
-    return pii.pseudonymise(docs, count=None)
+    """Personal data replaced by pseudonyms of the same format; n_chars follows the new text."""
+    return pii.pseudonymise(docs, count=None).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
