@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text as X
-from ledgerline.operators import answers, people, sequences, spans
+from ledgerline.operators import answers, deletion, people, sequences, spans, units
 from ledgerline.operators.answers import DELIMITER
 from ledgerline.sources.corpus import lines_of
 from ledgerline.streaming import holdback, sse
@@ -446,3 +446,82 @@ def q41_verified_archive(spark, d):
     packed = sequences.nested(found, ["doc_id"], ["first_line", "item_id"], ["item_id", "first_line", "last_line"], "statements")
     rows = packed.select("doc_id", F.posexplode("statements").alias("p", "s"))
     return rows.select("doc_id", F.concat_ws("#", F.col("doc_id").cast("string"), (F.col("p") + 1).cast("string")).alias("id"), "s.item_id", "s.first_line", "s.last_line")
+
+
+# -- sources rendered from the tables, parsed back ----------------------------------------------------
+
+
+def _as_lines(rows: DataFrame, key: str, doc_type: str) -> DataFrame:
+    """Lines of documents that are given as (key, seq, text): texts in order, one below the other."""
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n")
+    docs = rows.groupBy(F.col(key).cast("string").alias("doc_id")).agg(whole.alias("text"))
+    return lines_of(docs.withColumn("doc_type", F.lit(doc_type)), "doc_id", "text", "doc_type")
+
+
+_HEAD = "Meeting: Planning\nDate: 2025-03-04\nAttendees: Ada Berg (Example Co, joins late), Per Holm\n"
+
+
+@query(rf"""
+WITH c AS (SELECT *, CASE WHEN role = 'user' THEN 'Me' ELSE 'Them' END AS label,
+    1 + len(list_filter(string_split(text, chr(10))[2:], lambda s: trim(regexp_replace(s, '{_WS}', ' ', 'g')) <> '')) AS lines FROM conversations),
+m AS (SELECT *, CASE WHEN label IS NOT DISTINCT FROM lag(label) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS new FROM c),
+u AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::INTEGER AS unit_no FROM m)
+SELECT conv_id::VARCHAR AS doc_id, unit_no, min(label) AS label, sum(lines)::INTEGER AS n_lines FROM u GROUP BY conv_id, unit_no
+""")
+def q42_internal_units(spark, d):
+    c = _t(spark, d, "conversations")
+    said = c.select("conv_id", (F.col("turn") + 1).alias("seq"), F.concat(F.when(F.col("role") == "user", "Me: ").otherwise("Them: "), "text").alias("text"))
+    heads = c.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("seq"), F.lit(_HEAD).alias("text"))
+    parsed = units.parse(_as_lines(heads.union(said), "conv_id", "transcript"))
+    return parsed.units.select("doc_id", "unit_no", "label", F.size("lines").alias("n_lines"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INTEGER AS unit_no, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT o_custkey::VARCHAR AS doc_id, unit_no, 'Customer ' || o_custkey AS name, o_orderdate::DATE::VARCHAR AS sent, 2 AS n_lines, 'message ' || unit_no || ' of ' || n AS position FROM o
+""")
+def q43_thread_units(spark, d):
+    o = _t(spark, d, "orders")
+    n = F.count(F.lit(1)).over(Window.partitionBy("o_custkey"))
+    first = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) == 1
+    month = F.element_at(F.array(*[F.lit(names[0].capitalize()) for names in X.MONTHS]), F.month("o_orderdate"))
+    end = F.when(first, F.concat(F.lit("Messages in thread: "), n.cast("string"))).otherwise("Betreff: AW: Order")
+    mail = F.concat(
+        F.when(first, "Subject: Order\n").otherwise(""), F.lit("From: Customer "), F.col("o_custkey").cast("string"), F.lit(" <c@example.com>\nDate: Monday, "), month, F.lit(" "),
+        F.dayofmonth("o_orderdate").cast("string"), F.lit(", "), F.year("o_orderdate").cast("string"), F.lit(" 10:00 AM\nTo: Sales\n"), end, F.lit("\n\n"), F.lit(units.BANNER + ".\nOne order.\n\nThanks"),
+    )
+    parsed = units.parse(_as_lines(o.select("o_custkey", F.col("o_orderkey").alias("seq"), mail.alias("text")), "o_custkey", "email"))
+    return parsed.units.select("doc_id", "unit_no", "name", F.col("sent").cast("string").alias("sent"), F.size("lines").alias("n_lines"), F.col("lines")[0]["position"].alias("position"))
+
+
+@query(rf"""
+WITH c AS (SELECT *, len(list_filter(string_split(text, chr(10)), lambda s: trim(regexp_replace(s, '{_WS}', ' ', 'g')) <> '')) AS lines FROM conversations WHERE trim(regexp_replace(text, '{_WS}', ' ', 'g')) <> '')
+SELECT conv_id::VARCHAR AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER AS unit_no, CASE role WHEN 'user' THEN 'Ada Berg' WHEN 'assistant' THEN 'Per Holm' END AS name,
+       CASE WHEN role NOT IN ('user', 'assistant') THEN 'Guest 1' END AS label, lines::INTEGER AS n_lines, (turn + 1) || ' minutes 5 seconds' AS position FROM c
+""")
+def q44_teams_units(spark, d):
+    c = _t(spark, d, "conversations")
+    who = F.when(F.col("role") == "user", "Ada Berg").when(F.col("role") == "assistant", "Per Holm").otherwise("Guest 1")
+    minute = (F.col("turn") + 1).cast("string")
+    head = F.concat(who, F.lit("\n"), minute, F.lit(":05"), minute, F.lit(":05\nXY\n"), who, F.lit(" "), minute, F.lit(" minutes 5 seconds\n"))
+    heads = c.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("seq"), F.lit(_HEAD).alias("text"))
+    parsed = units.parse(_as_lines(heads.union(c.select("conv_id", "turn", F.concat(head, "text"))), "conv_id", "transcript"))
+    return parsed.units.select("doc_id", "unit_no", "name", "label", F.size("lines").alias("n_lines"), F.col("lines")[0]["position"].alias("position"))
+
+
+@query("""
+WITH s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), c AS (SELECT c_custkey, c_custkey % 7 AS k, coalesce(n, 0) AS n FROM customer LEFT JOIN s ON c_custkey = o_custkey)
+SELECT 'Ada Name' || chr(97 + k::INTEGER) AS name, sum(n)::BIGINT AS statements, CASE WHEN k = 3 THEN 'removed' ELSE 'left' END AS outcome FROM c GROUP BY k HAVING sum(n) > 0
+""")
+def q40_delete_receipt(spark, d):
+    """An archive with a document a customer and a statement an order; one of seven people is removed."""
+    name = F.concat(F.lit("Ada Name"), F.char(97 + F.col("o_custkey") % 7))
+    said = F.struct(F.concat(F.lit("It was "), name, F.lit(".")).alias("claim"), F.lit("report").alias("speech_act"), F.struct(name.alias("name"), F.lit("Example Co").alias("organization")).alias("actor"), F.col("o_orderdate").cast("date").cast("string").alias("statement_date"))
+    blocks = _t(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("id")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", said.alias("s")))).alias("rows"))
+    none = F.array().cast("array<string>")
+    stored = blocks.select("id", F.lit("email").alias("type"), F.lit("2025-01-01").alias("date"), none.alias("people"), F.lit("").alias("summary"), F.transform("rows", lambda r: r["s"]).alias("statements"))
+    after, receipt = deletion.delete_person(stored, "ADA  NAMED")
+    left = after.select(F.explode("statements").alias("s")).filter("s.claim like '%Ada Named%'").count()
+    if left:
+        raise ValueError(f"{left} statements still hold the name")
+    return spark.createDataFrame([(c["name"], c["statements"], c["outcome"]) for c in receipt.considered], "name string, statements long, outcome string")
