@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, mixing, pii, quality, simhash
+from ledgerline.llm import bpe, mixing, pii, quality, shingles
 from ledgerline.llm.common import durable, own_columns, table
 from ledgerline.llm.registry import tokenizer_path
 
@@ -26,8 +26,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id."""
-    return simhash.representatives(docs)
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8): the one with the smallest id."""
+    return shingles.representatives(docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
