@@ -32,10 +32,18 @@ PATTERNS = {
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)",
     "date": r"(?<![\w/.\-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\w|[/\-]\d|\.\d)",
     "ssn": r"(?<![\w\-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w]|-\d)",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}(?![\w])|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?![\w])|(?<![\w\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w]|-\d)",
-    "card": r"(?<![\w+\-])\d(?:[ \-]?\d){12,18}(?![\w]|-\d)",
 }
+#: IBANs and cards are looked for in runs of groups, as what stands beside a value may look like a part of it.  A run
+#: doesn't go on with a group that begins a value of another kind.  Possessive, so its length isn't bounded.
+_OTHER = "|".join(f"(?:{p})" for p in PATTERNS.values())
+PATTERNS = {k: PATTERNS[k] for k in ("secret", "email", "ip", "date", "ssn")} | {
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2}})[A-Z0-9]++(?![A-Za-z0-9])(?:[ \-](?!{_OTHER})[A-Z0-9]++(?![A-Za-z0-9]))*+",
+    "phone": PATTERNS["phone"],
+    "card": rf"(?<![\w+\-])(?=\d(?:[ \-]?\d){{12}})\d++(?!\w)(?:[ \-](?!{_OTHER})\d++(?!\w))*+",
+}
+#: Groups of a run that one value may take: cards have 19 digits at most, IBANs 34 characters in fours.
+GROUPS = 19
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: First day of the dates that are permuted, their number, and the side of the square they are walked in.
 FIRST_DAY, DAYS, SIDE = "1900-01-01", 73_049, 271
@@ -121,7 +129,7 @@ def _card(value: Column, key: str) -> Column:
     def checked(digits: Column) -> Column:
         body = permuted(F.substring(digits, F.lit(1), F.length(digits) - 1), "card", key)
         whole = let(body, lambda b: F.concat(b, F.pmod(-luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
-        return F.when(luhn(digits) % 10 == 0, _written(whole, value)).otherwise(value)
+        return F.when(_luhn_ok(digits), _written(whole, value)).otherwise(value)
 
     return let(_digits(value), checked)
 
@@ -155,6 +163,59 @@ def _iban(value: Column, key: str) -> Column:
     return let(F.replace(value, F.lit(" "), F.lit("")), new)
 
 
+def _luhn_ok(digits: Column) -> Column:
+    return F.when(F.length(digits).between(13, 19), luhn(digits) % 10 == 0).otherwise(False)
+
+
+def _iban_ok(plain: Column) -> Column:
+    return F.when(plain.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), _mod97(plain) == 1).otherwise(False)
+
+
+def _values(tokens: Column) -> Column:
+    """Valid IBANs and cards of a run as (first token, tokens), in order, none overlapping another.
+
+    Tokens are groups and the separators between them.  Every window of whole groups is tried; IBANs go before cards
+    of 16 digits and these before other cards, then earlier ones and longer ones come first.
+    """
+
+    def rank(i: Column, m: Column) -> Column:
+        text = F.array_join(F.slice(tokens, i, m), "")
+        card, iban = F.regexp_replace(text, "[ \\-]", ""), F.replace(text, F.lit(" "), F.lit(""))
+        of_card = F.when(card.rlike("^[0-9]{13,19}$"), F.when(_luhn_ok(card), F.when(F.length(card) == 16, 1).otherwise(2)))
+        return F.coalesce(F.when(_iban_ok(iban), F.lit(0)), of_card)
+
+    def windows(i: Column) -> Column:
+        ends = F.sequence(F.lit(1), F.least(F.lit(2 * GROUPS - 1), F.size(tokens) - i + 1), F.lit(2))
+        return F.filter(F.transform(ends, lambda m: F.struct(rank(i, m).alias("rank"), i.alias("i"), (-m).alias("less"))), lambda w: w["rank"].isNotNull())
+
+    def choose(chosen: Column, w: Column) -> Column:
+        taken = F.exists(chosen, lambda c: (w["i"] < c["i"] + c["m"]) & (c["i"] < w["i"] - w["less"]))
+        return F.when(taken, chosen).otherwise(F.concat(chosen, F.array(F.struct(w["i"].alias("i"), (-w["less"]).alias("m")))))
+
+    found = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(1), F.size(tokens), F.lit(2)), windows)))
+    return F.array_sort(F.aggregate(found, F.array().cast("array<struct<i:int,m:int>>"), choose))
+
+
+def _parts(run: Column) -> Column:
+    """A match as matches and what stands between them, in turn, a match first and last.
+
+    A run of groups that isn't a valid value as a whole is cut at the values it holds; other matches stay whole.
+    """
+
+    def cut(tokens: Column) -> Column:
+        def put(s: Column, v: Column) -> Column:
+            between = F.array_join(F.slice(tokens, s["at"], v["i"] - s["at"]), "")
+            return F.struct((v["i"] + v["m"]).alias("at"), F.concat(s["out"], F.array(between, F.array_join(F.slice(tokens, v["i"], v["m"]), ""))).alias("out"))
+
+        start = F.struct(F.lit(1).alias("at"), F.array(F.lit("")).alias("out"))
+        rest = lambda s: F.concat(s["out"], F.array(F.array_join(F.slice(tokens, s["at"], F.size(tokens)), ""), F.lit("")))
+        return let(_values(tokens), lambda v: F.when(F.size(v) == 0, F.array(run)).otherwise(F.aggregate(v, start, put, rest)))
+
+    groups = run.rlike(r"^(?:\d++|[A-Z]{2}\d{2}[A-Z0-9]*+)(?:[ \-][A-Z0-9]++)++$") & ~run.rlike(f"^(?:{_OTHER})$")
+    valid = _luhn_ok(F.regexp_replace(run, "[ \\-]", "")) & run.rlike("^[0-9 \\-]+$") | _iban_ok(F.replace(run, F.lit(" "), F.lit("")))
+    return F.when(groups, F.when(valid, F.array(run)).otherwise(let(F.split(run, "(?<=[ \\-])|(?=[ \\-])"), cut))).otherwise(F.array(run))
+
+
 def _number(key: str, kind: str, turn: Column, half: Column) -> Column:
     text = F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), half.cast("string"))
     return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 12), 16, 10).cast("long")
@@ -233,7 +294,7 @@ def pseudonymise(documents: DataFrame, text: str = "text", key: str = KEY, count
     Kinds: secrets, e-mail addresses, IPv4 addresses, dates, US social security numbers, IBANs, phone numbers
     and payment cards.  Defined results: a null text stays null with count 0; a text without such values stays
     as it is; candidates that fail their check stay; overlapping candidates are decided from left to right in
-    the order of kinds; every other column and row is untouched, repeated rows alike; an empty table gives no
+    the order of kinds; IBANs and cards are found at group borders, whatever groups stand beside them; every other column and row is untouched, repeated rows alike; an empty table gives no
     rows.  A column with the count's name is replaced.
     """
     t = F.col(f"`{text}`")
@@ -241,6 +302,8 @@ def pseudonymise(documents: DataFrame, text: str = "text", key: str = KEY, count
     marked = F.when(t.rlike("[0-9@=:]"), F.regexp_replace(t, F.lit(f"({ANY})"), F.concat(mark, F.lit("$1"), mark)))
     columns = [c for c in documents.columns if c != (count or "")]
     pieces = documents.select(*[F.col(f"`{c}`") for c in columns], F.when(F.contains(marked, F.lit("﷐")), F.split(marked, mark)).alias("_pieces"))
+    cut = F.flatten(F.transform("_pieces", lambda p, i: F.when(i % 2 == 1, _parts(p)).otherwise(F.array(p))))
+    pieces = pieces.withColumn("_pieces", cut)
     new = F.transform("_pieces", lambda p, i: F.when(i % 2 == 1, pseudonym(p, key)).otherwise(p))
     done = pieces.withColumn("_new", F.when(F.size("_pieces") > 1, new))
     out = [F.coalesce(F.array_join("_new", ""), F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in columns]
