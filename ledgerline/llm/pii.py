@@ -27,7 +27,7 @@ DRAW = 4
 
 #: What is looked for, in order of precedence.  Fixed formats, stated as patterns.
 PATTERNS = {
-    "secret": r"""(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password|passwd|pwd|secret|token|api[_-]?key) {0,2}[=:] {0,2}"?[A-Za-z0-9+/_\-]{8,200}"?)""",
+    "secret": r"""(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password|passwd|pwd|secret|token|api[_-]?key) {0,2}[=:] {0,2}"?(?=[A-Za-z0-9+/_\-.]{8})[A-Za-z0-9+/_\-]++(?:\.[A-Za-z0-9+/_\-]++)*+"?)""",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)",
     "date": r"(?<![\w/.\-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\w|[/\-]\d|\.\d)",
@@ -55,11 +55,9 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _draw(key: str, kind: str, turn: Column, other: Column, length: Column) -> Column:
-    """Hex digits that depend on everything given, DRAW for each of ``length`` characters."""
+    """Hex digits that depend on everything given, DRAW for each of ``length`` characters, 64 to an element."""
     per = 64 // DRAW
-    return F.array_join(
-        F.transform(F.sequence(F.lit(0), F.floor(length / per).cast("int")), lambda b: F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), b.cast("string"), other).cast("binary"), 256)), ""
-    )
+    return F.transform(F.sequence(F.lit(0), F.floor(length / per).cast("int")), lambda b: F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), b.cast("string"), other).cast("binary"), 256))
 
 
 def _letters(text: Column) -> Column:
@@ -71,7 +69,9 @@ def _shift(text: Column, draw: Column) -> Column:
     """Move each digit and letter of a text along its own alphabet by its part of the draw."""
 
     def moved(c: Column, i: Column, hexes: Column) -> Column:
-        by = F.conv(F.substring(hexes, i * DRAW + 1, F.lit(DRAW)), 16, 10).cast("int")
+        per = 64 // DRAW
+        own = F.element_at(hexes, F.floor(i / per).cast("int") + 1)
+        by = F.conv(F.substring(own, i % per * DRAW + 1, F.lit(DRAW)), 16, 10).cast("int")
         code = F.ascii(c)
         along = lambda first, size: F.char(F.lit(first) + F.pmod(code - first + by, F.lit(size)))
         return F.when(c.between("0", "9"), along(48, 10)).when(c.between("a", "z"), along(97, 26)).when(c.between("A", "Z"), along(65, 26)).otherwise(c)

@@ -34,3 +34,11 @@ def test_values_beside_others(spark):
             k += 1
         assert n is None or rows[i]["n_values"] == n, (text, got)
     assert rows[0]["text"].endswith(" 12 items") and luhn(plain(rows[0]["text"][:19])) and rows[4]["text"].endswith(" EUR")
+
+
+@pytest.mark.parametrize("value", ["k" * 5000, "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK", "a.bcdefghi", "ab." * 5_000 + "c"])
+def test_secrets_are_replaced_whole(spark, value):
+    row = pii.pseudonymise(docs(spark, [f"token={value}. Next"])).first()
+    assert row["n_values"] == 1 and row["text"].startswith("token=") and row["text"].endswith(". Next")
+    new = row["text"][len("token=") : -len(". Next")]
+    assert len(new) == len(value) and all(a[-30:] != b[-30:] for a, b in zip(value.split("."), new.split("."), strict=True) if len(a) > 7)
