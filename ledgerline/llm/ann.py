@@ -4,7 +4,8 @@ Fit, on a bounded sample: centroids by k-means whose assignment is charged for c
 out balanced; a graph links each centroid to its nearest ones.  Index, every row: a best-first walk of the
 in-memory graph finds a vector's nearest centroids; it goes to the nearest list and, as a boundary vector, to
 others within (1 + near) of that distance, up to ``copies`` lists.  Search: the same walk ranks the lists for
-a query; it reads those within (1 + ratio) of the nearest, up to a share ``probe`` of all lists.
+a query; it reads those within (1 + ratio) of the nearest, up to a share ``probe`` of all lists.  Queries that get fewer than
+min(k, candidates) answers so are searched again without the ratio, and those still short over all lists.
 
 At scale: only centroids and graph (at most ``most_lists`` rows) are broadcast.  A posting list of any size
 is cut into chunks, and so are the queries that read it; each pair of chunks is one group, so no task holds a
@@ -80,6 +81,11 @@ class Graph:
         for s in range(0, len(x), 256):
             part = x[s : s + 256]
             n, rows = len(part), np.arange(len(part))[:, None]
+            if want == k:  # every list: nothing to walk, and none may be out of the graph's reach
+                far = distances(part, self.centres)
+                order = np.argsort(far, axis=1, kind="stable")
+                out_i[s : s + n], out_d[s : s + n] = order, np.sqrt(far[rows, order])
+                continue
             seen, opened = np.zeros((n, k), bool), np.zeros((n, k), bool)
             far = np.full((n, k), np.inf)
             far[:, self.entries] = distances(part, self.centres[self.entries])
@@ -165,14 +171,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     fitted = fit(rows, count, most_lists)
     graph, lists = spark.sparkContext.broadcast(fitted), len(fitted.centres)
-    few = count <= 50 * (k + 1)  # so small that every list is read
-    want = lists if few else max(min(lists, 16), math.ceil(probe * lists))
-    posted = durable(_routed(rows, graph, copies, near, d, False))
-    asked = durable(_routed(rows.filter(is_query), graph, want, 1e9 if few else ratio, d, True))
-    posted, posting_chunks = _chunked(posted, chunk)
-    asked, query_chunks = _chunked(asked, chunk)
-    left = _crossed(asked, posting_chunks, "qc", "pc")
-    right = _crossed(posted, query_chunks, "pc", "qc")
+    need = min(k, rows.select("vec_id").distinct().count() - 1)
+    want = max(min(lists, 16), math.ceil(probe * lists))
+    posted, posting_chunks = _chunked(durable(_routed(rows, graph, copies, near, d, False)), chunk)
     keys = ["list", "pc", "qc"]
 
     def group(q: pa.Table, p: pa.Table) -> pa.Table:
@@ -197,5 +198,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id
             out.append((qi[s + a[keep]], pi[b[keep]], exact[keep]))
         return pa.table({n: np.concatenate(c) for n, c in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
 
-    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(group, "query_id long, vec_id long, score double")
-    return best(partial, k, F.col("score"))
+    def answers(queries: DataFrame, want: int, ratio: float) -> DataFrame:
+        asked, query_chunks = _chunked(durable(_routed(queries, graph, want, ratio, d, True)), chunk)
+        left = _crossed(asked, posting_chunks, "qc", "pc")
+        right = _crossed(posted, query_chunks, "pc", "qc")
+        partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(group, "query_id long, vec_id long, score double")
+        return durable(best(partial, k, F.col("score")))
+
+    queries = rows.filter(is_query)
+    found = answers(queries, want, ratio)
+    for wider in (want, lists):
+        enough = found.groupBy("query_id").count().filter(F.col("count") >= need).select(F.col("query_id").alias("vec_id"))
+        short = durable(queries.join(enough, "vec_id", "left_anti").select("vec_id", "v"))
+        if need <= 0 or short.isEmpty():
+            break
+        again = answers(short, wider, 1e9)
+        found = found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)
+    return found.select("query_id", "rank", "vec_id", "score")
