@@ -18,3 +18,12 @@ def test_far_vectors_get_all_their_answers(spark, n):
     assert sorted(got) == list(range(20)) and all(sorted(a for a, _ in v) == list(range(1, 11)) and len({b for _, b in v} - {q}) == 10 for q, v in got.items())
     near = np.argsort(ann.distances(x[10:20], x), axis=1)[:, 1:11]
     assert np.mean([len({b for _, b in got[10 + i]} & set(near[i].tolist())) for i in range(10)]) >= 8
+
+
+def test_small_tables_are_pruned_too(spark, monkeypatch):
+    ratios = []
+    routed = ann._routed
+    monkeypatch.setattr(ann, "_routed", lambda *a: (ratios.append((a[2], a[3])), routed(*a))[1])
+    x = np.random.default_rng(7).normal(size=(400, 8))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert ann.search(df, F.col("vec_id") < 5, 10).count() == 50 and (16, ann.RATIO) in ratios
