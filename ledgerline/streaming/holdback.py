@@ -75,14 +75,25 @@ def held_back(chunks: DataFrame) -> DataFrame:
 def held_back_batch(chunks: DataFrame) -> DataFrame:
     """The same for a table of chunks, in JVM functions: each row gets the part of the safe text that is new.
 
-    What is out after a chunk is a prefix of the reply, so it follows from the text up to that chunk alone.
+    Each row sees its own chunk and the last ones before it that may hold a delimiter's beginning, so the work is in
+    proportion to the text; the complete reply is put together once a request.
     """
     from pyspark.sql import Window
 
     by = Window.partitionBy("request").orderBy("seq")
-    text = F.array_join(F.collect_list(F.coalesce("chunk", F.lit(""))).over(by.rowsBetween(Window.unboundedPreceding, 0)), "")
-    t = chunks.withColumn("_all", text)
-    at = F.locate(DELIMITER, F.col("_all"))
-    size = F.when(at > 0, at - 1).when(F.col("last"), F.length("_all")).otherwise(F.greatest(F.lit(0), F.length("_all") - len(DELIMITER) + 1))
+    so_far, held = by.rowsBetween(Window.unboundedPreceding, 0), len(DELIMITER) - 1
+    t = chunks.withColumn("_c", F.coalesce("chunk", F.lit(""))).withColumn("_end", F.sum(F.length("_c")).over(so_far))
+    # Chunks with text are numbered; the last ``held`` of them have that many characters at least.
+    t = t.withColumn("_no", F.sum(F.when(F.col("_c") != "", 1).otherwise(0)).over(so_far))
+    near = Window.partitionBy("request").orderBy("_no").rangeBetween(-held, 0)
+    t = t.withColumn("_near", F.array_join(F.collect_list("_c").over(near), "")).withColumn("_from", F.col("_end") - F.length("_near"))
+    here = F.when(F.contains(F.col("_near"), F.lit(DELIMITER)), F.col("_from") + F.locate(DELIMITER, F.col("_near")) - 1)
+    t = t.withColumn("_here", here).withColumn("_at", F.min("_here").over(so_far))
+    size = F.when(F.col("_at").isNotNull(), F.col("_at")).when(F.col("last"), F.col("_end")).otherwise(F.greatest(F.lit(0), F.col("_end") - held))
     t = t.withColumn("_size", size).withColumn("_before", F.coalesce(F.lag("_size").over(by), F.lit(0)))
-    return t.select("request", "seq", F.substring(F.col("_all"), F.col("_before") + 1, F.greatest(F.lit(0), F.col("_size") - F.col("_before"))).alias("text"), F.when(F.col("last"), F.col("_all")).alias("complete"))
+    start, length = (F.col("_before") - F.col("_from") + 1).cast("int"), F.greatest(F.lit(0), F.col("_size") - F.col("_before")).cast("int")
+    text = F.when(length > 0, F.substring(F.col("_near"), start, length)).otherwise("")
+    parts = F.sort_array(F.collect_list(F.struct("seq", F.coalesce("chunk", F.lit("")).alias("c"))))
+    whole = chunks.groupBy(F.col("request").alias("_request")).agg(F.array_join(F.transform(parts, lambda x: x["c"]), "").alias("_all"))
+    out = t.join(whole, t["request"].eqNullSafe(F.col("_request")), "left")
+    return out.select("request", "seq", text.alias("text"), F.when(F.col("last"), F.col("_all")).alias("complete"))
