@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -18,21 +19,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so that a lost executor loses nothing.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset (single-machine
-    tests) a temporary one is set.
+    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset a temporary one is set on a single
+    machine (tests); on a cluster this raises, as executors can't share a folder of one machine.
     """
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """The table with its columns named c0, c1, ... by their places, so that no name can clash with another."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def place_of(df: DataFrame, name: str) -> str:
+    """What ``by_place`` calls a column."""
+    return f"c{df.columns.index(name)}"
+
+
 def own_columns(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
-    """Only the wanted columns; further columns of the table, whatever their names, go."""
-    return df.select(*[F.col(f"`{c}`") for c in wanted])
+    """Only the wanted columns; further columns, whatever their names (dots, another case), go."""
+    return by_place(df).select(*[F.col(place_of(df, c)).alias(c) for c in wanted])
+
+
+def among(df: DataFrame, ids: DataFrame, key: str, kept: bool = True, most: int = 1_000_000) -> DataFrame:
+    """Rows of ``df`` whose key is (``kept``) or isn't among ``ids`` (one column of that name, distinct).
+
+    Up to ``most`` ids are broadcast, so that wide rows stay where they are; beyond, both sides are shuffled.
+    """
+    few = ids.limit(most + 1).count() <= most
+    return df.join(F.broadcast(ids) if few else ids, key, "left_semi" if kept else "left_anti")
 
 
-def unit_buckets(rows: int, per_bucket: int = 1000, least: int = 256, most: int = 8192) -> int:
+def unit_buckets(rows: int, per_bucket: int = 1000, least: int = 256, most: int = 65_536) -> int:
     """How many hash or range buckets rank ``rows`` rows: from the row count alone."""
     return max(least, min(most, -(-rows // per_bucket)))
 
