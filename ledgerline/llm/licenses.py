@@ -8,8 +8,9 @@ along it, optional regions and replaceable ones add moves.  A text has the templ
 words takes the automaton from start to end, so all mandatory wording matches exactly and in order.
 
 Base labels come from set phrases that stand as consecutive words.  All in one pass over whole texts, without
-a shuffle; automata are simulated with sets of states, so the work is linear in the text, and only from words
-that can start a template.
+a shuffle; automata are simulated with sets of states from words that can start a template, so a start costs at
+most a template's length with its replaceable words, and the whole is linear in the text.  Replaceable regions are
+bounded: a longer holder's name than the region allows doesn't match.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ledgerline.llm.common import own_columns
+
 #: Words that are phrases, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Labels and templates.  Short notices in the common wording, with what may vary marked.
-TEMPLATES = {
+#: Labels and templates of short notices, in the common wording, with what may vary marked.
+NOTICES = {
     "apache-2.0": "licensed under the apache license <<optional>> version <<end>> 2.0",
     "mit-notice": "<<optional>> released <<end>> <<optional>> distributed <<end>> under the <<optional>> terms of the <<end>> mit license",
     "gpl-3.0": "<<optional>> this work is <<end>> licensed under the gnu general public license <<optional>> version <<end>> 3",
@@ -36,6 +39,55 @@ TEMPLATES = {
     "copyright-notice": "copyright <<optional>> c <<end>> <<any:8>> all rights reserved",
 }
 
+_BSD_SOURCE = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+    the following conditions are met: <<optional>> 1 <<end>> Redistributions of source code must retain the above copyright
+    notice, this list of conditions and the following disclaimer. <<optional>> 2 <<end>> Redistributions in binary form must
+    reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or
+    other materials provided with the distribution."""
+_BSD_NAMES = """<<optional>> 3 <<end>> Neither the name of <<any:20>> nor the names of its contributors may be used to endorse or
+    promote products derived from this software without specific prior written permission."""
+_BSD_DISCLAIMER = """This software is provided by <<any:20>> "as is" and any express or implied warranties, including, but not
+    limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event
+    shall <<any:20>> be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including,
+    but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption)
+    however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or
+    otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."""
+
+#: Labels and templates of whole licenses and file headers (their public wording; names and numbering may vary).
+LICENSES = {
+    "mit-full": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+        persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+        this permission notice <<optional>> (including the next paragraph) <<end>> shall be included in all copies or
+        substantial portions of the Software. The Software is provided "as is", without warranty of any kind, express or
+        implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and
+        noninfringement. In no event shall <<any:20>> be liable for any claim, damages or other liability, whether in an action
+        of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in
+        the software.""",
+    "isc-full": """Permission to use, copy, modify, <<optional>> and <<end>> <<optional>> or <<end>> distribute this software for any
+        purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear
+        in all copies. The software is provided "as is" and <<any:20>> disclaims all warranties with regard to this software
+        including all implied warranties of merchantability and fitness. In no event shall <<any:20>> be liable for any special,
+        direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether
+        in an action of contract, negligence or other tortious action, arising out of or in connection with the use or
+        performance of this software.""",
+    "bsd-2-clause": f"{_BSD_SOURCE} {_BSD_DISCLAIMER}",
+    "bsd-3-clause": f"{_BSD_SOURCE} {_BSD_NAMES} {_BSD_DISCLAIMER}",
+    "apache-2.0-header": """Licensed under the Apache License, Version 2.0 <<optional>> (the "License") <<end>>; you may not use this file
+        except in compliance with the License. You may obtain a copy of the License at <<any:8>> Unless required by applicable
+        law or agreed to in writing, software distributed under the License is distributed on an "as is" basis, without warranties
+        or conditions of any kind, either express or implied. See the License for the specific language governing permissions and
+        limitations under the License.""",
+    "gpl-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        <<optional>> Affero <<end>> <<optional>> Lesser <<end>> General Public License as published by the Free Software
+        Foundation, either version <<any:1>> of the License, or (at your option) any later version. This program is distributed in
+        the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness
+        for a particular purpose. See the GNU <<optional>> Affero <<end>> <<optional>> Lesser <<end>> General Public License for
+        more details.""",
+}
+TEMPLATES = NOTICES | LICENSES
+
 #: Bytes that are no part of a word become spaces, A-Z become a-z.
 TO_WORDS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -157,9 +209,11 @@ class Scanner:
         line = b" " + b" ".join(words) + b" "
         places, base = [], set()
         for phrase, label in self.phrases:
-            at = line.find(phrase)
+            at, counted, word = line.find(phrase), 0, -1
             while at >= 0:
-                places.append(line.count(b" ", 0, at + 1) - 1)
+                word += line.count(b" ", counted, at + 1)  # words up to here, counted once
+                counted = at + 1
+                places.append(word)
                 base.add(label)
                 at = line.find(phrase, at + 1)
         due = {a.label for a in self.automata if b" " + self.must[a.label] + b" " in line}
@@ -181,7 +235,7 @@ def scan(documents: DataFrame, key: str = "doc_id", phrases: dict[str, str] = PH
     Returns the key, n_words, n_base (places of set phrases), first_word and last_word (their smallest and
     largest first word, from 0; null without places), base_labels and labels (distinct, sorted, joined by
     commas; labels also holds those of templates), score and spans (first word, end, label of each template
-    that matched).  score is 1 if a template's whole wording matched, 0.5 if only set phrases stand in the
+    that matched).  score is 1 if the whole wording of a template (a notice or a license) matched, 0.5 if only set phrases stand in the
     text, 0 otherwise.  Defined results: a null text is empty; an empty text has no words, labels "" and score
     0; repeated rows are scanned alike; an empty table gives no rows; further columns are not looked at.
     """
@@ -201,6 +255,6 @@ def scan(documents: DataFrame, key: str = "doc_id", phrases: dict[str, str] = PH
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]], names=[key, *names])
 
-    source = documents.select(key, "text")
+    source = own_columns(documents, [key, "text"])
     kind = source.schema[key].dataType.simpleString()
     return source.mapInArrow(work, f"`{key}` {kind}, {fields}")

@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import by_place, place_of
+
 #: Demonstration key.  Whoever runs this on real data passes a secret one.
 KEY = "ledgerline-demonstration-key"
 ROUNDS = 8
@@ -27,7 +29,7 @@ DRAW = 4
 
 #: What is looked for, in order of precedence.  Fixed formats, stated as patterns.
 PATTERNS = {
-    "secret": r"""(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password|passwd|pwd|secret|token|api[_-]?key) {0,2}[=:] {0,2}"?(?=[A-Za-z0-9+/_\-.]{8})[A-Za-z0-9+/_\-]++(?:\.[A-Za-z0-9+/_\-]++)*+"?)""",
+    "secret": r"""(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password|passwd|pwd|secret|token|api[_-]?key) {0,2}[=:] {0,2}"?(?=[A-Za-z0-9+/_\-.~=]{8})[A-Za-z0-9+/_\-~=]++(?:\.[A-Za-z0-9+/_\-~=]++)*+"?)""",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)",
     "date": r"(?<![\w/.\-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\w|[/\-]\d|\.\d)",
@@ -294,20 +296,22 @@ def pseudonymise(documents: DataFrame, text: str = "text", key: str = KEY, count
     Kinds: secrets, e-mail addresses, IPv4 addresses, dates, US social security numbers, IBANs, phone numbers
     and payment cards.  Defined results: a null text stays null with count 0; a text without such values stays
     as it is; candidates that fail their check stay; overlapping candidates are decided from left to right in
-    the order of kinds; IBANs and cards are found at group borders, whatever groups stand beside them; every other column and row is untouched, repeated rows alike; an empty table gives no
-    rows.  A column with the count's name is replaced.
+    the order of kinds; IBANs and cards are found at group borders, whatever groups stand beside them; every other
+    column, whatever its name, and every row is untouched, repeated rows alike; an empty table gives no rows.  A
+    column with the count's name, in any case, is replaced.
     """
-    t = F.col(f"`{text}`")
+    plain, t = by_place(documents), F.col(place_of(documents, text))
     mark = F.concat(F.lit("﷐"), F.md5(t.cast("binary")), F.lit("﷑"))
-    marked = F.when(t.rlike("[0-9@=:]"), F.regexp_replace(t, F.lit(f"({ANY})"), F.concat(mark, F.lit("$1"), mark)))
-    columns = [c for c in documents.columns if c != (count or "")]
-    pieces = documents.select(*[F.col(f"`{c}`") for c in columns], F.when(F.contains(marked, F.lit("﷐")), F.split(marked, mark)).alias("_pieces"))
-    cut = F.flatten(F.transform("_pieces", lambda p, i: F.when(i % 2 == 1, _parts(p)).otherwise(F.array(p))))
-    pieces = pieces.withColumn("_pieces", cut)
-    new = F.transform("_pieces", lambda p, i: F.when(i % 2 == 1, pseudonym(p, key)).otherwise(p))
-    done = pieces.withColumn("_new", F.when(F.size("_pieces") > 1, new))
-    out = [F.coalesce(F.array_join("_new", ""), F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in columns]
-    changed = F.size(F.filter(F.arrays_zip(F.col("_pieces").alias("p"), F.col("_new").alias("n")), lambda x: ~x["p"].eqNullSafe(x["n"])))
+    marked = F.when(t.rlike("[0-9@=:]|AKIA"), F.regexp_replace(t, F.lit(f"({ANY})"), F.concat(mark, F.lit("$1"), mark)))
+    keep = [c for c in documents.columns if count is None or c.lower() != count.lower()]
+    columns = [place_of(documents, c) for c in keep]
+    pieces = plain.select(*columns, F.when(F.contains(marked, F.lit("﷐")), F.split(marked, mark)).alias("pieces"))
+    cut = F.flatten(F.transform("pieces", lambda p, i: F.when(i % 2 == 1, _parts(p)).otherwise(F.array(p))))
+    pieces = pieces.withColumn("pieces", cut)
+    new = F.transform("pieces", lambda p, i: F.when(i % 2 == 1, pseudonym(p, key)).otherwise(p))
+    done = pieces.withColumn("new", F.when(F.size("pieces") > 1, new))
+    out = [F.coalesce(F.array_join("new", ""), F.col(c)).alias(c) if c == place_of(documents, text) else F.col(c) for c in columns]
+    changed = F.size(F.filter(F.arrays_zip(F.col("pieces").alias("p"), F.col("new").alias("n")), lambda x: ~x["p"].eqNullSafe(x["n"])))
     if count:
-        out.append(F.when(F.col("_new").isNull(), F.lit(0)).otherwise(changed).cast("int").alias(count))
-    return done.select(*out)
+        out.append(F.when(F.col("new").isNull(), F.lit(0)).otherwise(changed).cast("int").alias(count))
+    return done.select(*out).toDF(*keep, *([count] if count else []))

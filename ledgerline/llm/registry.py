@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,23 @@ _TEMPLATE_SQL = {
     "copyright-notice": "copyright (c )?([^ ]+ ){0,8}all rights reserved",
 }
 
+
+
+def _as_pattern(template: str) -> str:
+    """A template as a pattern over words with a space after each, for SQL."""
+    out = ""
+    for part in re.split(r"(<<[^>]*>>)", template):
+        if part.startswith("<<any:"):
+            out += f"([^ ]+ ){{0,{part[6:-2]}}}"
+        elif part.startswith("<<"):
+            out += "(" if part == "<<optional>>" else ")?"
+        else:
+            out += "".join(f"{w.decode()} " for w in licenses.words_of(part))
+    return out.removesuffix(" ")
+
+
+_TEMPLATE_SQL |= {label: _as_pattern(t) for label, t in licenses.LICENSES.items()}
+
 OP4_SQL = """
 WITH worded AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w

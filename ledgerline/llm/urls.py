@@ -8,8 +8,10 @@ level 2 by chance go into level 3, and so on until no key is wrong.  A key is li
 it passes in a row is odd; for every key of the universe that is exact, so urls are judged without a join.
 
 At scale: the filters' sizes follow the lists, not the corpus.  The false-positive rate of level 1 is chosen
-from the number of candidates so that about ``strays`` of them pass, and all built levels are checked
-against ``max_bits`` before they are broadcast.  Two scans of the urls: one finds the strays, one judges.
+from a bound on the number of candidates so that at most about ``strays`` of them pass, and the listed keys and
+all built levels are checked against ``max_bits`` before they are broadcast.  Of a host only as many labels are
+looked at as the longest listed host has, so a hostile url costs no more than its length.  The urls are scanned
+twice: once for the strays of all lists together, once to judge.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import by_place, place_of
+
 #: Unlisted candidates that level 1 lets through on average, and the largest cascade that is broadcast.
 STRAYS, MAX_BITS = 4096, 1 << 28
 #: Seeds of the two hashes from which all others follow.
@@ -39,10 +43,13 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def candidates(host_: Column, path_: Column, lengths: list[int]) -> Column:
-    """All keys a url could match, longest first: array of host suffix + path prefix."""
-    labels = F.split(host_, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def candidates(host_: Column, path_: Column, lengths: list[int], labels: int) -> Column:
+    """All keys that a url could match, longest first: array of host suffix + path prefix.
+
+    Suffixes have at most ``labels`` labels, prefixes one of the ``lengths``: no listed key has others.
+    """
+    parts = F.slice(F.reverse(F.split(host_, r"\.", -1)), 1, labels)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.reverse(F.slice(parts, 1, i)), "."))
     prefixes = F.filter(
         F.array(*[F.when(F.length(path_) >= n, F.substring(path_, 1, n)) for n in lengths]),
         lambda x: x.isNotNull(),
@@ -117,40 +124,58 @@ def _pairs(rows: list) -> np.ndarray:
     return np.array([(r[0], r[1]) for r in rows], np.int64).reshape(-1, 2).view(np.uint64)
 
 
-def build(keys: np.ndarray, universe: DataFrame, strays: int = STRAYS, max_bits: int = MAX_BITS) -> Cascade:
-    """Cascade of listed keys (hash pairs) that is exact over a universe of keys (columns a, b: hash pairs).
+def _known(a: np.ndarray, b: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which hash pairs are among ``keys`` (sorted by their first hash)."""
+    found = np.zeros(len(a), bool)
+    lo, hi = np.searchsorted(keys[:, 0], a, "left"), np.searchsorted(keys[:, 0], a, "right")
+    for step in range(int((hi - lo).max(initial=0))):  # pairs that share their first hash
+        at = np.flatnonzero(lo + step < hi)
+        found[at] |= keys[lo[at] + step, 1] == b[at]
+    return found
+
+
+def build(lists: list[np.ndarray], universe: DataFrame, most: int, strays: int = STRAYS, max_bits: int = MAX_BITS) -> list[Cascade]:
+    """A cascade for each list of keys (hash pairs), exact over a universe of keys (columns a, b: hash pairs).
 
-    Only level 1's strays come to the driver.  Their number is bounded: should more than 16 * strays pass
-    (by chance or through a mistaken count), the level is rebuilt with a lower rate.
+    One pass over the universe, of at most ``most`` keys, finds the strays of all first levels; only those come to
+    the driver.  Should more than 16 * strays of a list pass by chance, the levels are rebuilt with a lower rate.
     """
-    cascade = Cascade()
-    if not len(keys):
-        return cascade
     spark = universe.sparkSession
-    rate = min(0.5, strays / max(1, universe.count()))
+    lists = [keys[np.lexsort((keys[:, 1], keys[:, 0]))] for keys in lists]
+    if 128 * sum(map(len, lists)) > max_bits:
+        raise ValueError(f"{sum(map(len, lists))} listed keys need more than the {max_bits} bits that are allowed")
+    rate = min(0.5, strays / max(1, most))
     while True:
-        first = Level(len(keys), rate, 0)
-        if first.bits > max_bits:
-            raise ValueError(f"the list needs {first.bits} bits; {max_bits} are allowed")
-        first.add(keys[:, 0], keys[:, 1])
-        shared, own = spark.sparkContext.broadcast(first), spark.sparkContext.broadcast({tuple(x) for x in keys.tolist()})
+        firsts = [Level(len(keys), rate, 0) for keys in lists]
+        if sum(x.bits for x in firsts) > max_bits:
+            raise ValueError(f"the lists need {sum(x.bits for x in firsts)} bits; {max_bits} are allowed")
+        for level, keys in zip(firsts, lists, strict=True):
+            level.add(keys[:, 0], keys[:, 1])
+        shared = spark.sparkContext.broadcast(list(zip(firsts, lists, strict=True)))
 
         def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 a, b = (frame[c].to_numpy().view(np.uint64) for c in ("a", "b"))
-                at = np.flatnonzero(shared.value.has(a, b))
-                stray = [i for i in at if (int(a[i]), int(b[i])) not in own.value]
-                yield frame.iloc[stray].drop_duplicates()
-
-        passed = universe.select("a", "b").mapInPandas(work, "a long, b long").distinct().limit(16 * strays + 1).collect()
-        if len(passed) <= 16 * strays:
+                for k, (level, keys) in enumerate(shared.value):
+                    at = np.flatnonzero(level.has(a, b)) if len(keys) else np.zeros(0, np.int64)
+                    at = at[~_known(a[at], b[at], keys)]
+                    yield frame.iloc[at].drop_duplicates().assign(k=k)
+
+        limit = 16 * strays * len(lists)
+        passed = universe.select("a", "b").mapInPandas(work, "a long, b long, k int").distinct().limit(limit + 1).collect()
+        if len(passed) <= limit:
             break
         rate /= 64
-    cascade.levels.append(first)
-    cascade.extend(_pairs(passed), keys)
-    if cascade.bits > max_bits:
-        raise ValueError(f"the cascade needs {cascade.bits} bits; {max_bits} are allowed")
-    return cascade
+    cascades = []
+    for k, (level, keys) in enumerate(zip(firsts, lists, strict=True)):
+        cascade = Cascade()
+        if len(keys):
+            cascade.levels.append(level)
+            cascade.extend(_pairs([r for r in passed if r["k"] == k]), keys)
+        cascades.append(cascade)
+    if sum(c.bits for c in cascades) > max_bits:
+        raise ValueError(f"the cascades need {sum(c.bits for c in cascades)} bits; {max_bits} are allowed")
+    return cascades
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow", strays: int = STRAYS) -> DataFrame:
@@ -160,23 +185,25 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow"
     url's path starts with its path; null if none) and verdict (the rule's, else ``default``).  Defined
     results: a null url or one without :// has empty host and path, fits no rule and gets the default; of
     two rules of one length the smaller key wins; of one key listed twice the first verdict counts; repeated
-    rows are judged alike; an empty table gives no rows.  Columns of those four names are replaced.
+    rows are judged alike; an empty table gives no rows; without rules every url gets the default.  Columns of
+    those four names are replaced, columns of any other name stay.
     """
     spark = pages.sparkSession
     verdict_of: dict[str, str] = {}
     for verdict, key in rules:
         verdict_of.setdefault(key, verdict)
     lengths = sorted({len(k) - k.index("/") for k in verdict_of})
-    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    parts = pages.select(*kept, host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    keyed = parts.withColumn("_keys", candidates(F.col("host"), F.col("path"), lengths))
-    universe = keyed.select(F.explode("_keys").alias("k")).select(*[h.alias(n) for h, n in zip(_hashes(F.col("k")), "ab", strict=True)])
-    cascades = []
-    for verdict in sorted(set(verdict_of.values())):
-        own = [k for k, v in verdict_of.items() if v == verdict]
-        listed = spark.createDataFrame([(k,) for k in own], "k string").select(*_hashes(F.col("k"))).collect()
-        cascades.append((verdict, build(_pairs(listed), universe, strays)))
-    shared = spark.sparkContext.broadcast(cascades)
+    labels = max((k[: k.index("/")].count(".") + 1 for k in verdict_of), default=1)
+    keep = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    url = F.col(place_of(pages, "url"))
+    parts = by_place(pages).select(*[place_of(pages, c) for c in keep], host(url).alias("host"), path(url).alias("path"))
+    keyed = parts.withColumn("keys", candidates(F.col("host"), F.col("path"), lengths, labels) if lengths else F.array().cast("array<string>"))
+    universe = keyed.select(F.explode("keys").alias("k")).select(*[h.alias(n) for h, n in zip(_hashes(F.col("k")), "ab", strict=True)])
+    verdicts = sorted(set(verdict_of.values()))
+    listed = spark.createDataFrame(list(verdict_of.items()), "k string, v string").select(*_hashes(F.col("k")), "v").collect()
+    own = [_pairs([r for r in listed if r["v"] == v]) for v in verdicts]
+    most = pages.count() * labels * len(lengths)
+    shared = spark.sparkContext.broadcast(list(zip(verdicts, build(own, universe, most, strays) if own else [], strict=True)))
 
     @F.pandas_udf("struct<place:int,verdict:string>")
     def first_listed(a: pd.Series, b: pd.Series) -> pd.DataFrame:
@@ -192,6 +219,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow"
             place[row[i]], names[row[i]] = i - starts[row[i]] + 1, shared.value[kind[i]][0]
         return pd.DataFrame({"place": place, "verdict": names})
 
-    found = keyed.withColumn("_a", F.transform("_keys", lambda k: _hashes(k)[0])).withColumn("_b", F.transform("_keys", lambda k: _hashes(k)[1])).withColumn("_found", first_listed("_a", "_b"))
-    rule = F.when(F.col("_found.place") > 0, F.element_at("_keys", F.greatest(F.col("_found.place"), F.lit(1))))
-    return found.withColumn("rule", rule).withColumn("verdict", F.coalesce(F.col("_found.verdict"), F.lit(default))).drop("_keys", "_a", "_b", "_found")
+    found = keyed.withColumn("found", first_listed(F.transform("keys", lambda k: _hashes(k)[0]), F.transform("keys", lambda k: _hashes(k)[1])))
+    rule = F.when(F.col("found.place") > 0, F.element_at("keys", F.greatest(F.col("found.place"), F.lit(1))))
+    out = [place_of(pages, c) for c in keep]
+    judged = found.select(*out, "host", "path", rule.alias("rule"), F.coalesce(F.col("found.verdict"), F.lit(default)).alias("verdict"))
+    return judged.toDF(*keep, "host", "path", "rule", "verdict")
