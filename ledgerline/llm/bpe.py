@@ -29,7 +29,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ledgerline.llm.common import by_place, place_of
 
 #: Bytes of a leaf of a text and of an unsplit run; words of up to KEPT bytes are remembered, up to TABLE of them
 #: and TABLE parts of words.
@@ -281,15 +283,13 @@ def encode(documents: DataFrame, tokenizer: str, text: str = "text", text_leaf:
     decoded (tokens joined as the tokenizer's decoder-less decode does) to every row.  Defined results: a
     null text is encoded as an empty one (0 tokens, empty binary, empty string); any other column may be
     null or missing; repeated rows are encoded alike; an empty table gives no rows.  The three names
-    replace columns of the same name.
+    replace columns of the same name in any case; columns of any other name stay.
     """
     with open(tokenizer, encoding="utf-8") as f:
         shared = documents.sparkSession.sparkContext.broadcast(f.read())
     keep = [c for c in documents.columns if c.lower() not in ("n_tokens", "ids", "decoded")]
-    names = [*[f"c{k}" for k in range(len(keep))]]
-    source = documents.select(F.col(f"`{text}`").alias("_text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True) if c != text])
-    names = [n for c, n in zip(keep, names, strict=True) if c != text]
-    own = [c for c in keep if c != text]
+    source = by_place(documents).select(*[place_of(documents, c) for c in keep])
+    at = keep.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Leaves are encoded side by side by the library's threads; each thread keeps memory of its own, so a
@@ -299,12 +299,12 @@ def encode(documents: DataFrame, tokenizer: str, text: str = "text", text_leaf:
         for batch in batches:
             start = 0
             while start < batch.num_rows:
-                size, stop, column = 0, start, batch.column(0)
+                size, stop, column = 0, start, batch.column(at)
                 while stop < batch.num_rows and stop - start < ROWS and size < BYTES:
                     size += len(column[stop].as_buffer() or b"") if column[stop].is_valid else 0
                     stop += 1
                 part = batch.slice(start, stop - start)
-                done = codec.encode(part.column(0).to_pylist())
+                done = codec.encode(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [
                         *part.columns,
@@ -316,10 +316,5 @@ def encode(documents: DataFrame, tokenizer: str, text: str = "text", text_leaf:
                 )
                 start = stop
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*source.schema.fields, *T._parse_datatype_string(SCHEMA).fields])
-    out = source.mapInArrow(work, schema)
-    back = {c: n for c, n in zip(own, names, strict=True)}
-    cols = [F.col("_text").alias(c) if c == text else F.col(back[c]).alias(c) for c in keep]
-    return out.select(*cols, "n_tokens", "ids", "decoded")
+    return source.mapInArrow(work, schema).toDF(*keep, "n_tokens", "ids", "decoded")

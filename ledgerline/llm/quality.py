@@ -5,8 +5,8 @@ shares of kinds of bytes, and how words look and repeat.  A small network, train
 embeds each passage, weighs it by gated attention (tanh gate times sigmoid gate, softmax over the document),
 and scores the weighted sum of the embeddings.
 
-At scale: the fit uses a bounded sample (``PER_CLASS`` labelled documents a class, ``FIT_PASSAGES`` passages of
-each), so its cost is the same for any corpus.  Scoring is one pass without a shuffle; very long texts are
+At scale: the fit uses a bounded sample of labelled rows (``PER_CLASS`` documents of a class with ``BUDGET`` passages
+in all, every chosen document with all its passages), so its cost is the same for any corpus.  Scoring is one pass without a shuffle; very long texts are
 encoded piece by piece, and the softmax is merged over pieces, so memory doesn't follow a text's length.
 """
 
@@ -17,13 +17,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ledgerline.llm.common import by_place, durable, own_columns, place_of
 
 #: Words of a passage; bytes of a piece of a long text; bytes encoded at once.
 PASSAGE, PIECE = 100, 1 << 20
-#: The bounds of the training sample: documents of each class, passages of a document.
-PER_CLASS, FIT_PASSAGES = 3000, 64
+#: The bounds of the training sample for each class: documents, and passages of all of them.
+PER_CLASS, BUDGET = 3000, 60_000
 EMBED, GATE, EPOCHS, SEED = 24, 12, 240, 11
 
 #: Kinds of bytes whose shares are features; the rest is one more kind.  Letters are not told apart, nor those
@@ -160,36 +163,41 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def train(x: np.ndarray, owner: np.ndarray, labels: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
     """Fit by Adam on the weighted cross entropy of document labels, all gradients written out."""
     rng = np.random.default_rng(seed)
-    n, begin = len(labels), np.searchsorted(owner, np.arange(len(labels)))
     mean, scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-2
     data = ((x - mean) / scale).clip(-6, 6)
     draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
     w = {"W": draw(x.shape[1], EMBED), "b": np.zeros(EMBED), "V": draw(EMBED, GATE), "U": draw(EMBED, GATE), "w": draw(GATE), "c": draw(EMBED), "d": np.zeros(1)}
     first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    net, decay = Network(mean, scale, w), 1e-4
+    decay = 1e-4
     for t in range(1, epochs + 1):
-        h = np.tanh(data @ w["W"] + w["b"])
-        v, u = np.tanh(h @ w["V"]), _sigmoid(h @ w["U"])
-        logit = (v * u) @ w["w"]
-        e = np.exp(logit - np.maximum.reduceat(logit, begin)[owner])
-        a = e / np.add.reduceat(e, begin)[owner]
-        z = np.add.reduceat(a[:, None] * h, begin, axis=0)
-        p = _sigmoid(z @ w["c"] + w["d"][0])
-        g = weight * (p - labels) / weight.sum()
-        dz = g[:, None] * w["c"]
-        da = (h * dz[owner]).sum(1)
-        dlogit = a * (da - np.add.reduceat(a * da, begin)[owner])
-        dgate = dlogit[:, None] * w["w"]
-        dv, du = dgate * u * (1 - v**2), dgate * v * u * (1 - u)
-        dh = (a[:, None] * dz[owner] + dv @ w["V"].T + du @ w["U"].T) * (1 - h**2)
-        grad = {"W": data.T @ dh, "b": dh.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": (v * u).T @ dlogit, "c": z.T @ g, "d": np.array([g.sum()])}
+        _, grad = gradients(w, data, owner, labels, weight)
         for k in w:
             step = grad[k] + decay * w[k]
             first[k] = 0.9 * first[k] + 0.1 * step
             second[k] = 0.999 * second[k] + 0.001 * step**2
             w[k] -= 0.02 * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
-        assert n == len(p)
-    return net
+    return Network(mean, scale, w)
+
+
+def gradients(w: dict[str, np.ndarray], data: np.ndarray, owner: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """(weighted mean cross entropy, its gradient by each weight) over bags of standardised passages."""
+    begin = np.searchsorted(owner, np.arange(len(labels)))
+    h = np.tanh(data @ w["W"] + w["b"])
+    v, u = np.tanh(h @ w["V"]), _sigmoid(h @ w["U"])
+    logit = (v * u) @ w["w"]
+    e = np.exp(logit - np.maximum.reduceat(logit, begin)[owner])
+    a = e / np.add.reduceat(e, begin)[owner]
+    z = np.add.reduceat(a[:, None] * h, begin, axis=0)
+    p = _sigmoid(z @ w["c"] + w["d"][0])
+    loss = float(-(weight * (labels * np.log(p) + (1 - labels) * np.log(1 - p))).sum() / weight.sum())
+    g = weight * (p - labels) / weight.sum()
+    dz = g[:, None] * w["c"]
+    da = (h * dz[owner]).sum(1)
+    dlogit = a * (da - np.add.reduceat(a * da, begin)[owner])
+    dgate = dlogit[:, None] * w["w"]
+    dv, du = dgate * u * (1 - v**2), dgate * v * u * (1 - u)
+    dh = (a[:, None] * dz[owner] + dv @ w["V"].T + du @ w["U"].T) * (1 - h**2)
+    return loss, {"W": data.T @ dh, "b": dh.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": (v * u).T @ dlogit, "c": z.T @ g, "d": np.array([g.sum()])}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -197,13 +205,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network | None:
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, budget: int = BUDGET) -> Network | None:
     """Network from a bounded sample of labelled documents; None if there aren't both classes.
 
-    The sample: of each class the ``per_class`` documents that a hash of the id puts first, without held-out
-    ids.  Of several labels of a document the lowest counts; labels other than 0 and 1 don't.
+    The sample: of each class the ``per_class`` documents that a hash of the id puts first, without held-out ids, as
+    far as their passages stay within ``budget``; a document of more than a sixteenth of the budget comes after all
+    others.  Chosen documents are learnt from with all their passages, the first of a class whatever its size.  Of
+    several labels of a document the lowest counts; labels other than 0 and 1 don't.  Of repeated rows of an id one
+    is learnt from.
     """
-    usable = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    usable = own_columns(labels, ["doc_id", "quality"]).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    usable = usable.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     each = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = [F.xxhash64(F.lit(SEED), F.col("doc_id")), F.col("doc_id")]
     sizes = {r["quality"]: r["count"] for r in each.groupBy("quality").count().collect()}
@@ -213,18 +225,20 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column(2):
-                data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                x = np.concatenate([encode([piece])[0] for piece in pieces(data)])
-                if len(x) > FIT_PASSAGES:
-                    x = x[np.linspace(0, len(x) - 1, FIT_PASSAGES).astype(int)]
-                out.append(np.ascontiguousarray(x, "<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "quality", "x"])
-
-    # At most 2 * per_class rows are broadcast.
-    chosen = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
-    rows = chosen.mapInArrow(work, "doc_id long, quality int, x binary").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).collect()
+            for k in range(batch.num_rows):  # one row at a time: bags may be large
+                row = batch.slice(k, 1)
+                text = row.column(2)[0]
+                x = np.concatenate([encode([piece])[0] for piece in pieces(text.as_buffer().to_pybytes() if text.is_valid else b"")])
+                yield pa.RecordBatch.from_arrays([row.column(0), row.column(1), pa.array([len(x)], pa.int64()), pa.array([np.ascontiguousarray(x, "<f4").tobytes()], pa.binary())], names=["doc_id", "quality", "n", "x"])
+
+    # At most 2 * per_class rows are broadcast, and as many bags come out.
+    chosen = own_columns(documents, ["doc_id", "text"]).join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
+    bags_ = durable(chosen.mapInArrow(work, "doc_id long, quality int, n long, x binary"))
+    once = bags_.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min(F.struct("n", F.xxhash64("x").alias("h"))).alias("bag"))
+    turn = Window.partitionBy("quality").orderBy(F.col("bag.n") > budget // 16, *order)
+    fits = F.sum("bag.n").over(turn.rowsBetween(Window.unboundedPreceding, 0)) <= budget
+    kept = once.withColumn("fits", fits | (F.row_number().over(turn) == 1)).filter("fits").select("doc_id", "bag")
+    rows = bags_.join(F.broadcast(kept), "doc_id").filter((F.col("n") == F.col("bag.n")) & (F.xxhash64("x") == F.col("bag.h"))).select("doc_id", "quality", "x").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r["doc_id"])
     y = np.array([r["quality"] for r in rows])
     if len(set(y.tolist())) < 2:
@@ -236,47 +250,45 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     return train(np.concatenate(bags), owner, y.astype(float), np.array([share[q] for q in y]))
 
 
+def score_texts(net: Network | None, texts: list[bytes], piece: int = PIECE) -> np.ndarray:
+    """Scores of texts that fit in memory together; a single text is encoded piece by piece and its softmax merged."""
+    if net is None or not texts:
+        return np.full(len(texts), 0.5)
+    if len(texts) > 1 or len(texts[0]) <= piece:
+        return net.score(*encode(texts), len(texts))
+    top, mass, z = -np.inf, 0.0, np.zeros(EMBED)
+    for part in pieces(texts[0], piece):
+        h, logit = net.parts(encode([part])[0])
+        new = max(top, float(logit.max()))
+        e = np.exp(logit - new)
+        mass, z, top = mass * np.exp(top - new) + e.sum(), z * np.exp(top - new) + e @ h, new
+    return _sigmoid(np.array([z / mass @ net.weights["c"] + net.weights["d"][0]]))
+
+
 def score(documents: DataFrame, network: Network | None, name: str = "score") -> DataFrame:
-    """Add the quality score (0 to 1) of every whole text; existing columns stay, one of that name is replaced.
+    """Add the quality score (0 to 1) of every whole text; columns of any name stay, one of the score's name is replaced.
 
     Defined results: a null text counts as empty; an empty text has one passage with no words and is scored;
     without a network (no labels of both classes) every score is 0.5; repeated rows are scored alike; an empty
     table gives no rows.
     """
     keep = [c for c in documents.columns if c.lower() != name.lower()]
-    plain = documents.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)])
+    plain = by_place(documents).select(*[place_of(documents, c) for c in keep])
     at = keep.index("text")
     shared = documents.sparkSession.sparkContext.broadcast(network)
 
-    def one(texts: list[bytes]) -> np.ndarray:
-        net = shared.value
-        if net is None or not texts:
-            return np.full(len(texts), 0.5)
-        parts = [encode([piece]) for piece in pieces(texts[0])] if len(texts) == 1 else [encode(texts)]
-        if len(parts) == 1:
-            return net.score(*parts[0], len(texts))
-        top, mass, z = -np.inf, 0.0, np.zeros(EMBED)
-        for x, _ in parts:
-            h, logit = net.parts(x)
-            new = max(top, float(logit.max()))
-            e = np.exp(logit - new)
-            mass, z, top = mass * np.exp(top - new) + e.sum(), z * np.exp(top - new) + e @ h, new
-        return _sigmoid(np.array([z / mass @ net.weights["c"] + net.weights["d"][0]]))
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, group, size = [], [], 0
             for text in batch.column(at):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
                 if size + len(data) > PIECE and group:
-                    found.append(one(group))
+                    found.append(score_texts(shared.value, group))
                     group, size = [], 0
                 group.append(data)
                 size += len(data)
-            found.append(one(group))
+            found.append(score_texts(shared.value, group))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found).clip(0, 1), pa.float64())], names=[*batch.schema.names, "score"])
 
-    from pyspark.sql import types as T
-
     scored = plain.mapInArrow(work, T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())]))
-    return scored.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], F.col("score").alias(name))
+    return scored.toDF(*keep, name)
