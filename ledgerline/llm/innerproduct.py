@@ -6,14 +6,16 @@ reach its floor.  Inside a block, vectors are rotated by the singular vectors of
 coordinates hold most of the length: a partial sum over those plus the product of the residual lengths bounds
 a pair's score, and pairs below the floor go.  What is left is multiplied out in integers.
 
-At scale: the rotation is found from a d x d sum that is aggregated by position; the head and the blocks'
-lengths (at most ``MOST_BLOCKS`` numbers) are all that reaches the driver.  Queries are dealt into blocks as
-well (by the length they need, so whole blocks drop out), and one group is a pair of blocks: memory is
-bounded, nothing is collected, and ties of any number spread over blocks by id.
+At scale: the rotation is found from a d x d sum that is aggregated by position; the head and one number for each
+of at most ``LEVELS`` levels of length are all that reaches the driver.  A level is cut into blocks by a hash of the
+id, so equal lengths of any number spread over blocks.  Queries are dealt likewise by the length that they need, so
+whole levels drop out, into far larger blocks (``QUERY_BYTES``): a vector is copied once for each block of queries
+that may reach it.  One group is a pair of blocks, which is compared in slices: memory is bounded.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import durable
 from ledgerline.llm.vectors import best, matrix, usable
 
-#: Longest vectors that set the floors, rows of a block (candidates, queries), most blocks of a side.
-HEAD, BLOCK, QUERIES, MOST_BLOCKS = 2048, 4096, 2048, 65_536
+#: Longest vectors that set the floors, candidates of a block, bytes of a block of queries, levels of a side.
+HEAD, BLOCK, QUERY_BYTES, LEVELS = 2048, 4096, 32 << 20, 64
+#: Queries of a block that are compared at once.
+SLICE = 2048
 #: Shares of the rotated coordinates after which pairs are pruned.
 CUTS = (0.25, 0.5)
 
@@ -61,7 +65,7 @@ def _floors(scores: np.ndarray, qi: np.ndarray, ids: np.ndarray, k: int) -> np.n
     return np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) >= k else np.full(len(qi), -np.inf)
 
 
-def pair_block(x: np.ndarray, qi: np.ndarray, floor: np.ndarray, y: np.ndarray, yi: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pair_slice(x: np.ndarray, qi: np.ndarray, floor: np.ndarray, y: np.ndarray, yi: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, ids, scores): the k best of each query in a block that reach its floor."""
     d = x.shape[1]
     length = np.sqrt((y**2).sum(1))
@@ -112,6 +116,12 @@ def pair_block(x: np.ndarray, qi: np.ndarray, floor: np.ndarray, y: np.ndarray,
     return qi[a], ids, score
 
 
+def pair_block(x: np.ndarray, qi: np.ndarray, floor: np.ndarray, y: np.ndarray, yi: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """``pair_slice`` over slices of the queries."""
+    parts = [pair_slice(x[s : s + SLICE], qi[s : s + SLICE], floor[s : s + SLICE], y, yi, turn, k) for s in range(0, max(1, len(x)), SLICE)]
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
 def _keep_best(found: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a, ids, score = (np.concatenate(c) for c in zip(*found, strict=True))
     order = np.lexsort((ids, -score, a))
@@ -123,15 +133,35 @@ def _keep_best(found: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return a[keep], ids[keep], score[keep]
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: int = 64, head: int = HEAD, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
+def _blocks(rows: DataFrame, by: str, count: int, size: int, name: str) -> tuple[DataFrame, list[float], dict[int, int]]:
+    """Rows with ``name`` (level, block) of about ``size`` rows; the largest ``by`` of each level, levels falling; their blocks.
+
+    Levels are cut at approximate quantiles; a level's blocks at a hash of the id, as many as its rows need.
+    """
+    levels = max(1, min(LEVELS, -(-count // size)))
+    cuts = []
+    if levels > 1:
+        found = rows.agg(F.percentile_approx(by, [k / levels for k in range(1, levels)], 10_000).alias("q")).first()["q"]
+        cuts = sorted(set(found), reverse=True)
+    level = sum([(F.col(by) < F.lit(c)).cast("int") for c in cuts], F.lit(0))
+    placed = durable(rows.withColumn("_level", level))
+    sizes = {r["_level"]: (r["n"], r["top"]) for r in placed.groupBy("_level").agg(F.count(F.lit(1)).alias("n"), F.max(by).alias("top")).collect()}
+    blocks = F.create_map(*[F.lit(x) for v, (n, _) in sizes.items() for x in (v, -(-n // size))])
+    block = F.pmod(F.xxhash64(F.lit(name), "vec_id"), blocks[F.col("_level")])
+    tops = [sizes[v][1] if v in sizes else -math.inf for v in range(len(cuts) + 1)]
+    return placed.withColumn(name, F.struct(F.col("_level").alias("level"), block.cast("int").alias("block"))).drop("_level"), tops, {v: -(-n // size) for v, (n, _) in sizes.items()}
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: int = 64, head: int = HEAD, block: int = BLOCK, queries: int | None = None) -> DataFrame:
     """The k highest integer inner products of every query row with all other rows, exactly.
 
-    Components are floor(scale * x).  ``is_query`` is a condition on ``vec_id``.  Returns query_id, rank (from
-    1), vec_id, score; equal scores are ranked by vec_id.  Defined results: vectors that are null, empty, of
-    another dimension than most or that hold null or non-finite components take no part, nor do rows with a
-    null id; a row is not its own candidate, nor is a repeated row of its id; repeated rows count once; with
-    fewer than k candidates all are returned; an empty table gives no rows; further columns are not looked
-    at.  Scores are exact while |floor(scale * x)| < 2**26 and sums stay in 64 bits.
+    Components are floor(scale * x).  ``is_query`` is a condition on ``vec_id``; ``queries`` the rows of a block of
+    queries (by default as many as QUERY_BYTES hold).  Returns query_id, rank (from 1), vec_id, score; equal scores
+    are ranked by vec_id.  Defined results: vectors that are null, empty, of another dimension than most or that
+    hold null or non-finite components take no part, nor do rows with a null id; a row is not its own candidate,
+    nor is a repeated row of its id; repeated rows count once; with fewer than k candidates all are returned; an
+    empty table gives no rows; further columns are not looked at.  Scores are exact while |floor(scale * x)| <
+    2**26 and sums stay in 64 bits.
     """
     rows, d, count = quantised(vectors, key, vector, scale)
     spark = vectors.sparkSession
@@ -141,33 +171,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
     seen = {r["vec_id"]: r["v"] for r in longest}
     shared = spark.sparkContext.broadcast((rotation(rows, d), np.array(list(seen), np.int64), np.array(list(seen.values())).reshape(-1, d)))
 
-    size = max(block, -(-count // MOST_BLOCKS))
-    dealt = rows.repartitionByRange(max(1, -(-count // size)), F.desc("norm"), F.col("vec_id"))
-    blocks = durable(dealt.withColumn("b", F.spark_partition_id()))
-    lengths = {r["b"]: r["m"] for r in blocks.groupBy("b").agg(F.max("norm").alias("m")).collect()}
-
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, ids, top = shared.value
         for batch in batches:
             qi, x = batch.column(0).to_numpy(), matrix(batch.column(1), d)
             low = np.concatenate([_floors(x[s : s + 1024] @ top.T, qi[s : s + 1024], ids, k) for s in range(0, len(x), 1024)]) if len(x) else np.zeros(0)
             norm = np.sqrt((x**2).sum(1))
-            need = np.divide(low, norm, out=np.full(len(x), -np.inf), where=norm > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low), pa.array(need)], names=["vec_id", "v", "floor", "need"])
+            # Negated, so that levels fall from the queries that need least.
+            need = np.divide(-low, norm, out=np.full(len(x), np.inf), where=norm > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low), pa.array(need)], names=["vec_id", "v", "floor", "reach"])
 
-    asked = rows.filter(is_query).select("vec_id", "v").mapInArrow(floors, "vec_id long, v array<double>, floor double, need double")
+    asked = durable(rows.filter(is_query).select("vec_id", "v").mapInArrow(floors, "vec_id long, v array<double>, floor double, reach double"))
     n_queries = asked.count()
     if not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    qsize = max(queries, -(-n_queries // MOST_BLOCKS))
-    asked = durable(asked.repartitionByRange(max(1, -(-n_queries // qsize)), "need", "vec_id").withColumn("q", F.spark_partition_id()))
-    needs = {r["q"]: r["n"] for r in asked.groupBy("q").agg(F.min("need").alias("n")).collect()}
-    # Blocks lie by falling length, so a query block meets blocks 0 .. its last; and the other way round.
-    order = sorted(lengths)
-    reach = {q: max((b for b in order if lengths[b] * (1 + 1e-9) + 1e-9 >= n), default=-1) for q, n in needs.items()}
-    last_q = {b: max((q for q, r in reach.items() if r >= b), default=-1) for b in order}
-    left = _dealt(asked, "q", reach, "b", spark)
-    right = _dealt(blocks, "b", last_q, "q", spark)
+    blocks, tops, b_sizes = _blocks(rows, "norm", count, block, "b")
+    asked, reach, q_sizes = _blocks(asked, "reach", n_queries, queries or max(SLICE, QUERY_BYTES // (8 * d)), "q")
+    # A level of queries meets the levels of vectors that are long enough for the one that needs least.
+    met = [(q, b) for q, least in enumerate(reach) for b, top in enumerate(tops) if q in q_sizes and b in b_sizes and top * (1 + 1e-9) + 1e-9 >= -least]
+    left = _dealt(asked, "q", "b", met, b_sizes)
+    right = _dealt(blocks, "b", "q", [(b, q) for q, b in met], q_sizes)
 
     def group(q: pa.Table, p: pa.Table) -> pa.Table:
         if q.num_rows and p.num_rows:
@@ -180,7 +203,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
     return best(partial, k, F.desc("score"))
 
 
-def _dealt(rows: DataFrame, own: str, last: dict[int, int], other: str, spark) -> DataFrame:
-    """Rows of a block once for each block of the other side up to the last that it meets."""
-    met = spark.createDataFrame([(k, v) for k, v in last.items() if v >= 0] or [(-1, 0)], f"{own} int, _last int")
-    return rows.join(F.broadcast(met), own).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_last")))).drop("_last")
+def _dealt(rows: DataFrame, own: str, other: str, met: list[tuple[int, int]], sizes: dict[int, int]) -> DataFrame:
+    """Rows of a level once for each block of the levels of the other side that it meets (LEVELS squared pairs at most)."""
+    of: dict[int, list[int]] = {}
+    for a, b in met:
+        of.setdefault(a, []).append(b)
+    if not of:
+        return rows.limit(0).withColumn(other, F.col(own))
+    levels = F.create_map(*[F.lit(x) for a, bs in of.items() for x in (a, F.array(*[F.struct(F.lit(b).alias("level"), F.lit(sizes[b]).alias("n")) for b in bs]))])
+    pairs = F.flatten(F.transform(levels[F.col(own)["level"]], lambda s: F.transform(F.sequence(F.lit(0), s["n"] - 1), lambda k: F.struct(s["level"].alias("level"), k.alias("block")))))
+    return rows.withColumn(other, F.explode(pairs))
