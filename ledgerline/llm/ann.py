@@ -4,8 +4,10 @@ Fit, on a bounded sample: centroids by k-means whose assignment is charged for c
 out balanced; a graph links each centroid to its nearest ones.  Index, every row: a best-first walk of the
 in-memory graph finds a vector's nearest centroids; it goes to the nearest list and, as a boundary vector, to
 others within (1 + near) of that distance, up to ``copies`` lists.  Search: the same walk ranks the lists for
-a query; it reads those within (1 + ratio) of the nearest, up to a share ``probe`` of all lists.  Queries that get fewer than
-min(k, candidates) answers so are searched again without the ratio, and those still short over all lists.
+a query; it reads its ``least`` nearest lists and all others within (1 + ratio) of the nearest one's distance, and
+nothing else bounds how many those are.  Queries that get fewer than min(k, candidates) answers so are searched again
+over ``WIDER`` times as many lists, and those still short over all lists.  The same rule holds at every size of table;
+``ratio=math.inf`` reads all lists and is exact.
 
 At scale: only centroids and graph (at most ``most_lists`` rows) are broadcast.  A posting list of any size
 is cut into chunks, and so are the queries that read it; each pair of chunks is one group, so no task holds a
@@ -29,9 +31,9 @@ from ledgerline.llm.vectors import best, matrix, usable
 #: Most lists, sampled rows a list, and rows of a chunk.
 MOST_LISTS, SAMPLE, CHUNK = 4096, 16, 4096
 #: A vector goes to lists within 1 + NEAR of its nearest centroid, COPIES at most.
-NEAR, COPIES = 0.1, 4
-#: A query reads lists within 1 + RATIO of its nearest centroid, a share PROBE of them at most.
-RATIO, PROBE = 0.4, 0.2
+NEAR, COPIES = 0.1, 2
+#: A query reads its LEAST nearest lists and those within 1 + RATIO of its nearest centroid; WIDER times as many again.
+RATIO, LEAST, WIDER = 0.16, 16, 16
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -70,8 +72,6 @@ class Graph:
         self.links = np.argsort(d, axis=1, kind="stable")[:, : self.degree] if k > 1 else np.zeros((1, 1), np.int64)
         # The walk starts from spread entries: every round(sqrt(k))-th centroid.
         self.entries = np.arange(0, k, max(1, round(math.sqrt(k))))
-        #: Mean distance of a centroid to the nearest other.
-        self.spread = float(np.sqrt(d.min(axis=1)).mean()) if k > 1 else 0.0
 
     def nearest(self, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
         """(lists, distances), nearest first, of the ``want`` nearest centroids that the walk finds."""
@@ -109,6 +109,23 @@ class Graph:
             out_i[s : s + n], out_d[s : s + n] = order, np.sqrt(far[rows, order])
         return out_i, out_d
 
+    def within(self, x: np.ndarray, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of the ``least`` nearest lists of each row and of those within 1 + ratio of the nearest.
+
+        The walk is widened for the rows whose last list found is still near enough.
+        """
+        k = len(self.centres)
+        todo, want, found = np.arange(len(x)), k if math.isinf(ratio) else min(k, max(32, 2 * least)), []
+        while len(todo):
+            lists, far = self.nearest(x[todo], want)
+            limit = np.inf if math.isinf(ratio) else (1 + ratio) * far[:, :1]
+            done = (far[:, -1] > np.ravel(limit)) if want < k else np.ones(len(todo), bool)
+            good = ((far <= limit) | (np.arange(want) < least)) & np.isfinite(far) & done[:, None]
+            row, col = np.nonzero(good)
+            found.append((todo[row], lists[row, col]))
+            todo, want = todo[~done], min(k, 4 * want)
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+
 
 def fit(vectors: DataFrame, rows: int, most_lists: int = MOST_LISTS) -> Graph:
     """Graph of about sqrt(rows) balanced centroids, from SAMPLE rows for each, chosen by a hash of the id."""
@@ -118,23 +135,22 @@ def fit(vectors: DataFrame, rows: int, most_lists: int = MOST_LISTS) -> Graph:
     return Graph(balanced_centroids(sample, min(lists, len(sample))))
 
 
-def _routed(rows: DataFrame, graph, want: int, ratio: float, d: int, floor: bool) -> DataFrame:
-    """One row (list, id, v) for each list a vector goes to.
-
-    With ``floor``, a nearest distance below the spread of the centroids counts as that spread: a query that
-    lies on a centroid still looks around.
-    """
+def _routed(rows: DataFrame, graph, d: int, ratio: float, least: int, most: int | None = None) -> DataFrame:
+    """One row (list, id, v) for each list that a vector goes to, ``most`` of them at most."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 2048):
                 part = batch.slice(s, 2048)
-                lists, far = graph.value.nearest(matrix(part.column(1), d), want)
-                nearest = np.maximum(far[:, :1], graph.value.spread) if floor else far[:, :1]
-                good = (far <= (1 + ratio) * nearest) & np.isfinite(far)
-                row, col = np.nonzero(good)
+                x = matrix(part.column(1), d)
+                if most is None:
+                    row, lists = graph.value.within(x, ratio, least)
+                else:
+                    near, far = graph.value.nearest(x, most)
+                    row, col = np.nonzero((far <= (1 + ratio) * far[:, :1]) & np.isfinite(far))
+                    lists = near[row, col]
                 taken = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(lists[row, col].astype(np.int32)), *taken.columns], names=["list", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), *taken.columns], names=["list", "id", "v"])
 
     return rows.select(F.col("vec_id").alias("id"), "v").mapInArrow(work, "list int, id long, v array<double>")
 
@@ -155,14 +171,14 @@ def _crossed(rows: DataFrame, other: dict[int, int], own: str, name: str) -> Dat
     return rows.withColumn(name, F.explode(F.sequence(F.lit(0), F.coalesce(cuts[F.col("list")], F.lit(1)) - 1))).withColumnRenamed("c", own)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", near: float = NEAR, copies: int = COPIES, ratio: float = RATIO, probe: float = PROBE, most_lists: int = MOST_LISTS, chunk: int = CHUNK) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", near: float = NEAR, copies: int = COPIES, ratio: float = RATIO, least: int = LEAST, most_lists: int = MOST_LISTS, chunk: int = CHUNK) -> DataFrame:
     """The k nearest other rows found for every query row, by Euclidean distance in double precision.
 
     ``is_query`` is a condition on ``vec_id``.  Returns query_id, rank (from 1), vec_id and score; equal
     distances are ranked by vec_id.  Defined results: vectors that are null, empty, zero, of another dimension
     than most or that hold null or non-finite components take no part, nor do rows with a null id; a row never
-    is its own neighbour, nor is a repeated row of its id; repeated rows count once; with few rows every
-    candidate is returned; an empty table gives no rows; further columns are not looked at.
+    is its own neighbour, nor is a repeated row of its id; repeated rows count once; with fewer than k candidates
+    all are returned; an empty table gives no rows; further columns are not looked at.
     """
     rows, d, count = usable(vectors, key, vector)
     rows = rows.filter(F.exists("v", lambda x: x != 0))
@@ -172,8 +188,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id
     fitted = fit(rows, count, most_lists)
     graph, lists = spark.sparkContext.broadcast(fitted), len(fitted.centres)
     need = min(k, rows.select("vec_id").distinct().count() - 1)
-    want = max(min(lists, 16), math.ceil(probe * lists))
-    posted, posting_chunks = _chunked(durable(_routed(rows, graph, copies, near, d, False)), chunk)
+    posted, posting_chunks = _chunked(durable(_routed(rows, graph, d, near, 1, min(copies, lists))), chunk)
     keys = ["list", "pc", "qc"]
 
     def group(q: pa.Table, p: pa.Table) -> pa.Table:
@@ -198,20 +213,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id
             out.append((qi[s + a[keep]], pi[b[keep]], exact[keep]))
         return pa.table({n: np.concatenate(c) for n, c in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
 
-    def answers(queries: DataFrame, want: int, ratio: float) -> DataFrame:
-        asked, query_chunks = _chunked(durable(_routed(queries, graph, want, ratio, d, True)), chunk)
+    def answers(queries: DataFrame, ratio: float, least: int) -> DataFrame:
+        asked, query_chunks = _chunked(durable(_routed(queries, graph, d, ratio, least)), chunk)
         left = _crossed(asked, posting_chunks, "qc", "pc")
         right = _crossed(posted, query_chunks, "pc", "qc")
         partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(group, "query_id long, vec_id long, score double")
         return durable(best(partial, k, F.col("score")))
 
     queries = rows.filter(is_query)
-    found = answers(queries, want, ratio)
-    for wider in (want, lists):
+    found = answers(queries, ratio, least)
+    for wider in ((ratio, WIDER * least), (math.inf, 1)):
         enough = found.groupBy("query_id").count().filter(F.col("count") >= need).select(F.col("query_id").alias("vec_id"))
         short = durable(queries.join(enough, "vec_id", "left_anti").select("vec_id", "v"))
         if need <= 0 or short.isEmpty():
             break
-        again = answers(short, wider, 1e9)
+        again = answers(short, *wider)
         found = found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)
     return found.select("query_id", "rank", "vec_id", "score")

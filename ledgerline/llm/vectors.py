@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import own_columns
+
 
 def finite(vector: Column) -> Column:
     """Whether a vector has components and all of them are numbers."""
@@ -20,7 +22,7 @@ def usable(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, int, i
     Rows with a null id or a vector that is null, empty or not finite take no part.  Of several dimensions
     the most common one counts (of equally common ones the largest); vectors of others take no part.
     """
-    rows = vectors.select(F.col(f"`{key}`").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
+    rows = own_columns(vectors, [key, vector]).toDF("vec_id", "v").withColumn("v", F.col("v").cast("array<double>"))
     rows = rows.filter(F.col("vec_id").isNotNull() & finite(F.col("v")))
     found = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     if found is None:
