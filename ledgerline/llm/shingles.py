@@ -1,38 +1,44 @@
-"""Near copies by word shingles: candidates from MinHash bands, each checked on the whole shingle sets.
+"""Near copies by word shingles: SimHash candidates, each checked on the whole shingle sets.
 
 1. Sets: a text is the set of XXH64 hashes of its word shingles; texts with equal sets are one row from here on.
-   A set's MinHash values are cut into BANDS bands of ROWS values; sets that agree in a band are candidates.
-   A pair of similarity s is missed with probability (1 - s ** ROWS) ** BANDS: 0.0007 at 0.8.
-2. First pass: along the first CHAINED bands, every set is compared with the next of its bucket only (by size),
-   so no set is in more than 2 * CHAINED pairs and a large group of near copies isn't compared pair by pair.
-3. Second pass: all pairs of all buckets whose sets aren't connected yet.  No caps.
-4. A pair is linked if its shingle sets have a Jaccard similarity of at least ``similarity``, counted exactly in
+   A set's fingerprint has 64 * PLANES bits, a bit being set if it is in over half of the hashes (or of a mixture of
+   them).  Two sets of Jaccard similarity s and like size differ in about acos(2 s / (1 + s)) / pi of the bits: 15 %
+   at 0.8, and in at most RADIUS bits with a probability of 0.997 there, more above.
+2. Candidates: a radius that wide can't be covered by bands without buckets that hold most fingerprints.  Instead a
+   fingerprint goes to one bucket in each of several tables, keyed by bits drawn at random; a pair of similarity 0.8
+   shares a bucket in at least one table with a probability of 0.994 (``TABLES``).  Buckets are compared bit-sliced, as
+   in ``simhash``; there are no caps.
+3. Check: a pair is linked if its shingle sets have a Jaccard similarity of at least ``similarity``, counted exactly in
    DataFrame functions; only the sets of candidates are made again for that.  Groups are connected components.
+4. A bucket gives a forest of candidates and not all pairs of a group, first from CHAINED tables, then from all tables
+   among sets that aren't connected yet.  Where a tree of the forest had a link that the check turned down, its members
+   that aren't connected are compared once more, all with all, so that a wrong candidate hides no right one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerline.llm.common import durable
-from ledgerline.llm.simhash import SEED, components
+from ledgerline.llm.common import among, durable, own_columns
+from ledgerline.llm.simhash import SEED, SPLIT, by_bucket, components, kept_rows, near_pairs, numbered
 
 #: Words of a shingle and least similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
-#: Bands, MinHash values of a band, and bands of the first pass.
-BANDS, ROWS, CHAINED = 24, 6, 3
+#: 64-bit words of a fingerprint, and most differing bits of a candidate.
+PLANES, RADIUS = 2, 30
+#: Bits of a table's key and tables, by the number of sets up to which they are used.
+TABLES = ((10, 24, 1 << 21), (16, 64, 1 << 27), (20, 136, 1 << 62))
+#: Tables of the first pass.
+CHAINED = 3
 #: Rounding slack of a comparison of whole numbers with a share.
 SLACK = 1e-9
 
-_RNG = np.random.default_rng(SEED)
-_FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_TERMS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-
 
 def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
     """Sorted distinct shingle hashes of a UTF-8 text; a text of fewer words is hashed whole, one without words is empty."""
@@ -49,18 +55,30 @@ def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :], strict=True)), np.uint64, len(starts)))
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """One key a band, from the MinHash values of a set that isn't empty."""
-    import xxhash
+def fingerprint(hashes: np.ndarray) -> list[int]:
+    """The words of a set's fingerprint as signed numbers."""
+    out = []
+    for plane in range(PLANES):
+        votes = np.zeros(64, np.int64)
+        for k in range(0, len(hashes), 1 << 16):
+            part = _mixed(hashes[k : k + (1 << 16)], plane).astype(">u8")
+            votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(votes * 2 > len(hashes)).view(">i8")[0]))
+    return out
+
 
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for k in range(0, len(hashes), 512):
-        least = np.minimum(least, (hashes[k : k + 512, None] * _FACTORS + _TERMS).min(axis=0))
-    return np.array([xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64).tolist()
+def _mixed(hashes: np.ndarray, plane: int) -> np.ndarray:
+    """The hashes themselves, or another hash made of each."""
+    if not plane:
+        return hashes
+    x = hashes ^ (hashes >> np.uint64(33))
+    x = x * np.uint64(0xFF51AFD7ED558CCD + 2 * plane)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(32))
 
 
-def _sets(documents: DataFrame, words: int, whole: bool) -> DataFrame:
-    """doc_id, sid (a hash of the shingle set) and n (its size), with the set itself (``whole``) or its bands' keys."""
+def _made(documents: DataFrame, words: int, what: str, more: Sequence[str] = ()) -> DataFrame:
+    """doc_id, fp (a hash of the shingle set), n (its size) and ``values``: the fingerprint ("print") or the set ("set"); ``more`` columns."""
     import xxhash
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,62 +86,127 @@ def _sets(documents: DataFrame, words: int, whole: bool) -> DataFrame:
             for s in range(0, batch.num_rows, 512):
                 part = batch.slice(s, 512)
                 found = [shingle_set(x.as_buffer().to_pybytes() if x.is_valid else b"", words) for x in part.column(1)]
-                sid = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], np.uint64).view(np.int64)
-                lists = pa.array([h.view(np.int64) if whole else band_keys(h) if len(h) else [] for h in found], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sid), pa.array([len(h) for h in found], pa.int32()), lists], names=["doc_id", "sid", "n", "values"])
+                fp = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], np.uint64).view(np.int64)
+                lists = pa.array([h.view(np.int64) if what == "set" else fingerprint(h) for h in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), pa.array([len(h) for h in found], pa.int32()), lists, *part.columns[2:]], names=["doc_id", "fp", "n", "values", *more])
+
+    source = own_columns(documents, ["doc_id", "text", *more])
+    kinds = [*T._parse_datatype_string("doc_id long, fp long, n int, values array<long>").fields, *[source.schema[c] for c in more]]
+    return source.mapInArrow(work, T.StructType(kinds))
+
+
+def _keyed(nodes: DataFrame, bits: int, tables: range) -> DataFrame:
+    """Nodes (sid, n, root, values) once for each table, with ``key``: the number of the table and the drawn bits."""
+    drawn = [np.random.default_rng([SEED, t]).choice(64 * PLANES, bits, replace=False) for t in tables]
+    power = (1 << np.arange(bits)).astype(np.int64)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 4096):
+                part = batch.slice(s, 4096)
+                words = np.asarray(part.column(3).flatten(), np.int64).reshape(part.num_rows, PLANES)
+                lit = np.unpackbits(words.astype(">i8").view(np.uint8).reshape(part.num_rows, -1), axis=1)
+                keys = [lit[:, places] @ power + (t << bits) for t, places in zip(tables, drawn, strict=True)]
+                for key in keys:
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(key)], names=["sid", "n", "root", "values", "key"])
+
+    return nodes.select("sid", "n", "root", "values").mapInArrow(work, "sid long, n int, root long, values array<long>, key long")
 
-    return documents.select("doc_id", "text").mapInArrow(work, "doc_id long, sid long, n int, values array<long>")
+
+def _close(rows: DataFrame, similarity: float, unite: bool, split: int) -> DataFrame:
+    """(a, b, tree): candidate pairs within the buckets of rows (sid, n, root, values, key) whose roots differ.
+
+    With ``unite`` they are a forest; ``tree`` names the tree, and each of its members is paired with itself as well.
+    Sizes that are too far apart are no candidates.
+    """
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        some, bucket, side = numbered(table)
+        sid, n, root, key = (table.column(c).to_numpy()[some] for c in ("sid", "n", "root", "key"))
+        words = np.asarray(table.column("values").combine_chunks().flatten(), np.int64).reshape(-1, PLANES)[some].view(np.uint64)
+        # One label for each root of a bucket: the first row that has it.
+        order = np.lexsort((root, bucket))
+        new = np.ones(len(order), bool)
+        new[1:] = (root[order][1:] != root[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
+        label = np.empty(len(order), np.int64)
+        label[order] = np.minimum.reduceat(order, np.flatnonzero(new))[np.cumsum(new) - 1] if len(order) else order
+        fits = lambda i, j: np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - SLACK
+        i, j, label = near_pairs(bucket, words, side, RADIUS, label, unite, fits)
+        # Members of the trees, those that were connected before included, as pairs with themselves.
+        member = np.flatnonzero(np.isin(label, label[i])) if unite else np.zeros(0, np.int64)
+        i, j = np.concatenate([i, member]), np.concatenate([j, member])
+        tree = sid[label[i]] * np.int64(-7046029254386353131) ^ key[i]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[i], sid[j])), pa.array(np.maximum(sid[i], sid[j])), pa.array(tree)], names=["a", "b", "tree"])
+
+    return by_bucket(rows, "sid", compare, "a long, b long, tree long", split)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, documents: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of sets that are similar enough."""
     members = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    ids = sets.join(members, "sid", "left_semi").select(F.col("least").alias("doc_id"))
-    made = durable(_sets(documents.join(ids, "doc_id", "left_semi"), words, True).dropDuplicates(["sid"]).select("sid", "values"))
-    both = pairs.join(made.select(F.col("sid").alias("a"), F.col("values").alias("x")), "a").join(made.select(F.col("sid").alias("b"), F.col("values").alias("y")), "b")
+    ids = durable(sets.join(members, "sid", "left_semi").select(F.col("least").alias("doc_id")).distinct())
+    made = durable(_made(among(documents, ids, "doc_id"), words, "set").dropDuplicates(["fp"]).select("fp", "values"))
+    both = pairs.join(made.select(F.col("fp").alias("a"), F.col("values").alias("x")), "a").join(made.select(F.col("fp").alias("b"), F.col("values").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - SLACK).select("a", "b")
 
 
-def near_copies(documents: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def _with_roots(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """Sets with the smallest set that each reaches over links."""
+    roots = components(links, "a", "b")
+    return durable(sets.drop("root").join(roots, sets.sid == roots.node, "left").withColumn("root", F.coalesce("root", "sid")).drop("node"))
+
+
+def _grouped(documents: DataFrame, words: int, similarity: float, split: int) -> DataFrame:
+    """doc_id, fp (of its shingle set), root and component_id of every row with an id."""
+    named = own_columns(documents, ["doc_id", "text"]).filter("doc_id is not null")
+    prints = durable(_made(named, words, "print"))
+    sets = durable(prints.groupBy(F.col("fp").alias("sid")).agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("values").alias("values"))).withColumn("root", F.col("sid"))
+    some = sets.filter("n > 0")
+    bits, tables, _ = next(x for x in TABLES if some.count() <= x[2])
+
+    def new(found: DataFrame, known: DataFrame | None) -> DataFrame:
+        pairs = found.filter("a <> b").select("a", "b").distinct()
+        return durable(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
+
+    # First a few tables, so that large groups are connected; then all, among what isn't connected.
+    pairs = new(durable(_close(_keyed(some, bits, range(CHAINED)), similarity, True, split)), None)
+    links = durable(_similar(pairs, sets, named, words, similarity))
+    sets = _with_roots(sets, links)
+    found = durable(_close(_keyed(sets.filter("n > 0"), bits, range(tables)), similarity, True, split))
+    more = new(found, pairs)
+    links = durable(links.union(_similar(more, sets, named, words, similarity)))
+    sets = _with_roots(sets, links)
+    # Trees with a link that was turned down: their members are compared all with all.
+    broken = durable(found.filter("a <> b").join(links, ["a", "b"], "left_anti").select("tree").distinct())
+    again = found.filter("a = b").join(broken, "tree", "left_semi").select(F.col("tree").alias("key"), F.col("a").alias("sid")).distinct()
+    apart = new(_close(again.join(sets.select("sid", "n", "root", "values"), "sid").select("sid", "n", "root", "values", "key"), similarity, False, split), pairs.union(more))
+    if not apart.isEmpty():
+        links = durable(links.union(_similar(apart, sets, named, words, similarity)))
+        sets = _with_roots(sets, links)
+    least = durable(sets.groupBy("root").agg(F.min("least").alias("component_id")))
+    by_set = durable(sets.join(least, "root").select(F.col("sid").alias("fp"), "root", "component_id"))
+    return prints.select("doc_id", "fp").join(by_set, "fp")
+
+
+def near_copies(documents: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, split: int = SPLIT) -> DataFrame:
     """doc_id and component_id, the smallest doc_id that is reached over links of similar shingle sets.
 
-    Defined results: rows with a null id take no part; case and the kind of white space between words don't
-    count; texts that are null or have no word are one group; an empty table gives no rows.
+    Defined results: rows with a null id take no part; case (A-Z) and the kind of white space between words don't
+    count; texts that are null or have no word are one group; repeated rows come back as often; further columns are
+    not looked at; an empty table gives no rows.
     """
-    named = documents.filter("doc_id is not null")
-    prints = durable(_sets(named, words, False))
-    sets = durable(prints.groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("values").alias("values")))
-    by = Window.partitionBy("band", "key").orderBy("n", "sid")
-    rows = sets.select("sid", "n", F.posexplode("values").alias("band", "key"))
-    rows = rows.withColumn("before", F.lag("sid").over(by)).withColumn("n_before", F.lag("n").over(by)).withColumn("after", F.lead("sid").over(by))
-    shared = durable(rows.filter("before is not null or after is not null").drop("after"))
-    alike = lambda small, large: F.col(small) >= F.lit(similarity) * F.col(large) - SLACK
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-
-    chained = durable(shared.filter((F.col("band") < CHAINED) & F.col("before").isNotNull() & alike("n_before", "n")).select(*pair("before", "sid")).distinct())
-    links = durable(_similar(chained, sets, named, words, similarity))
-    roots = components(links, "a", "b")
-
-    at = shared.join(roots, shared.sid == roots.node, "left").select("band", "key", "sid", "n", F.coalesce("root", "sid").alias("root"))
-    mixed = at.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band", "key")
-    at = durable(at.join(mixed, ["band", "key"], "left_semi"))
-    other = at.select("band", "key", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    apart = at.join(other, ["band", "key"]).filter((F.col("root") < F.col("root2")) & (F.least("n", "n2") >= F.lit(similarity) * F.greatest("n", "n2") - SLACK))
-    open_ = durable(apart.select(*pair("sid", "sid2")).distinct().join(chained, ["a", "b"], "left_anti"))
-    links = links.union(_similar(open_, sets, named, words, similarity))
-
-    roots = components(links, "a", "b")
-    grouped = sets.join(roots, sets.sid == roots.node, "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "sid").join(grouped.join(least, "root").select("sid", "component_id"), "sid").select("doc_id", "component_id")
+    return _grouped(documents, words, similarity, split).select("doc_id", "component_id")
 
 
 def representatives(documents: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The documents with one of each group of near copies: the one with the smallest id.
 
-    Columns stay as they are.  Of repeated rows with that id one stays; rows with a null id all stay.
+    Columns of any name stay as they are.  Of several texts with that id in one group one stays (that whose set hashes
+    to the smallest number), of repeated rows one; rows with a null id all stay.  Only ids and fingerprints are
+    shuffled, texts only where ``common.among`` says so or an id is repeated.
     """
-    kept = near_copies(documents, words, similarity).filter("doc_id = component_id").select("doc_id").distinct()
-    named = documents.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*documents.columns).union(documents.filter("doc_id is null"))
+    found = durable(_grouped(documents, words, similarity, SPLIT))
+    best = durable(found.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("best")).select("best.*"))
+    counted = durable(found.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n")))
+    return kept_rows(documents, counted, best, lambda docs: _made(docs, words, "print", ["row"]))

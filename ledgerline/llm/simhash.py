@@ -14,20 +14,23 @@
    Buckets beyond ``split`` fingerprints are dealt out as pairs of chunks, so no task holds a whole one.
 4. Groups: connected components over distinct fingerprints by alternating large-star and small-star steps
    on DataFrames, checkpointed, until nothing changes.  Neither links nor fingerprints go to the driver.
+
+Joins on a group's root or on a fingerprint meet tables that are checkpointed first, so that a hot root or
+fingerprint is a skewed join, which Spark splits, and never one task behind an aggregation.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerline.llm.common import durable
+from ledgerline.llm.common import among, by_place, durable, own_columns, place_of
 
 #: Words of a shingle and most differing bits of a link.
 WORDS, RADIUS = 4, 4
@@ -66,16 +69,18 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int(set_.view(">u8")[0])
 
 
-def fingerprints(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every document."""
+def fingerprints(documents: DataFrame, words: int = WORDS, more: Sequence[str] = ()) -> DataFrame:
+    """doc_id and fp (the fingerprint's bits as a signed long) of every document, and ``more`` of its columns."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
             found = np.fromiter((fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", words) for x in texts), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *more])
 
-    return documents.select("doc_id", "text").mapInArrow(work, "doc_id long, fp long")
+    source = own_columns(documents, ["doc_id", "text", *more])
+    kinds = [*T._parse_datatype_string("doc_id long, fp long").fields, *[source.schema[c] for c in more]]
+    return source.mapInArrow(work, T.StructType(kinds))
 
 
 # -- comparison --------------------------------------------------------------------------------------
@@ -108,7 +113,7 @@ def _close(planes: np.ndarray, d: int, live: np.ndarray, radius: int) -> np.ndar
     a, b = planes[:, at], _shifted(planes, at, d)
     count = [np.zeros(len(at), np.uint64) for _ in range(width)]
     over = np.zeros(len(at), np.uint64)  # lanes that have passed 2 ** width - 1
-    for k in range(0, 64, 2):
+    for k in range(0, len(planes), 2):
         x, y = a[k] ^ b[k], a[k + 1] ^ b[k + 1]
         # Two differences and the lowest counter word go in, a sum and a carry come out.
         half = x ^ y
@@ -143,22 +148,23 @@ def _above(count: list[np.ndarray], radius: int) -> np.ndarray:
     return above
 
 
-def nearest_roots(bucket: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """(fp, root) for every fingerprint that links to another in a bucket; root: the smallest it reaches there.
+def near_pairs(bucket: np.ndarray, words: np.ndarray, side: np.ndarray, radius: int, label: np.ndarray, unite: bool = True, fits: Callable | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, labels): pairs of rows of a bucket with at most ``radius`` differing bits.
 
-    ``bucket`` numbers are sorted; ``fp`` are distinct within a bucket.  ``side`` is 0 where a fingerprint
-    is compared with all others of its bucket; buckets of two chunks carry 1 and 2, and only pairs of
-    different sides are compared.
+    ``words`` has a row of 64-bit words for each fingerprint, ``bucket`` numbers are sorted.  Rows of one label aren't
+    compared; with ``unite`` a pair's labels become one, so that the pairs are a forest and not all pairs of a group.
+    ``side`` is 0 where a row is compared with all others of its bucket; buckets of two chunks carry 1 and 2, and
+    only pairs of different sides are compared.  ``fits`` (i, j) may turn pairs down.
     """
-    n = len(fp)
-    ends = np.searchsorted(bucket, bucket, "right")
-    room = ends - np.arange(n)  # lanes i .. i + room - 1 are of the same bucket
+    n = len(bucket)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), label
+    room = np.searchsorted(bucket, bucket, "right") - np.arange(n)  # lanes i .. i + room - 1 are of the same bucket
     width = -(-n // 64)
-    bits = np.unpackbits(fp.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    planes = np.stack([_lanes(bits[:, k], width) for k in range(64)])
-    label = np.arange(n)
-    alone = not side.any()
-    index = np.arange(n)
+    bits = np.unpackbits(np.ascontiguousarray(words, ">u8").view(np.uint8).reshape(n, -1), axis=1)
+    planes = np.stack([_lanes(bits[:, k], width) for k in range(bits.shape[1])])
+    label, alone, index = label.copy(), not side.any(), np.arange(n)
+    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for d in range(1, int(room.max(initial=1))):
         index = index[room[index] > d]
         if not len(index):
@@ -166,18 +172,30 @@ def nearest_roots(bucket: np.ndarray, fp: np.ndarray, side: np.ndarray, radius:
         pair = index[label[index] != label[index + d]]
         if not alone:
             pair = pair[(side[pair] != side[pair + d]) | (side[pair] == 0)]
+        if fits is not None:
+            pair = pair[fits(pair, pair + d)]
         if not len(pair):
             continue
         flags = np.zeros(n, bool)
         flags[pair] = True
-        live = _lanes(flags, width)
-        hit = _close(planes, d, live, radius)
+        hit = _close(planes, d, _lanes(flags, width), radius)
         if not hit.any():
             continue
         i = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little")[:n])
-        _unite(label, i, i + d)
-    # Root: the smallest fingerprint of each label.
-    low = np.full(n, np.iinfo(np.int64).max)
+        found_i.append(i)
+        found_j.append(i + d)
+        if unite:
+            _unite(label, i, i + d)
+    return np.concatenate(found_i), np.concatenate(found_j), label
+
+
+def nearest_roots(bucket: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """(fp, root) for every fingerprint that links to another in a bucket; root: the smallest it reaches there.
+
+    ``fp`` are distinct within a bucket; ``bucket`` and ``side`` as in ``near_pairs``.
+    """
+    _, _, label = near_pairs(bucket, fp[:, None], side, radius, np.arange(len(fp)))
+    low = np.full(len(fp), np.iinfo(np.int64).max)
     np.minimum.at(low, label, fp.view(np.int64))
     root = low[label]
     own = root != fp.view(np.int64)
@@ -206,9 +224,12 @@ def _bands(b: int) -> list[tuple[int, int]]:
     return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
-def links(distinct: DataFrame, count: int, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
-    """(fp, root): for each distinct fingerprint with a link in some bucket, the smallest it reaches there."""
-    b, p, _ = next(x for x in BANDS if count <= x[2])
+def links(distinct: DataFrame, count: int, radius: int = RADIUS, split: int = SPLIT, table: tuple = BANDS) -> DataFrame:
+    """(fp, root): for each distinct fingerprint with a link in some bucket, the smallest it reaches there.
+
+    ``table`` says which bands are used up to how many fingerprints.
+    """
+    b, p, _ = next(x for x in table if count <= x[2])
     if b - p < radius:
         b, p = radius + 1, 1
     bands = _bands(b)
@@ -219,24 +240,32 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS, split: int = SP
             shift, width = bands[c]
             value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)), size))
             size += width
-        # The key is a hash of (choice, value): the choice's number in the low bits keeps choices apart.
+        # The choice's number in the low bits keeps choices apart.
         keys.append(value * F.lit(128) + F.lit(k))
     rows = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
-    # Only buckets beyond the split size need their counts; there are at most C(b, p) * count / split.
-    hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > split)
-    chunks = F.ceil(F.col("n") / F.lit(split)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    dealt = rows.join(hot.select("key", chunks.alias("chunks")), "key", "left").select("fp", "key", F.when(F.col("chunks").isNotNull(), own).alias("c"), "chunks")
-    # A chunk meets itself and each other chunk of its bucket: cell (low, high).
+    compare = lambda rows: _compare(rows, radius)
+    return by_bucket(rows, "fp", compare, "fp long, root long", split).distinct()
+
+
+def by_bucket(rows: DataFrame, node: str, compare: Callable[[pa.Table], pa.RecordBatch], schema: str, split: int = SPLIT) -> DataFrame:
+    """``compare`` on whole buckets (``key``) of rows, which it gets sorted by key, lo, hi and ``node`` with their ``side``.
+
+    Buckets beyond ``split`` rows are dealt out: a chunk meets itself and each other chunk of its bucket, in cell
+    (lo, hi), on side 1 or 2 (0: with itself).
+    """
+    # Only buckets beyond the split size need their counts; there are at most count / split a table.
+    hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n_")).filter(F.col("n_") > split)
+    own = F.pmod(F.xxhash64(node), F.col("chunks_")).cast("int")
+    dealt = rows.join(hot.select("key", F.ceil(F.col("n_") / F.lit(split)).cast("int").alias("chunks_")), "key", "left").withColumn("c_", own)
     cells = F.when(
-        F.col("chunks").isNull(), F.array(F.struct(F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), F.lit(0).alias("side")))
+        F.col("chunks_").isNull(), F.array(F.struct(F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), F.lit(0).alias("side")))
     ).otherwise(
         F.transform(
-            F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)) - 1),
-            lambda o: F.struct(F.least("c", o).alias("lo"), F.greatest("c", o).alias("hi"), F.when(o == F.col("c"), F.lit(0)).when(F.col("c") < o, F.lit(1)).otherwise(F.lit(2)).alias("side")),
+            F.sequence(F.lit(0), F.coalesce(F.col("chunks_"), F.lit(1)) - 1),
+            lambda o: F.struct(F.least("c_", o).alias("lo"), F.greatest("c_", o).alias("hi"), F.when(o == F.col("c_"), F.lit(0)).when(F.col("c_") < o, F.lit(1)).otherwise(F.lit(2)).alias("side")),
         )
     )
-    cell = dealt.select("fp", "key", F.explode(cells).alias("cell")).select("fp", "key", "cell.*")
+    cell = dealt.withColumn("cell_", F.explode(cells)).select(*rows.columns, "cell_.*")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A bucket may go over the edge of a batch: whole buckets are compared, the last waits.
@@ -249,13 +278,24 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS, split: int = SP
                 whole = pa.Table.from_batches(waiting).combine_chunks()
                 last = _bucket_start(whole)
                 if last:
-                    yield _compare(whole.slice(0, last), radius)
+                    yield compare(whole.slice(0, last))
                 waiting, held = whole.slice(last).to_batches(), whole.num_rows - last
         if held:
-            yield _compare(pa.Table.from_batches(waiting).combine_chunks(), radius)
+            yield compare(pa.Table.from_batches(waiting).combine_chunks())
 
-    placed = cell.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "fp")
-    return placed.mapInArrow(work, "fp long, root long").distinct()
+    placed = cell.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", node)
+    return placed.mapInArrow(work, schema)
+
+
+def numbered(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows that aren't alone in their bucket, number of their bucket, side)."""
+    key, lo, hi, side = (rows.column(c).to_numpy() for c in ("key", "lo", "hi", "side"))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    bucket = np.cumsum(new)
+    some = np.flatnonzero(np.bincount(bucket)[bucket] > 1)
+    # The cell of a chunk with itself is compared as a whole.
+    return some, bucket[some], np.where(lo == hi, 0, side)[some]
 
 
 def _bucket_start(rows: pa.Table) -> int:
@@ -266,16 +306,9 @@ def _bucket_start(rows: pa.Table) -> int:
 
 
 def _compare(rows: pa.Table, radius: int) -> pa.RecordBatch:
-    key, lo, hi, side, fp = (rows.column(c).to_numpy() for c in ("key", "lo", "hi", "side", "fp"))
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-    bucket = np.cumsum(new)
-    # Fingerprints alone in their bucket have nothing to meet.
-    counts = np.bincount(bucket)
-    some = counts[bucket] > 1
-    if not some.any():
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64())], names=["fp", "root"])
-    a, b = nearest_roots(bucket[some], np.ascontiguousarray(fp[some]).view(np.uint64), np.where(lo == hi, 0, side)[some], radius)
+    some, bucket, side = numbered(rows)
+    fp = np.ascontiguousarray(rows.column("fp").to_numpy()[some]).view(np.uint64)
+    a, b = nearest_roots(bucket, fp, side, radius)
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["fp", "root"])
 
 
@@ -286,16 +319,18 @@ def components(edges: DataFrame, a: str = "fp", b: str = "root") -> DataFrame:
     """(node, root) for every node of an undirected edge list; root is the smallest node it reaches.
 
     Alternating large-star and small-star: in each step a node's neighbours are hung below the smallest of
-    them.  Only minima are aggregated (with map-side combining), never neighbour lists, so a hub of any
-    degree is a skewed join at most.  The steps are logarithmic in the longest path.
+    them.  Only minima are aggregated (with map-side combining), never neighbour lists, and they are checkpointed
+    before the join, so a hub of any degree is a skewed join at most.  The steps are logarithmic in the longest
+    path.
     """
     current = durable(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     mark = None
     while True:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = durable(large)
+        least = durable(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(least, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         current = durable(small)
@@ -314,22 +349,48 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, radius: int = RADI
     whole; rows with equal fingerprints are one group; a null id never is the smallest (a group of null ids
     alone has a null component_id); repeated rows come back as often; an empty table gives no rows.
     """
+    return _grouped(documents, words, radius, split).select("doc_id", "fp", "component_id")
+
+
+def _grouped(documents: DataFrame, words: int, radius: int, split: int) -> DataFrame:
+    """doc_id, fp, root (the group's smallest fingerprint) and component_id of every document."""
     prints = durable(fingerprints(documents, words))
     per_fp = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(per_fp.select("fp"), per_fp.count(), radius, split))
-    grouped = per_fp.join(roots, per_fp.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = grouped.join(named, "root").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    grouped = durable(per_fp.join(roots, per_fp.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    named = durable(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
+    by_fp = durable(grouped.join(named, "root").select("fp", "root", "component_id"))
+    return prints.join(by_fp, "fp")
 
 
-def representatives(documents: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+def representatives(documents: DataFrame, words: int = WORDS, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
     """The documents with one of each near-duplicate group: the one with the smallest id.
 
-    Columns stay as they are.  Of repeated rows with that id one stays.  Rows with a null id can't be named
-    as anyone's copy: all of them stay.
+    Columns of any name stay as they are.  Of several texts with that id in one group the one with the smallest
+    fingerprint stays, of repeated rows with that id and fingerprint one.  Rows with a null id can't be named as
+    anyone's copy: all of them stay.
+    """
+    found = _grouped(documents, words, radius, split).filter("doc_id is not null")
+    best = durable(found.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("best")).select("best.*"))
+    return kept_rows(documents, durable(found.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n"))), best, lambda docs: fingerprints(docs, words, ["row"]))
+
+
+def kept_rows(documents: DataFrame, counted: DataFrame, kept: DataFrame, prints: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of ``documents`` that are kept: one for each (doc_id, fp) of ``kept``, and all with a null id.
+
+    ``counted`` holds n, the number of rows, of each (doc_id, fp).  Where an id has one text, once, its rows are
+    told by the id alone and no text is shuffled unless very many ids go (``common.among``); only repeated ids have
+    their texts read again (``prints`` of them gives doc_id and fp, row by row).
     """
-    found = near_duplicates(documents, words, radius)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = documents.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*documents.columns).union(documents.filter("doc_id is null"))
+    many = counted.groupBy("doc_id").agg(F.sum("n").alias("n")).filter("n > 1").select("doc_id")
+    gone = counted.join(kept, ["doc_id", "fp"], "left_anti").select("doc_id").union(many).distinct()
+    names, plain = documents.columns, by_place(documents)
+    key = place_of(documents, "doc_id")
+    single = among(plain, durable(gone.withColumnRenamed("doc_id", key)), key, kept=False)
+    if many.isEmpty():
+        return single.toDF(*names)
+    # Repeated ids: their rows carry their fingerprint as one more column, and one row of each kept pair stays.
+    few = among(plain, durable(many.withColumnRenamed("doc_id", key)), key)
+    packed = few.select(F.col(key).alias("doc_id"), F.col(place_of(documents, "text")).alias("text"), F.struct(*plain.columns).alias("row"))
+    with_fp = prints(packed).join(kept, ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id", "fp"])
+    return single.unionByName(with_fp.select("row.*")).toDF(*names)
