@@ -1,6 +1,6 @@
-"""Visiting every string of nested rows by their schema.
+"""Columns that reach every string of nested rows, built from the rows' schema.
 
-A field that is added to the data later is covered by default: only fields of the listed names are left out.
+Walks are made once a query, over types and not over values; rows themselves are handled by Spark's expressions.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Fields of ids, dates and enumerations, which never hold a person's words.
+#: Fixed value: the fields of the statements file that hold ids, dates or one of a few words, and so aren't searched.
 SKIPPED = ("id", "document_id", "type", "doc_type", "date", "speech_act", "handling", "position", "statement_date", "document_date")
 
 
