@@ -32,6 +32,7 @@ from ledgerline.llm.simhash import SEED, SPLIT, by_bucket, components, kept_rows
 WORDS, SIMILARITY = 5, 0.8
 #: 64-bit words of a fingerprint, and most differing bits of a candidate.
 PLANES, RADIUS = 2, 30
+WORDS_OF = [f"w{k}" for k in range(PLANES)]
 #: Bits of a table's key and tables, by the number of sets up to which they are used.
 TABLES = ((10, 24, 1 << 21), (16, 64, 1 << 27), (20, 136, 1 << 62))
 #: Tables of the first pass.
@@ -96,7 +97,7 @@ def _made(documents: DataFrame, words: int, what: str, more: Sequence[str] = ())
 
 
 def _keyed(nodes: DataFrame, bits: int, tables: range) -> DataFrame:
-    """Nodes (sid, n, root, values) once for each table, with ``key``: the number of the table and the drawn bits."""
+    """Nodes (sid, n, root, w0, w1) once for each table, with ``key``: the number of the table and the drawn bits."""
     drawn = [np.random.default_rng([SEED, t]).choice(64 * PLANES, bits, replace=False) for t in tables]
     power = (1 << np.arange(bits)).astype(np.int64)
 
@@ -104,17 +105,17 @@ def _keyed(nodes: DataFrame, bits: int, tables: range) -> DataFrame:
         for batch in batches:
             for s in range(0, batch.num_rows, 4096):
                 part = batch.slice(s, 4096)
-                words = np.asarray(part.column(3).flatten(), np.int64).reshape(part.num_rows, PLANES)
+                words = np.stack([part.column(3 + k).to_numpy() for k in range(PLANES)], axis=1)
                 lit = np.unpackbits(words.astype(">i8").view(np.uint8).reshape(part.num_rows, -1), axis=1)
                 keys = [lit[:, places] @ power + (t << bits) for t, places in zip(tables, drawn, strict=True)]
                 for key in keys:
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(key)], names=["sid", "n", "root", "values", "key"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(key)], names=[*part.schema.names, "key"])
 
-    return nodes.select("sid", "n", "root", "values").mapInArrow(work, "sid long, n int, root long, values array<long>, key long")
+    return nodes.select("sid", "n", "root", *WORDS_OF).mapInArrow(work, f"sid long, n int, root long, {', '.join(f'{w} long' for w in WORDS_OF)}, key long")
 
 
 def _close(rows: DataFrame, similarity: float, unite: bool, split: int) -> DataFrame:
-    """(a, b, tree): candidate pairs within the buckets of rows (sid, n, root, values, key) whose roots differ.
+    """(a, b, tree): candidate pairs within the buckets of rows (sid, n, root, w0, w1, key) whose roots differ.
 
     With ``unite`` they are a forest; ``tree`` names the tree, and each of its members is paired with itself as well.
     Sizes that are too far apart are no candidates.
@@ -123,7 +124,7 @@ def _close(rows: DataFrame, similarity: float, unite: bool, split: int) -> DataF
     def compare(table: pa.Table) -> pa.RecordBatch:
         some, bucket, side = numbered(table)
         sid, n, root, key = (table.column(c).to_numpy()[some] for c in ("sid", "n", "root", "key"))
-        words = np.asarray(table.column("values").combine_chunks().flatten(), np.int64).reshape(-1, PLANES)[some].view(np.uint64)
+        words = np.stack([table.column(w).to_numpy()[some] for w in WORDS_OF], axis=1).view(np.uint64)
         # One label for each root of a bucket: the first row that has it.
         order = np.lexsort((root, bucket))
         new = np.ones(len(order), bool)
@@ -161,7 +162,7 @@ def _grouped(documents: DataFrame, words: int, similarity: float, split: int) ->
     """doc_id, fp (of its shingle set), root and component_id of every row with an id."""
     named = own_columns(documents, ["doc_id", "text"]).filter("doc_id is not null")
     prints = durable(_made(named, words, "print"))
-    sets = durable(prints.groupBy(F.col("fp").alias("sid")).agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("values").alias("values"))).withColumn("root", F.col("sid"))
+    sets = durable(prints.groupBy(F.col("fp").alias("sid")).agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), *[F.first(F.col("values")[k]).alias(w) for k, w in enumerate(WORDS_OF)])).withColumn("root", F.col("sid"))
     some = sets.filter("n > 0")
     bits, tables, _ = next(x for x in TABLES if some.count() <= x[2])
 
@@ -180,7 +181,7 @@ def _grouped(documents: DataFrame, words: int, similarity: float, split: int) ->
     # Trees with a link that was turned down: their members are compared all with all.
     broken = durable(found.filter("a <> b").join(links, ["a", "b"], "left_anti").select("tree").distinct())
     again = found.filter("a = b").join(broken, "tree", "left_semi").select(F.col("tree").alias("key"), F.col("a").alias("sid")).distinct()
-    apart = new(_close(again.join(sets.select("sid", "n", "root", "values"), "sid").select("sid", "n", "root", "values", "key"), similarity, False, split), pairs.union(more))
+    apart = new(_close(again.join(sets.select("sid", "n", "root", *WORDS_OF), "sid").select("sid", "n", "root", *WORDS_OF, "key"), similarity, False, split), pairs.union(more))
     if not apart.isEmpty():
         links = durable(links.union(_similar(apart, sets, named, words, similarity)))
         sets = _with_roots(sets, links)

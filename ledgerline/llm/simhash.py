@@ -253,19 +253,23 @@ def by_bucket(rows: DataFrame, node: str, compare: Callable[[pa.Table], pa.Recor
     Buckets beyond ``split`` rows are dealt out: a chunk meets itself and each other chunk of its bucket, in cell
     (lo, hi), on side 1 or 2 (0: with itself).
     """
-    # Only buckets beyond the split size need their counts; there are at most count / split a table.
+    # Only the buckets beyond the split size are known apart: (rows / split) of them at most, usually none.
     hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n_")).filter(F.col("n_") > split)
-    own = F.pmod(F.xxhash64(node), F.col("chunks_")).cast("int")
-    dealt = rows.join(hot.select("key", F.ceil(F.col("n_") / F.lit(split)).cast("int").alias("chunks_")), "key", "left").withColumn("c_", own)
-    cells = F.when(
-        F.col("chunks_").isNull(), F.array(F.struct(F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), F.lit(0).alias("side")))
-    ).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.coalesce(F.col("chunks_"), F.lit(1)) - 1),
-            lambda o: F.struct(F.least("c_", o).alias("lo"), F.greatest("c_", o).alias("hi"), F.when(o == F.col("c_"), F.lit(0)).when(F.col("c_") < o, F.lit(1)).otherwise(F.lit(2)).alias("side")),
+    hot = durable(hot.select("key", F.ceil(F.col("n_") / F.lit(split)).cast("int").alias("chunks_")))
+    whole = F.struct(F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), F.lit(0).alias("side"))
+    if hot.isEmpty():
+        cell = rows.select(*rows.columns, F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), F.lit(0).alias("side"))
+    else:
+        few = hot.limit(100_001).count() <= 100_000
+        own = F.pmod(F.xxhash64(node), F.col("chunks_")).cast("int")
+        dealt = rows.join(F.broadcast(hot) if few else hot, "key", "left").withColumn("c_", own)
+        cells = F.when(F.col("chunks_").isNull(), F.array(whole)).otherwise(
+            F.transform(
+                F.sequence(F.lit(0), F.coalesce(F.col("chunks_"), F.lit(1)) - 1),
+                lambda o: F.struct(F.least("c_", o).alias("lo"), F.greatest("c_", o).alias("hi"), F.when(o == F.col("c_"), F.lit(0)).when(F.col("c_") < o, F.lit(1)).otherwise(F.lit(2)).alias("side")),
+            )
         )
-    )
-    cell = dealt.withColumn("cell_", F.explode(cells)).select(*rows.columns, "cell_.*")
+        cell = dealt.withColumn("cell_", F.explode(cells)).select(*rows.columns, "cell_.*")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A bucket may go over the edge of a batch: whole buckets are compared, the last waits.
@@ -315,25 +319,51 @@ def _compare(rows: pa.Table, radius: int) -> pa.RecordBatch:
 # -- components --------------------------------------------------------------------------------------
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with u > v as stars: each task hangs the nodes of its edges below the smallest that they reach there.
+
+    A task takes a bounded number of edges at a time; what it gives has the same components with shorter paths.
+    """
+
+    def stars(table: pa.Table) -> pa.RecordBatch:
+        u, v = table.column("u").to_numpy(), table.column("v").to_numpy()
+        nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+        label = np.arange(len(nodes))
+        _unite(label, place[: len(u)], place[len(u) :])
+        own = label != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[label[own]])], names=["u", "v"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            waiting.append(batch)
+            if sum(b.num_rows for b in waiting) >= 1 << 21:
+                yield stars(pa.Table.from_batches(waiting))
+                waiting = []
+        if waiting:
+            yield stars(pa.Table.from_batches(waiting))
+
+    return edges.mapInArrow(work, "u long, v long").distinct()
+
+
 def components(edges: DataFrame, a: str = "fp", b: str = "root") -> DataFrame:
     """(node, root) for every node of an undirected edge list; root is the smallest node it reaches.
 
-    Alternating large-star and small-star: in each step a node's neighbours are hung below the smallest of
-    them.  Only minima are aggregated (with map-side combining), never neighbour lists, and they are checkpointed
-    before the join, so a hub of any degree is a skewed join at most.  The steps are logarithmic in the longest
-    path.
+    Each task first contracts the edges it has; then alternating large-star and small-star: in each step a node's
+    neighbours are hung below the smallest of them.  Only minima are aggregated (with map-side combining), never
+    neighbour lists, and they are checkpointed before the join, so a hub of any degree is a skewed join at most.
+    The steps are logarithmic in the longest path.
     """
-    current = durable(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    current = durable(_contracted(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")))
     mark = None
     while True:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = durable(large)
         least = durable(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(least, "u")
-        small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        current = durable(small)
+        small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v")
+        current = durable(_contracted(small))
         now = tuple(current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
