@@ -144,8 +144,8 @@ def _close(rows: DataFrame, similarity: float, unite: bool, split: int) -> DataF
 
 def _similar(pairs: DataFrame, sets: DataFrame, documents: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of sets that are similar enough."""
-    members = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    ids = durable(sets.join(members, "sid", "left_semi").select(F.col("least").alias("doc_id")).distinct())
+    members = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
+    ids = durable(sets.join(members, "sid", "left_semi").select(F.col("least").alias("doc_id")))
     made = durable(_made(among(documents, ids, "doc_id"), words, "set").dropDuplicates(["fp"]).select("fp", "values"))
     both = pairs.join(made.select(F.col("fp").alias("a"), F.col("values").alias("x")), "a").join(made.select(F.col("fp").alias("b"), F.col("values").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -180,8 +180,10 @@ def _grouped(documents: DataFrame, words: int, similarity: float, split: int) ->
     sets = _with_roots(sets, links)
     # Trees with a link that was turned down: their members are compared all with all.
     broken = durable(found.filter("a <> b").join(links, ["a", "b"], "left_anti").select("tree").distinct())
-    again = found.filter("a = b").join(broken, "tree", "left_semi").select(F.col("tree").alias("key"), F.col("a").alias("sid")).distinct()
-    apart = new(_close(again.join(sets.select("sid", "n", "root", *WORDS_OF), "sid").select("sid", "n", "root", *WORDS_OF, "key"), similarity, False, split), pairs.union(more))
+    apart = pairs.limit(0)
+    if not broken.isEmpty():
+        again = found.filter("a = b").join(broken, "tree", "left_semi").select(F.col("tree").alias("key"), F.col("a").alias("sid")).distinct()
+        apart = new(_close(again.join(sets.select("sid", "n", "root", *WORDS_OF), "sid").select("sid", "n", "root", *WORDS_OF, "key"), similarity, False, split), pairs.union(more))
     if not apart.isEmpty():
         links = durable(links.union(_similar(apart, sets, named, words, similarity)))
         sets = _with_roots(sets, links)

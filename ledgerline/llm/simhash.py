@@ -343,7 +343,14 @@ def _contracted(edges: DataFrame) -> DataFrame:
         if waiting:
             yield stars(pa.Table.from_batches(waiting))
 
-    return edges.mapInArrow(work, "u long, v long").distinct()
+    return edges.mapInArrow(work, "u long, v long")
+
+
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs below one other and none of those below another."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.filter("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def components(edges: DataFrame, a: str = "fp", b: str = "root") -> DataFrame:
@@ -354,20 +361,17 @@ def components(edges: DataFrame, a: str = "fp", b: str = "root") -> DataFrame:
     neighbour lists, and they are checkpointed before the join, so a hub of any degree is a skewed join at most.
     The steps are logarithmic in the longest path.
     """
-    current = durable(_contracted(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")))
-    mark = None
-    while True:
+    # Twice: the second time over what the first has left, which a shuffle has put into fewer tasks.
+    current = durable(_contracted(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")).distinct())
+    current = durable(_contracted(current))
+    while not _is_forest_of_stars(current):
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = durable(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = durable(large.groupBy("u").agg(F.min("v").alias("m")))
-        joined = large.join(least, "u")
-        small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v")
-        current = durable(_contracted(small))
-        now = tuple(current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == mark:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = now
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v")
+        current = durable(_contracted(small.distinct()))
+    return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
