@@ -107,7 +107,7 @@ def sampled(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs
     No text is shuffled: of each source only its repetitions and its cut (the smallest hash that isn't taken
     whole once more) are joined, by broadcast unless there are very many sources.
     """
-    placed = _placed(documents, weights, max_epochs, seed)
+    placed = durable(_placed(documents, weights, max_epochs, seed).select("_null", "_source", "_h", "size", "whole", "extra"))
     short = F.col("extra") < F.col("size")
     per_source = placed.groupBy("_null", "_source").agg(F.max("whole").alias("_whole"), F.min(F.when(short, F.col("_h"))).alias("_cut"))
     due = placed.filter("size > 0").groupBy("_null", "_source", "_h").agg(F.count(F.lit(1)).alias("_rows"), F.sum((F.col("extra") * 2 >= F.col("size")).cast("long")).alias("_due"))
