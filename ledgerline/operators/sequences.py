@@ -31,14 +31,21 @@ def look_ahead(df: DataFrame, by: Names, order: str, who: str, only: Column, lim
     """For each row that meets ``only``: its next ``limit`` rows in the group by somebody else.
 
     Returns the group columns, ``order``, later_<order> and place (1 to limit).  The other-person condition
-    comes before the limit.  A window gives each row the array of the rows after it, of which at most the
-    longest run of one person plus ``limit`` matter; so nothing is joined.
+    comes before the limit.  Rows are packed into runs of one person with their first ``limit`` rows each.  Of any
+    2 * limit runs in a row at least ``limit`` are by somebody else, so a frame of that many runs is all that a run's
+    rows can need: the work is linear however long a group or a run is.
     """
-    after = Window.partitionBy(*by).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    pairs = df.select(*by, order, who, only.alias("_only"), F.collect_list(F.struct(F.col(order).alias("o"), F.col(who).alias("w"))).over(after).alias("_after"))
-    others = F.slice(F.filter("_after", lambda r: ~r["w"].eqNullSafe(F.col(who))), 1, limit)
-    found = pairs.filter("_only").select(*by, order, F.posexplode(others).alias("_p", "_r"))
-    return found.select(*by, order, F.col("_r.o").alias(f"later_{order}"), (F.col("_p") + 1).alias("place"))
+    numbered = islands(df.select(*by, order, who, only.alias("_only")), by, [order], who, "_run")
+    place = F.row_number().over(Window.partitionBy(*by, "_run").orderBy(order))
+    first = F.sort_array(F.collect_list(F.when(F.col("_k") <= limit, F.col(order))))
+    runs = numbered.withColumn("_k", place).groupBy(*by, "_run").agg(F.first(who).alias("_who"), first.alias("_rows"))
+    next_ = Window.partitionBy(*by).orderBy("_run").rowsBetween(1, 2 * limit)
+    runs = runs.withColumn("_next", F.collect_list(F.struct("_who", "_rows")).over(next_))
+    others = F.slice(F.flatten(F.transform(F.filter("_next", lambda r: ~r["_who"].eqNullSafe(F.col("_who"))), lambda r: r["_rows"])), 1, limit)
+    same = [numbered[c].eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)]
+    runs = runs.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col("_run").alias("_its"), others.alias("_others"))
+    found = numbered.filter("_only").join(runs, [*same, numbered["_run"] == runs["_its"]])
+    return found.select(*by, order, F.posexplode("_others").alias("_p", f"later_{order}")).select(*by, order, f"later_{order}", (F.col("_p") + 1).alias("place"))
 
 
 def look_ahead_joined(df: DataFrame, by: Names, order: str, who: str, only: Column, limit: int) -> DataFrame:

@@ -1,120 +1,82 @@
-"""Verbatim spans: where a quote stands in a text, by words.
+"""Verbatim spans: where a quote stands in a text, by words, in DataFrame functions.
 
-Only white space and Unicode composition may differ between quote and text; a quote that begins or ends
-inside a word or a number isn't there ("3" is not in "3.4").
+Quote and text are brought to one form (composed characters, single spaces); then one pattern decides: the quote as
+it is, between places that aren't inside a word or a number.  "3" isn't in "3.4", "ell" not in "well".
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ledgerline.functions.text import tokens
+from ledgerline.functions.text import collapse, nfc, nfc_each, tokens
+
+#: A place that isn't strictly inside a token (a word, or a number with a mark between digits).
+EDGE = r"(?!(?<=\w)(?:\w|[.,]\w))(?!(?<=\w[.,])\w)"
+#: Words of a key by which texts meet what they may contain.
+KEY_WORDS = 3
+
+
+def before(text: Column, wanted: Column) -> Column:
+    """What stands before the first occurrence of ``wanted`` (both collapsed) whose edges cut no token; null if there is none."""
+    literal = F.concat(F.lit(r"\Q"), F.replace(wanted, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    pattern = F.concat(F.lit(rf"(?Us)^(.*?){EDGE}"), literal, F.lit(EDGE))
+    return F.when((wanted != "") & F.contains(text, wanted), F.when(F.rlike(text, pattern), F.call_function("regexp_extract", text, pattern, F.lit(1))))
+
+
+def _spaces(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+
+
+def _line_of(word: Column, sizes: Column) -> Column:
+    """Index from 0 of the line that holds a word, given its number from 0 and the lines' numbers of words."""
+    start = F.struct(word.cast("int").alias("left"), F.lit(0).alias("line"))
+    step = lambda s, n: F.when(s["left"] < 0, s).otherwise(F.struct(F.when(s["left"] < n, -1).otherwise(s["left"] - n).alias("left"), F.when(s["left"] < n, s["line"]).otherwise(s["line"] + 1).alias("line")))
+    return F.aggregate(sizes, start, step, lambda s: s["line"])
 
 
 def find_spans(pairs: DataFrame, lines: str = "lines", span: str = "span", name: str = "match") -> DataFrame:
     """Add ``match``: struct of first_line, last_line, position and text of the span in the row's lines, or null.
 
-    ``lines`` is an array of (no, text, position).  The first occurrence counts; text is the source's own.
-    An Arrow UDF: normalisation and offsets by line need it.  Null or empty spans and lines give null.
+    ``lines`` is an array of (no, text, position).  The first occurrence counts; text is the source's own, white
+    space apart.  Null or empty spans and lines give null.
     """
-    return pairs.withColumn(name, _span_udf(F.col(lines), F.col(span)))
-
-
-MATCH = T.StructType([T.StructField("first_line", T.IntegerType()), T.StructField("last_line", T.IntegerType()), T.StructField("position", T.StringType()), T.StructField("text", T.StringType())])
-
-
-@F.pandas_udf(MATCH)
-def _span_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for lines, spans in batches:
-        yield pd.DataFrame([_located(a, b) for a, b in zip(lines, spans, strict=True)], columns=["first_line", "last_line", "position", "text"]).astype({"first_line": "Int32", "last_line": "Int32"})
-
-
-def _located(lines, span: str | None) -> tuple:
-    """Place of a span: the text is the lines' words in a row; word offsets tell the line."""
-    import bisect
-    import re
-    import unicodedata
-
-    none = (None, None, None, None)
-    if lines is None or span is None:
-        return none
-    wanted = " ".join(unicodedata.normalize("NFC", span).split())
-    if not wanted:
-        return none
-    words, begins, owner, size = [], [], [], 0
-    for k, line in enumerate(lines):
-        for word in unicodedata.normalize("NFC", line["text"] or "").split():
-            words.append(word)
-            begins.append(size)
-            owner.append(k)
-            size += len(word) + 1
-    text = " ".join(words)
-    at = text.find(wanted)
-    if at < 0:
-        return none
-    tokens = [m.span() for m in re.finditer(r"\w+(?:[.,]\w+)*", text)]
-    opens = [a for a, _ in tokens]
-
-    def cuts(place: int) -> bool:
-        i = bisect.bisect_left(opens, place) - 1
-        return i >= 0 and tokens[i][0] < place < tokens[i][1]
-
-    while at >= 0:
-        end = at + len(wanted)
-        if not cuts(at) and not cuts(end):
-            first, last = (lines[owner[bisect.bisect_right(begins, p) - 1]] for p in (at, end - 1))
-            return first["no"], last["no"], first["position"], text[at:end]
-        at = text.find(wanted, at + 1)
-    return none
-
-
-@F.pandas_udf(T.IntegerType())
-def _start_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, items in batches:
-        yield pd.Series([_start(t, i) for t, i in zip(texts, items, strict=True)], dtype="Int32")
-
-
-def _start(text: str | None, item: str | None) -> int | None:
-    """0-based place of the first occurrence whose edges cut no token."""
-    at = text.find(item) if text and item else -1
-    while at >= 0:
-        if not _inside_token(text, at) and not _inside_token(text, at + len(item)):
-            return at
-        at = text.find(item, at + 1)
-    return None
-
-
-def _inside_token(text: str, place: int) -> bool:
-    """Whether a place is strictly inside a token: two characters on each side tell."""
-    import re
-
-    before, after = text[max(0, place - 2) : place], text[place : place + 2]
-    if re.search(r"\w$", before):
-        return bool(re.match(r"\w|[.,]\w", after))
-    return bool(re.search(r"\w[.,]$", before) and re.match(r"\w", after))
+    rows = pairs.withColumns({"_texts": nfc_each(F.transform(F.col(lines), lambda x: x["text"])), "_wanted": collapse(nfc(span))})
+    words = F.transform("_texts", lambda t: F.filter(F.split(collapse(F.coalesce(t, F.lit(""))), " "), lambda w: w != ""))
+    rows = rows.withColumn("_words", words).withColumn("_before", before(F.array_join(F.flatten("_words"), " "), F.col("_wanted")))
+    sizes = F.transform("_words", lambda w: F.size(w))
+    first = _spaces(F.col("_before"))
+    rows = rows.withColumn("_first", _line_of(first, sizes)).withColumn("_last", _line_of(first + _spaces(F.col("_wanted")), sizes))
+    line = lambda at: F.get(F.col(lines), F.col(at))
+    match = F.struct(line("_first")["no"].cast("int").alias("first_line"), line("_last")["no"].cast("int").alias("last_line"), line("_first")["position"].alias("position"), F.col("_wanted").alias("text"))
+    return rows.withColumn(name, F.when(F.col("_before").isNotNull(), match)).drop("_texts", "_wanted", "_words", "_before", "_first", "_last")
+
+
+def _grams(words: Column, n: int) -> Column:
+    """Hashes of all runs of n words."""
+    none = F.array().cast("array<bigint>")
+    runs = lambda i: F.xxhash64(F.lit(n), *[F.element_at(words, i + k) for k in range(n)])
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), runs)).otherwise(none)
 
 
 def contained(texts: DataFrame, wanted: DataFrame, text: str, item: str, key: str) -> DataFrame:
     """All pairs in which an item stands verbatim in a text (both collapsed), with its 0-based start.
 
-    ``key`` names a text.  A containment join has no equal key, so one is made: no token may be cut at an
-    item's edges, so all tokens of an item are tokens of the text.  Token counts are combined before the
-    shuffle; texts meet items on the item's rarest token alone, as bare (key, token) rows, and only pairs that
-    meet are fetched and searched.  Items without any token (marks only) are few and compared with all texts.
+    ``key`` names a text.  A containment join has no equal key, so one is made: no token may be cut at an item's
+    edges, so an item's first KEY_WORDS tokens are tokens side by side in the text (an item without tokens is keyed by
+    its first mark).  Texts are split into tokens once and meet items on a hash of such runs, as bare (key, hash) rows;
+    only pairs that meet are fetched and searched.
     """
-    words = lambda c: F.array_distinct(tokens(F.col(c)))
-    asked = wanted.filter(F.col(item) != "").withColumn("_words", words(item))
-    held = texts.select(F.col(key).alias("_key"), F.explode(words(text)).alias("_w"))
-    vocabulary = asked.select(item, F.explode("_words").alias("_w")).distinct()
-    counted = held.join(vocabulary.select("_w").distinct(), "_w", "left_semi").groupBy("_w").count()
-    rarest = vocabulary.join(counted, "_w", "left").groupBy(item).agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), F.col("_w"))).alias("_r")).filter("_r.n > 0").select(F.col(item).alias("_item"), F.col("_r._w").alias("_w"))
-    met = held.join(rarest, "_w").select("_key", "_item")
-    bare = texts.select(F.col(key).alias("_key")).crossJoin(asked.filter(F.size("_words") == 0).select(F.col(item).alias("_item")))
-    pairs = texts.join(met.union(bare), F.col(key) == F.col("_key")).filter(F.contains(F.col(text), F.col("_item")))
-    found = pairs.withColumn("start", _start_udf(F.col(text), F.col("_item"))).filter("start is not null")
-    return found.join(asked.drop("_words").withColumnRenamed(item, "_asked"), F.col("_item") == F.col("_asked")).withColumnRenamed("_asked", item).drop("_key", "_item")
+    asked = wanted.filter(F.col(item) != "").withColumn("_t", tokens(F.col(item))).withColumn("_n", F.least(F.size("_t"), F.lit(KEY_WORDS)))
+    hashes = [F.when(F.col("_n") == n, F.element_at(_grams(F.slice("_t", 1, n), n), 1)) for n in range(1, KEY_WORDS + 1)]
+    asked = asked.withColumn("_gram", F.coalesce(*hashes, F.xxhash64(F.lit(0), F.substring(item, 1, 1))))
+    used = sorted(r["_n"] for r in asked.select("_n").distinct().collect())  # KEY_WORDS + 1 numbers at most
+    held = texts.select(F.col(key).alias("_key"), tokens(F.col(text)).alias("_t"), F.col(text).alias("_text"))
+    grams = [_grams(F.col("_t"), n) for n in used if n]
+    if 0 in used:
+        grams.append(F.transform(F.array_distinct(F.regexp_extract_all("_text", F.lit(r"(?U)([^\w\s])"), F.lit(1))), lambda m: F.xxhash64(F.lit(0), m)))
+    found = held.select("_key", F.explode(F.array_distinct(F.concat(*grams)) if grams else F.array().cast("array<bigint>")).alias("_gram"))
+    met = found.join(asked.select("_gram", F.col(item).alias("_item")).distinct(), "_gram").select("_key", "_item")
+    pairs = texts.join(met, F.col(key) == F.col("_key")).withColumn("_before", before(F.col(text), F.col("_item"))).filter("_before is not null")
+    pairs = pairs.withColumn("start", F.length("_before")).drop("_before")
+    return pairs.join(asked.drop("_t", "_n", "_gram").withColumnRenamed(item, "_asked"), F.col("_item") == F.col("_asked")).withColumnRenamed("_asked", item).drop("_key", "_item")
