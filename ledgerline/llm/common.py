@@ -30,6 +30,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Let the driver collect its garbage, so that Spark drops the shuffles and broadcasts of queries that are done.
+
+    Spark does that only when the driver's heap runs full; a loop of many small queries keeps all of them till then.
+    """
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def by_place(df: DataFrame) -> DataFrame:
     """The table with its columns named c0, c1, ... by their places, so that no name can clash with another."""
     return df.toDF(*[f"c{k}" for k in range(len(df.columns))])

@@ -77,14 +77,14 @@ def encode(texts: list[bytes], passage: int = PASSAGE) -> tuple[np.ndarray, np.n
     base = np.concatenate([[0], np.cumsum(count)[:-1]])
     total = int(count.sum())
     owner = np.repeat(np.arange(n), count)
-    if not len(start):
-        return np.zeros((total, FEATURES), np.float32), owner
     index = np.arange(len(start)) - np.concatenate([[0], np.cumsum(words)[:-1]])[doc]
     at = base[doc] + index // passage
-    # A byte belongs to the passage of the last word that has begun; what comes before the first word goes to it.
-    ends = np.append(start[1:], len(data))
-    of_byte = np.repeat(at, ends - start)
-    kinds = np.bincount(of_byte * N_KINDS + _KIND[data[start[0] :]], minlength=total * N_KINDS).reshape(total, N_KINDS).astype(np.float64)
+    # A byte belongs to the passage of the last word of its text that has begun, what comes before to the first passage.
+    of_text = np.repeat(np.arange(n), sizes)
+    word = np.repeat(np.arange(-1, len(start)), np.diff(np.concatenate([[0], start, [len(data)]])))
+    begun = np.append(doc, -1)[word] == of_text
+    of_byte = np.where(begun, np.append(at, 0)[word], base[of_text])
+    kinds = np.bincount(of_byte * N_KINDS + _KIND[data], minlength=total * N_KINDS).reshape(total, N_KINDS).astype(np.float64)
     shares = kinds / np.maximum(1, kinds.sum(1, keepdims=True))
     # Words: hashes by prefix sums of powers modulo 2**64, which are invertible for an odd base.
     with np.errstate(over="ignore"):

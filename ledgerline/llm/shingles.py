@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import among, durable, own_columns
+from ledgerline.llm.common import among, durable, own_columns, release
 from ledgerline.llm.simhash import SEED, SPLIT, by_bucket, components, kept_rows, near_pairs, numbered
 
 #: Words of a shingle and least similarity of a link.
@@ -174,10 +174,12 @@ def _grouped(documents: DataFrame, words: int, similarity: float, split: int) ->
     pairs = new(durable(_close(_keyed(some, bits, range(CHAINED)), similarity, True, split)), None)
     links = durable(_similar(pairs, sets, named, words, similarity))
     sets = _with_roots(sets, links)
+    release(sets)
     found = durable(_close(_keyed(sets.filter("n > 0"), bits, range(tables)), similarity, True, split))
     more = new(found, pairs)
     links = durable(links.union(_similar(more, sets, named, words, similarity)))
     sets = _with_roots(sets, links)
+    release(sets)
     # Trees with a link that was turned down: their members are compared all with all.
     broken = durable(found.filter("a <> b").join(links, ["a", "b"], "left_anti").select("tree").distinct())
     apart = pairs.limit(0)
@@ -187,6 +189,7 @@ def _grouped(documents: DataFrame, words: int, similarity: float, split: int) ->
     if not apart.isEmpty():
         links = durable(links.union(_similar(apart, sets, named, words, similarity)))
         sets = _with_roots(sets, links)
+    release(sets)
     least = durable(sets.groupBy("root").agg(F.min("least").alias("component_id")))
     by_set = durable(sets.join(least, "root").select(F.col("sid").alias("fp"), "root", "component_id"))
     return prints.select("doc_id", "fp").join(by_set, "fp")

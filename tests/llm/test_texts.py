@@ -333,7 +333,7 @@ def test_long_texts_are_scored_in_pieces():
     assert owner.tolist() == [0] * 120 + [1, 2] and net.score(x, owner, 3).shape == (3,)
 
 
-def test_passage_features_are_those_of_the_passage_alone():
-    a, b = b"Alpha beta!! 12 ", b"Gamma | delta"
-    x, owner = quality.encode([a, b])
-    assert np.allclose(x[1], quality.encode([b])[0][0], atol=1e-6) and np.allclose(x[0, -quality.WORD_FEATURES :], quality.encode([a])[0][0, -quality.WORD_FEATURES :], atol=1e-6)
+def test_passage_features_are_those_of_the_text_alone():
+    texts = [b"Alpha beta!! 12 ", b"  ", b"", b"\n Gamma | delta", b" "]
+    x, owner = quality.encode(texts)
+    assert owner.tolist() == [0, 1, 2, 3, 4] and all(np.allclose(x[k], quality.encode([t])[0][0], atol=1e-6) for k, t in enumerate(texts))
