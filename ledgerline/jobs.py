@@ -74,11 +74,12 @@ def extract(spark: SparkSession, archive: str, out: str, model: Callable, link_m
     parsed = units.parse(corpus.lines_of(docs, "doc_id", "text", "doc_type")).strict()
     prompts = units.rendered(parsed.units, parsed.documents)
     # A model's answers are asked for once: they are kept while the job runs and dropped at its end.
-    candidates = statements.asked(prompts, model).persist()
+    candidates, replies = statements.asked(prompts, model).persist(), None
     try:
         records, rejected = statements.verified(candidates, parsed.units, parsed.documents, prompts)
         if link_model is not None:
-            records, _ = links.linked(records, links.asked_for_replies(records, link_model))
+            replies = links.asked_for_replies(records, link_model).persist()
+            records, _ = links.linked(records, replies)
         order = docs.select(F.col("doc_id").alias("id"), "doc_seq")
         blocks = statements.blocks(records, parsed.documents).join(order, "id")
         scratch = Path(out).parent / "documents"
@@ -87,6 +88,8 @@ def extract(spark: SparkSession, archive: str, out: str, model: Callable, link_m
             print(f"{row['doc_id']}: dropped {row['n']}: {row['reason']}", file=sys.stderr)
     finally:
         candidates.unpersist()
+        if replies is not None:
+            replies.unpersist()
     for doc_id in empty:
         print(f"no statements from {doc_id}", file=sys.stderr)
     return code

@@ -14,6 +14,8 @@ from ledgerline.operators.sequences import first_of, look_ahead
 
 LOOK_AHEAD = 8
 LINKABLE = ("proposal", "question")
+#: Response and outcome of a statement whose call failed.
+FAILED = "call failed"
 
 
 def who(actor: Column) -> Column:
@@ -57,7 +59,7 @@ def linked(records: DataFrame, replies: DataFrame, limit: int = LOOK_AHEAD) -> t
     hits = shown.join(replies, ["doc_id", "statement_id"]).filter((F.col("later_who") == F.col("by")) & (quote != "") & F.contains(flat(F.col("later_span")), quote))
     source = first_of(hits.select("doc_id", "statement_id", "place", "later_id", "later_actor"), ["doc_id", "statement_id"], ["place"])
     judged = asked.join(replies.select("doc_id", "statement_id", "response"), ["doc_id", "statement_id"]).join(source, ["doc_id", "statement_id"], "left")
-    outcome = F.when(F.col("response") == "none", "no response").when(F.col("later_id").isNull(), "response not found in the text").when(F.col("response") == "accepted", "accepted").otherwise("rejected")
+    outcome = F.when(F.col("response") == FAILED, FAILED).when(F.col("response") == "none", "no response").when(F.col("later_id").isNull(), "response not found in the text").when(F.col("response") == "accepted", "accepted").otherwise("rejected")
     judged = judged.withColumn("outcome", outcome)
     link = F.struct(F.col("later_actor.name").alias("name"), F.col("later_actor.label").alias("label"), F.col("later_actor.org").alias("org"), F.col("later_actor.role").alias("role"), F.col("later_id").alias("statement"))
     agreed = judged.filter("outcome = 'accepted'").groupBy(F.col("statement_id").alias("id")).agg(F.collect_list(link).alias("_agreed"))
@@ -69,7 +71,7 @@ def asked_for_replies(records: DataFrame, model: Callable[[str, list[dict]], dic
     """Replies of an injected model, one call a proposal or question that has later statements.
 
     ``model(span, shown)`` gets the statement's words and the shown statements (who, span) and gives a dict
-    with response, by and quote.
+    with response, by and quote.  A ValueError or OSError in a call is one statement's failure: it stays without a link.
     """
     shown = later_by_others(records, limit)
     rows = shown.groupBy("doc_id", "statement_id").agg(F.sort_array(F.collect_list(F.struct("place", "later_who", "later_span"))).alias("shown"))
@@ -79,7 +81,10 @@ def asked_for_replies(records: DataFrame, model: Callable[[str, list[dict]], dic
         for frame in frames:
             out = []
             for doc_id, sid, span, later in frame.itertuples(index=False):
-                answer = model(span, [{"who": x["later_who"], "span": x["later_span"]} for x in later])
+                try:
+                    answer = model(span, [{"who": x["later_who"], "span": x["later_span"]} for x in later])
+                except (ValueError, OSError):
+                    answer = {"response": FAILED}
                 out.append((doc_id, sid, answer.get("response"), answer.get("by"), answer.get("quote")))
             yield pd.DataFrame(out, columns=schemas.REPLIES.fieldNames())
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline import schemas
+from ledgerline.functions.text import contains_any
 
 #: Folder of an archive to document type, in reading order.
 FOLDERS = {"transcripts": "transcript", "emails": "email", "reports": "report"}
@@ -25,18 +26,27 @@ def archive(spark: SparkSession, path: str, only: list[str] | None = None) -> Da
 
     The id is the path below the archive without its suffix; a byte-order mark goes.  ``only``: ids that
     contain one of these strings; the filter is on the file's path, before any text is split.  doc_seq orders
-    by folder, then path.
+    by folder, then by the file's name with its suffix ("x-2.txt" before "x.txt").
     """
     files = spark.read.text([f"{path.rstrip('/')}/{d}" for d in FOLDERS if _exists(spark, f"{path.rstrip('/')}/{d}")], wholetext=True, pathGlobFilter="*.txt")
     named = files.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("_path"))
-    tail = "|".join(FOLDERS)
-    doc_id = F.regexp_extract(F.url_decode(F.regexp_replace("_path", r"\+", "%2B")), rf".*/((?:{tail})/[^/]*)\.txt$", 1)
-    docs = named.withColumn("doc_id", doc_id).filter("doc_id <> ''")
+    docs = named.withColumn("doc_id", doc_id_of(F.col("_path"))).filter("doc_id <> ''")
     if only:
-        docs = docs.filter(F.expr(" OR ".join("contains(doc_id, '{}')".format(p.replace("\\", "\\\\").replace("'", "\\'")) for p in only)))
+        docs = docs.filter(contains_any(F.col("doc_id"), only))
     kind = doc_type_of(F.col("doc_id"))
     rank = F.array_position(F.array(*[F.lit(d) for d in FOLDERS]), F.substring_index("doc_id", "/", 1))
-    return docs.select("doc_id", kind.alias("doc_type"), F.struct(rank.alias("folder"), "doc_id").alias("doc_seq"), F.regexp_replace("text", "^﻿", "").alias("text"))
+    return docs.select("doc_id", kind.alias("doc_type"), F.struct(rank.alias("folder"), F.concat("doc_id", F.lit(".txt")).alias("path")).alias("doc_seq"), plain_text(F.col("text")).alias("text"))
+
+
+def plain_text(text: Column) -> Column:
+    """A file's text without a byte-order mark, every kind of line end as a line feed."""
+    return F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), r"\r\n?", "\n")
+
+
+def doc_id_of(path: Column) -> Column:
+    """Id of a file of an archive: its path below the archive without the suffix, decoded; "" for other files."""
+    tail = "|".join(FOLDERS)
+    return F.regexp_extract(F.url_decode(F.regexp_replace(path, r"\+", "%2B")), rf".*/((?:{tail})/[^/]*)\.txt$", 1)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
