@@ -6,7 +6,7 @@ import re
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -30,6 +30,24 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame, rows: int = 4096) -> tuple[DataFrame, int]:
+    """``durable``, and its number of rows, which is counted on the way.
+
+    A table with far fewer than ``rows`` rows a partition comes in fewer partitions, so that what reads it has no more
+    tasks than there is work: a small table behind a wide shuffle would go on as many tiny tasks otherwise.
+    """
+    seen = Observation()
+    out = durable(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    n = seen.get.get("n", 0)
+    enough = max(1, -(-n // rows))
+    return (out.coalesce(enough) if 2 * enough <= out.rdd.getNumPartitions() else out), n
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """``counted`` without the count."""
+    return counted(df)[0]
+
+
 def release(df: DataFrame) -> None:
     """Let the driver collect its garbage, so that Spark drops the shuffles and broadcasts of queries that are done.
 
@@ -56,10 +74,11 @@ def own_columns(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
 def among(df: DataFrame, ids: DataFrame, key: str, kept: bool = True, most: int = 1_000_000) -> DataFrame:
     """Rows of ``df`` whose key is (``kept``) or isn't among ``ids`` (one column of that name, distinct).
 
-    Up to ``most`` ids are broadcast, so that wide rows stay where they are; beyond, both sides are shuffled.
+    The ids are checkpointed and counted: up to ``most`` are broadcast, so that wide rows stay where they are; beyond,
+    both sides are shuffled.
     """
-    few = ids.limit(most + 1).count() <= most
-    return df.join(F.broadcast(ids) if few else ids, key, "left_semi" if kept else "left_anti")
+    ids, n = counted(ids)
+    return df.join(F.broadcast(ids) if n <= most else ids, key, "left_semi" if kept else "left_anti")
 
 
 def unit_buckets(rows: int, per_bucket: int = 1000, least: int = 256, most: int = 65_536) -> int:

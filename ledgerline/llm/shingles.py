@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import among, durable, own_columns, release
+from ledgerline.llm.common import among, compact, counted, own_columns, release
 from ledgerline.llm.simhash import SEED, SPLIT, by_bucket, components, kept_rows, near_pairs, numbered
 
 #: Words of a shingle and least similarity of a link.
@@ -145,8 +145,8 @@ def _close(rows: DataFrame, similarity: float, unite: bool, split: int) -> DataF
 def _similar(pairs: DataFrame, sets: DataFrame, documents: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of sets that are similar enough."""
     members = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
-    ids = durable(sets.join(members, "sid", "left_semi").select(F.col("least").alias("doc_id")))
-    made = durable(_made(among(documents, ids, "doc_id"), words, "set").dropDuplicates(["fp"]).select("fp", "values"))
+    ids = sets.join(members, "sid", "left_semi").select(F.col("least").alias("doc_id")).distinct()
+    made = compact(_made(among(documents, ids, "doc_id"), words, "set").dropDuplicates(["fp"]).select("fp", "values"))
     both = pairs.join(made.select(F.col("fp").alias("a"), F.col("values").alias("x")), "a").join(made.select(F.col("fp").alias("b"), F.col("values").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - SLACK).select("a", "b")
@@ -155,43 +155,43 @@ def _similar(pairs: DataFrame, sets: DataFrame, documents: DataFrame, words: int
 def _with_roots(sets: DataFrame, links: DataFrame) -> DataFrame:
     """Sets with the smallest set that each reaches over links."""
     roots = components(links, "a", "b")
-    return durable(sets.drop("root").join(roots, sets.sid == roots.node, "left").withColumn("root", F.coalesce("root", "sid")).drop("node"))
+    return compact(sets.drop("root").join(roots, sets.sid == roots.node, "left").withColumn("root", F.coalesce("root", "sid")).drop("node"))
 
 
 def _grouped(documents: DataFrame, words: int, similarity: float, split: int) -> DataFrame:
     """doc_id, fp (of its shingle set), root and component_id of every row with an id."""
     named = own_columns(documents, ["doc_id", "text"]).filter("doc_id is not null")
-    prints = durable(_made(named, words, "print"))
-    sets = durable(prints.groupBy(F.col("fp").alias("sid")).agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), *[F.first(F.col("values")[k]).alias(w) for k, w in enumerate(WORDS_OF)])).withColumn("root", F.col("sid"))
-    some = sets.filter("n > 0")
-    bits, tables, _ = next(x for x in TABLES if some.count() <= x[2])
+    prints = compact(_made(named, words, "print"))
+    sets, size = counted(prints.groupBy(F.col("fp").alias("sid")).agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), *[F.first(F.col("values")[k]).alias(w) for k, w in enumerate(WORDS_OF)]))
+    sets = sets.withColumn("root", F.col("sid"))
+    bits, tables, _ = next(x for x in TABLES if size <= x[2])
 
-    def new(found: DataFrame, known: DataFrame | None) -> DataFrame:
+    def new(found: DataFrame, known: DataFrame | None) -> tuple[DataFrame, int]:
         pairs = found.filter("a <> b").select("a", "b").distinct()
-        return durable(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
+        return counted(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
 
     # First a few tables, so that large groups are connected; then all, among what isn't connected.
-    pairs = new(durable(_close(_keyed(some, bits, range(CHAINED)), similarity, True, split)), None)
-    links = durable(_similar(pairs, sets, named, words, similarity))
+    pairs, _ = new(_close(_keyed(sets.filter("n > 0"), bits, range(CHAINED)), similarity, True, split), None)
+    links = compact(_similar(pairs, sets, named, words, similarity))
     sets = _with_roots(sets, links)
     release(sets)
-    found = durable(_close(_keyed(sets.filter("n > 0"), bits, range(tables)), similarity, True, split))
-    more = new(found, pairs)
-    links = durable(links.union(_similar(more, sets, named, words, similarity)))
-    sets = _with_roots(sets, links)
+    found = compact(_close(_keyed(sets.filter("n > 0"), bits, range(tables)), similarity, True, split))
+    more, fresh = new(found, pairs)
+    if fresh:
+        links = compact(links.union(_similar(more, sets, named, words, similarity)))
+        sets = _with_roots(sets, links)
     release(sets)
     # Trees with a link that was turned down: their members are compared all with all.
-    broken = durable(found.filter("a <> b").join(links, ["a", "b"], "left_anti").select("tree").distinct())
-    apart = pairs.limit(0)
-    if not broken.isEmpty():
+    broken, trees = counted(found.filter("a <> b").join(links, ["a", "b"], "left_anti").select("tree").distinct())
+    if trees:
         again = found.filter("a = b").join(broken, "tree", "left_semi").select(F.col("tree").alias("key"), F.col("a").alias("sid")).distinct()
-        apart = new(_close(again.join(sets.select("sid", "n", "root", *WORDS_OF), "sid").select("sid", "n", "root", *WORDS_OF, "key"), similarity, False, split), pairs.union(more))
-    if not apart.isEmpty():
-        links = durable(links.union(_similar(apart, sets, named, words, similarity)))
-        sets = _with_roots(sets, links)
-    release(sets)
-    least = durable(sets.groupBy("root").agg(F.min("least").alias("component_id")))
-    by_set = durable(sets.join(least, "root").select(F.col("sid").alias("fp"), "root", "component_id"))
+        apart, fresh = new(_close(again.join(sets.select("sid", "n", "root", *WORDS_OF), "sid").select("sid", "n", "root", *WORDS_OF, "key"), similarity, False, split), pairs.union(more))
+        if fresh:
+            links = links.union(_similar(apart, sets, named, words, similarity))
+            sets = _with_roots(sets, links)
+        release(sets)
+    least = compact(sets.groupBy("root").agg(F.min("least").alias("component_id")))
+    by_set = compact(sets.join(least, "root").select(F.col("sid").alias("fp"), "root", "component_id"))
     return prints.select("doc_id", "fp").join(by_set, "fp")
 
 
@@ -212,7 +212,7 @@ def representatives(documents: DataFrame, words: int = WORDS, similarity: float
     to the smallest number), of repeated rows one; rows with a null id all stay.  Only ids and fingerprints are
     shuffled, texts only where ``common.among`` says so or an id is repeated.
     """
-    found = durable(_grouped(documents, words, similarity, SPLIT))
-    best = durable(found.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("best")).select("best.*"))
-    counted = durable(found.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n")))
-    return kept_rows(documents, counted, best, lambda docs: _made(docs, words, "print", ["row"]))
+    found = compact(_grouped(documents, words, similarity, SPLIT))
+    best = compact(found.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("best")).select("best.*"))
+    rows_of = compact(found.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n")))
+    return kept_rows(documents, rows_of, best, lambda docs: _made(docs, words, "print", ["row"]))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import among, by_place, durable, own_columns, place_of
+from ledgerline.llm.common import among, by_place, compact, counted, own_columns, place_of
 
 #: Words of a shingle and most differing bits of a link.
 WORDS, RADIUS = 4, 4
@@ -38,6 +38,8 @@ WORDS, RADIUS = 4, 4
 SEED = 42
 #: Fingerprints of a bucket that one task compares as a whole.
 SPLIT = 16_384
+#: Edges that one task contracts at a time.
+STARS = 1 << 21
 #: Fingerprints up to which a number of bands is used: bands, bands that agree, fingerprints.
 BANDS = ((6, 2, 1 << 25), (7, 3, 1 << 31), (8, 4, 1 << 62))
 
@@ -255,14 +257,13 @@ def by_bucket(rows: DataFrame, node: str, compare: Callable[[pa.Table], pa.Recor
     """
     # Only the buckets beyond the split size are known apart: (rows / split) of them at most, usually none.
     hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n_")).filter(F.col("n_") > split)
-    hot = durable(hot.select("key", F.ceil(F.col("n_") / F.lit(split)).cast("int").alias("chunks_")))
+    hot, buckets = counted(hot.select("key", F.ceil(F.col("n_") / F.lit(split)).cast("int").alias("chunks_")))
     whole = F.struct(F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), F.lit(0).alias("side"))
-    if hot.isEmpty():
+    if not buckets:
         cell = rows.select(*rows.columns, F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), F.lit(0).alias("side"))
     else:
-        few = hot.limit(100_001).count() <= 100_000
         own = F.pmod(F.xxhash64(node), F.col("chunks_")).cast("int")
-        dealt = rows.join(F.broadcast(hot) if few else hot, "key", "left").withColumn("c_", own)
+        dealt = rows.join(F.broadcast(hot) if buckets <= 100_000 else hot, "key", "left").withColumn("c_", own)
         cells = F.when(F.col("chunks_").isNull(), F.array(whole)).otherwise(
             F.transform(
                 F.sequence(F.lit(0), F.coalesce(F.col("chunks_"), F.lit(1)) - 1),
@@ -337,7 +338,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
         waiting: list[pa.RecordBatch] = []
         for batch in batches:
             waiting.append(batch)
-            if sum(b.num_rows for b in waiting) >= 1 << 21:
+            if sum(b.num_rows for b in waiting) >= STARS:
                 yield stars(pa.Table.from_batches(waiting))
                 waiting = []
         if waiting:
@@ -356,21 +357,23 @@ def _is_forest_of_stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame, a: str = "fp", b: str = "root") -> DataFrame:
     """(node, root) for every node of an undirected edge list; root is the smallest node it reaches.
 
-    Each task first contracts the edges it has; then alternating large-star and small-star: in each step a node's
-    neighbours are hung below the smallest of them.  Only minima are aggregated (with map-side combining), never
-    neighbour lists, and they are checkpointed before the join, so a hub of any degree is a skewed join at most.
-    The steps are logarithmic in the longest path.
+    Each task first contracts the edges it has.  While more are left than a task contracts at a time, alternating
+    large-star and small-star steps follow: in each a node's neighbours are hung below the smallest of them.  Only
+    minima are aggregated (with map-side combining), never neighbour lists, and they are checkpointed before the join,
+    so a hub of any degree is a skewed join at most.  The steps are logarithmic in the longest path.
     """
-    # Twice: the second time over what the first has left, which a shuffle has put into fewer tasks.
-    current = durable(_contracted(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")).distinct())
-    current = durable(_contracted(current))
-    while not _is_forest_of_stars(current):
+    current, left = counted(_contracted(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")))
+    if left > STARS:
+        current, left = counted(_contracted(current.distinct()))
+    while left > STARS and not _is_forest_of_stars(current):
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = durable(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = durable(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = compact(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = compact(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = compact(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v")
-        current = durable(_contracted(small.distinct()))
+        current, left = counted(_contracted(small.distinct()))
+    if 0 < left <= STARS:  # what fits one contraction is done with it
+        current = compact(_contracted(current.coalesce(1)))
     return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -388,12 +391,12 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, radius: int = RADI
 
 def _grouped(documents: DataFrame, words: int, radius: int, split: int) -> DataFrame:
     """doc_id, fp, root (the group's smallest fingerprint) and component_id of every document."""
-    prints = durable(fingerprints(documents, words))
-    per_fp = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(per_fp.select("fp"), per_fp.count(), radius, split))
-    grouped = durable(per_fp.join(roots, per_fp.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = durable(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
-    by_fp = durable(grouped.join(named, "root").select("fp", "root", "component_id"))
+    prints = compact(fingerprints(documents, words))
+    per_fp, n = counted(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(per_fp.select("fp"), n, radius, split))
+    grouped = compact(per_fp.join(roots, per_fp.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    named = compact(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
+    by_fp = compact(grouped.join(named, "root").select("fp", "root", "component_id"))
     return prints.join(by_fp, "fp")
 
 
@@ -405,26 +408,26 @@ def representatives(documents: DataFrame, words: int = WORDS, radius: int = RADI
     anyone's copy: all of them stay.
     """
     found = _grouped(documents, words, radius, split).filter("doc_id is not null")
-    best = durable(found.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("best")).select("best.*"))
-    return kept_rows(documents, durable(found.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n"))), best, lambda docs: fingerprints(docs, words, ["row"]))
+    best = compact(found.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("best")).select("best.*"))
+    return kept_rows(documents, compact(found.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n"))), best, lambda docs: fingerprints(docs, words, ["row"]))
 
 
-def kept_rows(documents: DataFrame, counted: DataFrame, kept: DataFrame, prints: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def kept_rows(documents: DataFrame, rows_of: DataFrame, kept: DataFrame, prints: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rows of ``documents`` that are kept: one for each (doc_id, fp) of ``kept``, and all with a null id.
 
-    ``counted`` holds n, the number of rows, of each (doc_id, fp).  Where an id has one text, once, its rows are
+    ``rows_of`` holds n, the number of rows, of each (doc_id, fp).  Where an id has one text, once, its rows are
     told by the id alone and no text is shuffled unless very many ids go (``common.among``); only repeated ids have
     their texts read again (``prints`` of them gives doc_id and fp, row by row).
     """
-    many = counted.groupBy("doc_id").agg(F.sum("n").alias("n")).filter("n > 1").select("doc_id")
-    gone = counted.join(kept, ["doc_id", "fp"], "left_anti").select("doc_id").union(many).distinct()
+    many, repeated = counted(rows_of.groupBy("doc_id").agg(F.sum("n").alias("n")).filter("n > 1").select("doc_id"))
+    gone = rows_of.join(kept, ["doc_id", "fp"], "left_anti").select("doc_id").union(many).distinct()
     names, plain = documents.columns, by_place(documents)
     key = place_of(documents, "doc_id")
-    single = among(plain, durable(gone.withColumnRenamed("doc_id", key)), key, kept=False)
-    if many.isEmpty():
+    single = among(plain, gone.withColumnRenamed("doc_id", key), key, kept=False)
+    if not repeated:
         return single.toDF(*names)
     # Repeated ids: their rows carry their fingerprint as one more column, and one row of each kept pair stays.
-    few = among(plain, durable(many.withColumnRenamed("doc_id", key)), key)
+    few = among(plain, many.withColumnRenamed("doc_id", key), key)
     packed = few.select(F.col(key).alias("doc_id"), F.col(place_of(documents, "text")).alias("text"), F.struct(*plain.columns).alias("row"))
     with_fp = prints(packed).join(kept, ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id", "fp"])
     return single.unionByName(with_fp.select("row.*")).toDF(*names)
