@@ -12,7 +12,8 @@
    DataFrame functions; only the sets of candidates are made again for that.  Groups are connected components.
 4. A bucket gives a forest of candidates and not all pairs of a group, first from CHAINED tables, then from all tables
    among sets that aren't connected yet.  Where a tree of the forest had a link that the check turned down, its members
-   that aren't connected are compared once more, all with all, so that a wrong candidate hides no right one.
+   that aren't connected are compared once more, all with all, so that a wrong candidate hides no right one: there the
+   sets travel with their fingerprints and the task that compares them checks them too, so that only links leave it.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ WORDS_OF = [f"w{k}" for k in range(PLANES)]
 TABLES = ((10, 24, 1 << 21), (16, 64, 1 << 27), (20, 136, 1 << 62))
 #: Tables of the first pass.
 CHAINED = 3
+#: Hashes of a bucket, with HEAD more for each set, whose sets one task compares as a whole.
+SETS, HEAD = 1 << 20, 1024
 #: Rounding slack of a comparison of whole numbers with a share.
 SLACK = 1e-9
 
@@ -114,27 +117,35 @@ def _keyed(nodes: DataFrame, bits: int, tables: range) -> DataFrame:
     return nodes.select("sid", "n", "root", *WORDS_OF).mapInArrow(work, f"sid long, n int, root long, {', '.join(f'{w} long' for w in WORDS_OF)}, key long")
 
 
-def _close(rows: DataFrame, similarity: float, unite: bool, split: int) -> DataFrame:
-    """(a, b, tree): candidate pairs within the buckets of rows (sid, n, root, w0, w1, key) whose roots differ.
+def _pairs(table: pa.Table, similarity: float, unite: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of the table that share a bucket, i, j, labels): near pairs of those rows whose roots differ.
 
-    With ``unite`` they are a forest; ``tree`` names the tree, and each of its members is paired with itself as well.
     Sizes that are too far apart are no candidates.
     """
+    some, bucket, side = numbered(table)
+    n, root = (table.column(c).to_numpy()[some] for c in ("n", "root"))
+    words = np.stack([table.column(w).to_numpy()[some] for w in WORDS_OF], axis=1).view(np.uint64)
+    # One label for each root of a bucket: the first row that has it.
+    order = np.lexsort((root, bucket))
+    new = np.ones(len(order), bool)
+    new[1:] = (root[order][1:] != root[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
+    label = np.empty(len(order), np.int64)
+    label[order] = np.minimum.reduceat(order, np.flatnonzero(new))[np.cumsum(new) - 1] if len(order) else order
+    fits = lambda i, j: np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - SLACK
+    return some, *near_pairs(bucket, words, side, RADIUS, label, unite, fits)
+
+
+def _close(rows: DataFrame, similarity: float, split: int) -> DataFrame:
+    """(a, b, tree): a forest of candidate pairs within the buckets of rows (sid, n, root, w0, w1, key).
+
+    ``tree`` names the tree; each of its members is paired with itself as well.
+    """
 
     def compare(table: pa.Table) -> pa.RecordBatch:
-        some, bucket, side = numbered(table)
-        sid, n, root, key = (table.column(c).to_numpy()[some] for c in ("sid", "n", "root", "key"))
-        words = np.stack([table.column(w).to_numpy()[some] for w in WORDS_OF], axis=1).view(np.uint64)
-        # One label for each root of a bucket: the first row that has it.
-        order = np.lexsort((root, bucket))
-        new = np.ones(len(order), bool)
-        new[1:] = (root[order][1:] != root[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
-        label = np.empty(len(order), np.int64)
-        label[order] = np.minimum.reduceat(order, np.flatnonzero(new))[np.cumsum(new) - 1] if len(order) else order
-        fits = lambda i, j: np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - SLACK
-        i, j, label = near_pairs(bucket, words, side, RADIUS, label, unite, fits)
+        some, i, j, label = _pairs(table, similarity, True)
+        sid, key = (table.column(c).to_numpy()[some] for c in ("sid", "key"))
         # Members of the trees, those that were connected before included, as pairs with themselves.
-        member = np.flatnonzero(np.isin(label, label[i])) if unite else np.zeros(0, np.int64)
+        member = np.flatnonzero(np.isin(label, label[i]))
         i, j = np.concatenate([i, member]), np.concatenate([j, member])
         tree = sid[label[i]] * np.int64(-7046029254386353131) ^ key[i]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[i], sid[j])), pa.array(np.maximum(sid[i], sid[j])), pa.array(tree)], names=["a", "b", "tree"])
@@ -142,11 +153,48 @@ def _close(rows: DataFrame, similarity: float, unite: bool, split: int) -> DataF
     return by_bucket(rows, "sid", compare, "a long, b long, tree long", split)
 
 
+def _linked(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that connect all sets of a bucket of rows (sid, n, root, w0, w1, key, values) that links connect.
+
+    Close pairs are checked on the sets where they are compared; those that links connect already aren't.
+    """
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        some, i, j, label = _pairs(table, similarity, False)
+        sid, lists = table.column("sid").to_numpy()[some], table.column("values").combine_chunks()
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        starts, ends = offsets[some].tolist(), offsets[some + 1].tolist()
+        above, found = label.tolist(), []
+
+        def top(k: int) -> int:
+            while above[k] != k:
+                above[k] = above[above[k]]
+                k = above[k]
+            return k
+
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            x, y = top(a), top(b)
+            if x == y:
+                continue
+            shared = len(np.intersect1d(flat[starts[a] : ends[a]], flat[starts[b] : ends[b]], assume_unique=True))
+            if shared >= similarity * (ends[a] - starts[a] + ends[b] - starts[b] - shared) - SLACK:
+                found.append((a, b))
+                above[max(x, y)] = min(x, y)
+        ends_of = np.array(found, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(sid[ends_of[:, 0]]), pa.array(sid[ends_of[:, 1]])], names=["a", "b"])
+
+    return by_bucket(rows, "sid", compare, "a long, b long", SETS, F.col("n") + HEAD)
+
+
+def _values(members: DataFrame, sets: DataFrame, documents: DataFrame, words: int) -> DataFrame:
+    """fp and ``values``, the whole shingle set, of the sets named by ``members`` (sid)."""
+    ids = sets.join(members, "sid", "left_semi").select(F.col("least").alias("doc_id")).distinct()
+    return compact(_made(among(documents, ids, "doc_id"), words, "set").dropDuplicates(["fp"]).select("fp", "values"))
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, documents: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of sets that are similar enough."""
-    members = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
-    ids = sets.join(members, "sid", "left_semi").select(F.col("least").alias("doc_id")).distinct()
-    made = compact(_made(among(documents, ids, "doc_id"), words, "set").dropDuplicates(["fp"]).select("fp", "values"))
+    made = _values(pairs.select(F.explode(F.array("a", "b")).alias("sid")), sets, documents, words)
     both = pairs.join(made.select(F.col("fp").alias("a"), F.col("values").alias("x")), "a").join(made.select(F.col("fp").alias("b"), F.col("values").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - SLACK).select("a", "b")
@@ -171,11 +219,11 @@ def _grouped(documents: DataFrame, words: int, similarity: float, split: int) ->
         return counted(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
 
     # First a few tables, so that large groups are connected; then all, among what isn't connected.
-    pairs, _ = new(_close(_keyed(sets.filter("n > 0"), bits, range(CHAINED)), similarity, True, split), None)
+    pairs, _ = new(_close(_keyed(sets.filter("n > 0"), bits, range(CHAINED)), similarity, split), None)
     links = compact(_similar(pairs, sets, named, words, similarity))
     sets = _with_roots(sets, links)
     release(sets)
-    found = compact(_close(_keyed(sets.filter("n > 0"), bits, range(tables)), similarity, True, split))
+    found = compact(_close(_keyed(sets.filter("n > 0"), bits, range(tables)), similarity, split))
     more, fresh = new(found, pairs)
     if fresh:
         links = compact(links.union(_similar(more, sets, named, words, similarity)))
@@ -184,10 +232,12 @@ def _grouped(documents: DataFrame, words: int, similarity: float, split: int) ->
     # Trees with a link that was turned down: their members are compared all with all.
     broken, trees = counted(found.filter("a <> b").join(links, ["a", "b"], "left_anti").select("tree").distinct())
     if trees:
-        again = found.filter("a = b").join(broken, "tree", "left_semi").select(F.col("tree").alias("key"), F.col("a").alias("sid")).distinct()
-        apart, fresh = new(_close(again.join(sets.select("sid", "n", "root", *WORDS_OF), "sid").select("sid", "n", "root", *WORDS_OF, "key"), similarity, False, split), pairs.union(more))
+        again = compact(found.filter("a = b").join(broken, "tree", "left_semi").select(F.col("tree").alias("key"), F.col("a").alias("sid")).distinct())
+        made = _values(again, sets, named, words).withColumnRenamed("fp", "sid")
+        whole = again.join(sets.select("sid", "n", "root", *WORDS_OF), "sid").join(made, "sid")
+        apart, fresh = counted(_linked(whole.select("sid", "n", "root", *WORDS_OF, "key", "values"), similarity))
         if fresh:
-            links = links.union(_similar(apart, sets, named, words, similarity))
+            links = links.union(apart)
             sets = _with_roots(sets, links)
         release(sets)
     least = compact(sets.groupBy("root").agg(F.min("least").alias("component_id")))

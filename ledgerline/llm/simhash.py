@@ -26,7 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -249,14 +249,14 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS, split: int = SP
     return by_bucket(rows, "fp", compare, "fp long, root long", split).distinct()
 
 
-def by_bucket(rows: DataFrame, node: str, compare: Callable[[pa.Table], pa.RecordBatch], schema: str, split: int = SPLIT) -> DataFrame:
+def by_bucket(rows: DataFrame, node: str, compare: Callable[[pa.Table], pa.RecordBatch], schema: str, split: int = SPLIT, weight: Column | None = None) -> DataFrame:
     """``compare`` on whole buckets (``key``) of rows, which it gets sorted by key, lo, hi and ``node`` with their ``side``.
 
-    Buckets beyond ``split`` rows are dealt out: a chunk meets itself and each other chunk of its bucket, in cell
+    Buckets beyond ``split`` rows (or that sum of ``weight``) are dealt out: a chunk meets itself and each other chunk of its bucket, in cell
     (lo, hi), on side 1 or 2 (0: with itself).
     """
     # Only the buckets beyond the split size are known apart: (rows / split) of them at most, usually none.
-    hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n_")).filter(F.col("n_") > split)
+    hot = rows.groupBy("key").agg(F.sum(F.lit(1) if weight is None else weight).alias("n_")).filter(F.col("n_") > split)
     hot, buckets = counted(hot.select("key", F.ceil(F.col("n_") / F.lit(split)).cast("int").alias("chunks_")))
     whole = F.struct(F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), F.lit(0).alias("side"))
     if not buckets:
@@ -279,7 +279,7 @@ def by_bucket(rows: DataFrame, node: str, compare: Callable[[pa.Table], pa.Recor
         for batch in batches:
             waiting.append(batch)
             held += batch.num_rows
-            if held >= 1 << 17:
+            if held >= 1 << 17 or sum(b.nbytes for b in waiting) >= 1 << 26:
                 whole = pa.Table.from_batches(waiting).combine_chunks()
                 last = _bucket_start(whole)
                 if last:
