@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from ledgerline.llm import shingles
 from tests.llm.test_texts import SF, docs, real
 
@@ -32,7 +33,9 @@ def variants(n=200, seed=5):
     return out
 
 
-def test_near_copies_equal_all_pairs(spark):
+@pytest.mark.parametrize("hashes", [shingles.SETS, 3000])
+def test_near_copies_equal_all_pairs(spark, monkeypatch, hashes):
+    monkeypatch.setattr(shingles, "SETS", hashes)  # the smaller one deals trees out as pairs of chunks
     texts = ODD + variants() + [r["text"] for r in real(spark).limit(60).collect()]
     sets = [plain_set(t) for t in texts]
     label = list(range(len(texts)))
