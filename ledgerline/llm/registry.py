@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import ann, bpe, innerproduct, licenses, mixing, pii, quality, sharding, simhash, urls
+from ledgerline.llm import ann, balls, bpe, innerproduct, licenses, mixing, overlap, pii, quality, sharding, simhash, trie, urls
 from ledgerline.llm.common import own_columns, table
 
 SHARDS = 24
@@ -239,6 +239,111 @@ FROM placed
 """
 
 
+def op11_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of four-word shingles have a Jaccard similarity of 0.85 or more."""
+    return overlap.similarity_groups(own_columns(table(spark, sf_dir, "documents"), ["doc_id", "text"]))
+
+
+#: Documents of equal sets are one class; labels are spread until nothing changes.
+OP11_SQL = """
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]))) END AS s
+  FROM worded),
+named AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN sha256(array_to_string(s, chr(10))) END AS c, s FROM sets),
+classes AS (SELECT c, any_value(n) AS n, any_value(s) AS s, min(doc_id) AS least FROM named WHERE n > 0 GROUP BY c),
+grams AS (SELECT least AS c, n, unnest(s) AS g FROM classes),
+shared AS (
+  SELECT a.c AS a, b.c AS b FROM grams a JOIN grams b ON a.g = b.g AND a.c < b.c AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM shared UNION ALL SELECT b, a FROM shared),
+reached(c, r) AS (
+  SELECT a, a FROM both_ways
+  UNION
+  SELECT reached.c, both_ways.b FROM reached JOIN both_ways ON reached.r = both_ways.a),
+tops AS (SELECT c, min(r) AS component_id FROM reached GROUP BY c)
+SELECT named.doc_id, named.n::BIGINT AS n_shingles, coalesce(tops.component_id, classes.least, named.doc_id)::BIGINT AS component_id
+FROM named LEFT JOIN classes USING (c) LEFT JOIN tops ON tops.c = classes.least
+"""
+
+
+def op12_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of 64 components with its cluster after ten rounds of k-means with eight centroids."""
+    return balls.cluster(own_columns(table(spark, sf_dir, "embeddings"), ["vec_id", "embedding"]))
+
+
+def _op12_sql() -> str:
+    """Rounds written out one after the other."""
+    near = "SELECT v.n, v.vec_id, v.x, arg_min(c.cluster, (list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))), c.cluster)) AS cluster FROM v CROSS JOIN {c} c GROUP BY v.n, v.vec_id, v.x"
+    parts = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor({balls.SCALE} * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {balls.COMPONENTS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h) - 1)::INTEGER AS cluster, x FROM (SELECT x, sha256('{balls.SEED}:' || vec_id) AS h FROM v ORDER BY h LIMIT {balls.CLUSTERS}))",
+    ]
+    for k in range(balls.ROUNDS):
+        parts.append(f"a{k} AS MATERIALIZED ({near.format(c=f'c{k}')})")
+        parts.append(
+            f"c{k + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN (SELECT cluster, list((s - ((s % k + k) % k)) // k ORDER BY i) AS x "
+            f"FROM (SELECT cluster, i, sum(e)::BIGINT AS s, count(*)::BIGINT AS k FROM (SELECT cluster, unnest(x) AS e, unnest(range(64)) AS i FROM a{k}) GROUP BY cluster, i) GROUP BY cluster) m USING (cluster))"
+        )
+    last = f"c{balls.ROUNDS}"
+    parts.append(f"z AS MATERIALIZED ({near.format(c=last)})")
+    parts.append(f"d AS MATERIALIZED (SELECT z.vec_id, z.cluster, list_sum(list_transform(range(1, 65), lambda i: (z.x[i] - c.x[i]) * (z.x[i] - c.x[i])))::BIGINT AS distance, sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM z JOIN {last} c USING (cluster))")
+    return (
+        "WITH "
+        + ",\n".join(parts)
+        + "\nSELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256 FROM d"
+    )
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations, with what its subtree adds up to."""
+    turns = trie.numbered(own_columns(table(spark, sf_dir, "conversations"), ["conv_id", "turn", "role", "text"]))
+    return trie.rollup(*trie.rebuilt(turns)).drop("key")
+
+
+OP13_SQL = f"""
+WITH {{crc}},
+numbered AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, t) - 1 AS idx, t
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t
+        FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % {trie.BLOCK} AS base, crc % {trie.OPENINGS} AS h
+  FROM (SELECT DISTINCT conv_id FROM numbered) JOIN checksums ON checksums.h = hex(encode(conv_id::VARCHAR))),
+rebuilt AS (
+  SELECT c.conv_id, n.t, length(n.text) AS len, n.idx, 0 AS part FROM convs c JOIN numbered n ON n.conv_id = c.base AND n.idx < c.h
+  UNION ALL
+  SELECT c.conv_id, n.t, length(n.text), n.idx, 1 FROM convs c JOIN numbered n ON n.conv_id = c.conv_id AND n.idx >= c.h),
+paths AS (
+  SELECT conv_id, len, row_number() OVER w AS depth, string_agg(t, '') OVER w AS p
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, idx)),
+members AS (
+  SELECT conv_id, len, depth, p FROM paths UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+ends AS (
+  SELECT p, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS e
+  FROM (SELECT conv_id, arg_max(p, depth) AS p FROM members GROUP BY conv_id) GROUP BY p),
+nodes AS (
+  SELECT p, min(conv_id) AS conv_id, min(depth) AS depth, count(*) AS n_convs, (count(*) - 1) * min(len) AS saved,
+         CASE WHEN p <> '' THEN left(p, length(p) - 32) END AS parent
+  FROM members GROUP BY p),
+kids AS (SELECT parent AS p, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+above AS (
+  SELECT left(nodes.p, 32 * unnest(range(0, depth + 1))) AS p, saved, (n_children IS NULL)::INTEGER AS leaf FROM nodes LEFT JOIN kids USING (p)),
+sums AS (SELECT p, sum(saved) AS saved_tokens, sum(leaf) AS n_leaves FROM above GROUP BY p)
+SELECT nodes.conv_id, nodes.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, nodes.n_convs::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, coalesce(e, sha256('')) AS ends_sha256
+FROM nodes JOIN sums USING (p) LEFT JOIN kids USING (p) LEFT JOIN ends USING (p) LEFT JOIN nodes up ON up.p = nodes.parent
+""".replace("{crc}", _CRC_SQL.replace("encode(coalesce(text, ''))) AS h FROM documents", "encode(conv_id::VARCHAR)) AS h FROM conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The contract queries by name."""
     return {
@@ -252,9 +357,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_simhash": op9_simhash,
         "op10_url_filter": op10_url_filter,
+        "op11_overlap": op11_overlap,
+        "op12_balls": op12_balls,
+        "op13_trie": op13_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for those of them that SQL can express."""
-    return {"op1_sharding": OP1_SQL, "op4_licenses": OP4_SQL, "op7_topk": OP7_SQL, "op8_mixing": OP8_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_sharding": OP1_SQL, "op4_licenses": OP4_SQL, "op7_topk": OP7_SQL, "op8_mixing": OP8_SQL, "op10_url_filter": OP10_SQL, "op11_overlap": OP11_SQL, "op12_balls": OP12_SQL, "op13_trie": OP13_SQL}
