@@ -2,22 +2,23 @@
 
 1. Rows: a document is the set of hashes of its distinct word n-grams; documents with equal sets are one row of the
    matrix from here on, named by a hash of the set.
-2. Order: columns are ordered by how loaded they are, lightest first.  Loads are counted over all documents in
-   cells of hashed n-grams; what is broadcast is a byte a cell, 2^24 at most.  An unlucky n-gram that shares a full
-   cell comes late, which costs nothing: any order of the columns gives the right result.
-3. Blocks: two rows of n and m columns that link share at least 0.85 / 1.85 * (n + m) of them, so each shares
-   one among its first n - ceil(0.85 n) + 1 columns (what follows is too short to reach the bound).  Only those
-   entries are shuffled, by column; equal entries of a task are combined to one before.  Rows that meet in a column
-   with sizes that may link are joined to a block, by a chain and not by pairs; blocks are the chains' components.
+2. Peeling: a partner of a row of n columns shares ceil(0.85 n) of them at least, so a row with n - ceil(0.85 n) + 1
+   columns that no other row has links with nothing and leaves the matrix.  First a hashed share (SAMPLED) of all
+   columns is looked at, the same for every row, then all columns of the rows that are left.
+3. Blocks: two rows that link share one of each one's first n - ceil(0.85 n) + 1 columns, in any common order.  Columns
+   of one row come first and then the others, lightest first (loads are counted in cells of hashed columns, 2^20 at
+   most), so that only a row's first few shared columns are entries.  Rows that meet in a column with
+   sizes that may link are joined by a chain and not by pairs; blocks are the chains' components.
 4. Product: a task holds the whole rows of a block, renumbers its columns rarest first, and multiplies one row at a time
    with the block: entries of the leading columns find the partners whose sizes fit, then overlaps are accumulated over
    ranges of columns, and pairs whose remaining columns can't reach their bound are dropped after each.  Rows that are
    linked already aren't compared again, so a family of near copies costs little more than one row of the product.
 5. Blocks beyond SETS entries are cut into chunks.  First each chunk is multiplied with itself and with a few hubs of
    its block, which connects what is near to a hub; then rows that aren't connected with the most of their block meet
-   all chunks, in cells of two chunks.  No cap and no sampling: every link that could join two groups is computed.
+   all chunks, in cells of two chunks.  No cap and no sampling of rows: every link that could join two groups is computed.
 
-Rows of at least 2^40 columns never meet here; overlaps are counted in whole numbers.
+Tasks combine equal columns before they are shuffled, so a column that a third of all rows have costs a row a task.
+Rows of 2^40 columns or more never meet here; overlaps are counted in whole numbers.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +38,12 @@ from ledgerline.llm.simhash import SEED, components, numbered
 WORDS, PERCENT = 4, 85
 #: Entries of a block (HEAD more a row) that one task multiplies as a whole; hubs of a larger block.
 SETS, HEAD, HUBS = 1 << 20, 64, 4
-#: Cells of column loads: at least and at most, powers of two.
-CELLS = (1 << 16, 1 << 24)
-#: Documents that a task turns into sets at a time; words that a task remembers the hashes of.
-AT_ONCE, REMEMBERED = 256, 1 << 20
+#: Share of columns that the first peeling looks at.
+SAMPLED = 0.3
+#: Cells of column loads: the least and the most, as powers of two.
+CELLS = (16, 20)
+#: Bytes of texts whose words a task hashes at a time; entries that it combines at a time; rows that it remembers.
+AT_ONCE, ENTRIES, REMEMBERED = 1 << 18, 1 << 19, 1 << 20
 #: Ranges of columns between which pairs are dropped.
 RANGES = 4
 #: Stands for the larger size where a row is a link of a chain.
@@ -56,42 +60,88 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """Sets of n-gram hashes; word hashes are remembered, up to a bound."""
+    """Sets of word n-gram hashes of a column of texts.
 
-    def __init__(self, words: int):
-        self.words, self.known = words, {}
+    A word's hash is the sum, modulo 2^64, of drawn numbers of its bytes times drawn numbers of their places, mixed
+    with its length; words of more than 64 bytes are hashed by XXH64.  An n-gram's hash is made likewise of its words'.
+    """
 
-    def of(self, text: bytes) -> np.ndarray:
-        """Sorted distinct hashes of the word n-grams of a UTF-8 text; fewer words are one n-gram, none none."""
+    def __init__(self, words: int):
+        drawn = np.random.default_rng(SEED)
+        self.words = words
+        self.letter = drawn.integers(1, 1 << 64, 256, np.uint64)
+        self.letter[65:91] = self.letter[97:123]
+        self.place = drawn.integers(1, 1 << 64, 64, np.uint64) | np.uint64(1)
+        self.turn = drawn.integers(1, 1 << 64, words, np.uint64) | np.uint64(1)
+        self.space = np.zeros(256, bool)
+        self.space[[32, *range(9, 14)]] = True
+
+    def hashed(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of some bytes, and their places; no word goes over one of ``starts``."""
         import xxhash
 
-        parts = text.lower().split()
-        if not parts:
-            return np.empty(0, np.uint64)
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known, digest = self.known, xxhash.xxh64_intdigest
-        for w in set(parts).difference(known):
-            known[w] = digest(w, SEED)
-        hashes = np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
-        n = min(self.words, len(parts))
-        out = np.full(len(parts) - n + 1, n, np.uint64)
+        word = ~self.space[data]
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        at = starts[starts < len(data)]
+        first[at] = word[at]
+        s = np.flatnonzero(first)
+        if not len(s):
+            return np.empty(0, np.uint64), s
+        inside = np.arange(len(data)) - s[np.cumsum(first) - 1]
+        values = self.letter[data] * self.place[inside & 63]
+        values[~word] = 0
+        length = np.add.reduceat(word, s, dtype=np.int64)
+        out = _mix(np.add.reduceat(values, s) + length.astype(np.uint64))
+        for k in np.flatnonzero(length > len(self.place)).tolist():
+            out[k] = xxhash.xxh64_intdigest(data[s[k] : s[k] + length[k]].tobytes().lower(), SEED)
+        return out, s
+
+    def gram(self, words: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of all runs of n words."""
+        out = np.full(len(words) - n + 1, n, np.uint64)
         for k in range(n):
-            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : len(hashes) - n + 1 + k])
-        return np.unique(out)
-
-
-def _sets(documents: DataFrame, words: int, give, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
-    """``give(sets, batch)`` of slices of documents (text and ``more`` columns)."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(words)
-        for batch in batches:
-            for s in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(s, AT_ONCE)
-                yield give([grams.of(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in part.column(0)], part)
-
-    return documents.select("text", *more).mapInArrow(work, schema)
+            out += words[k : len(words) - n + 1 + k] * self.turn[k]
+        return _mix(out)
+
+    def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Sorted distinct hashes of the word n-grams of each text; fewer words are one n-gram, none (and nulls) none."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.empty(0, np.uint8)
+        k = 0
+        while k < len(texts):
+            last = max(k + 1, int(np.searchsorted(offsets, offsets[k] + AT_ONCE, "right")) - 1)
+            part, edges = data[offsets[k] : offsets[last]], offsets[k : last + 1] - offsets[k]
+            if last == k + 1 and len(part) > AT_ONCE:
+                words = np.concatenate([self.hashed(piece, np.zeros(1, np.int64))[0] for piece in self.pieces(part)])
+                counts = np.array([len(words)])
+            else:
+                words, s = self.hashed(part, edges[:-1])
+                counts = np.diff(np.searchsorted(s, edges))
+            grams = self.gram(words, self.words) if len(words) >= self.words else None
+            at = 0
+            for n in counts.tolist():
+                if n >= self.words:
+                    found = np.sort(grams[at : at + n - self.words + 1])
+                    new = np.ones(len(found), bool)
+                    np.not_equal(found[1:], found[:-1], out=new[1:])
+                    yield found[new]
+                else:
+                    yield self.gram(words[at : at + n], n) if n else np.empty(0, np.uint64)
+                at += n
+            k = last
+
+    def pieces(self, data: np.ndarray) -> Iterator[np.ndarray]:
+        """A long text cut at white space."""
+        a = 0
+        while a < len(data):
+            b = a + AT_ONCE
+            while b < len(data) and not self.space[data[b : b + AT_ONCE]].any():
+                b += AT_ONCE
+            b = b + int(np.argmax(self.space[data[b : b + AT_ONCE]])) if b < len(data) else len(data)
+            yield data[a:b]
+            a = b
 
 
 def _sid(found: list[np.ndarray]) -> np.ndarray:
@@ -101,70 +151,129 @@ def _sid(found: list[np.ndarray]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], np.uint64).view(np.int64)
 
 
+def _sampled(hashes: np.ndarray) -> np.ndarray:
+    return hashes < np.uint64(int(SAMPLED * 2**64))
+
+
 def _documents(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id, sid and n of every document."""
+    """doc_id, sid, n and m (columns of the sample) of every document."""
 
-    def give(found, part):
-        return pa.RecordBatch.from_arrays([part.column(1), pa.array(_sid(found)), pa.array([len(h) for h in found], pa.int64())], names=["doc_id", "sid", "n"])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams(words)
+        for batch in batches:
+            found = [(int(_sid([h])[0]), len(h), int(_sampled(h).sum())) for h in grams.of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[k] for x in found], pa.int64()) for k in range(3)]], names=["doc_id", "sid", "n", "m"])
 
-    return _sets(documents, words, give, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, sid long, n long", ("doc_id",))
+    return documents.select("doc_id", "text").mapInArrow(work, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, sid long, n long, m long")
 
 
-# -- order -------------------------------------------------------------------------------------------
+# -- peeling -----------------------------------------------------------------------------------------
 
 
-def _cell(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+def _lists(sid: np.ndarray, key: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Keys by sid: distinct sids, and a list for each."""
+    order = np.argsort(sid, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(sid[order]) != 0])) if len(sid) else np.empty(0, np.int64)
+    return pa.array(sid[order][starts]), pa.ListArray.from_arrays(pa.array(np.append(starts, len(sid)).astype(np.int32)), pa.array(key[order]))
 
 
-def _loads(documents: DataFrame, words: int, bits: int) -> np.ndarray:
-    """A class of load (the exponent of the n-grams counted, above the mean) for each cell, over all documents."""
-    block = min(bits, 14)
+def _shared(rows: DataFrame, sets_of) -> DataFrame:
+    """(sid, keys): of each row the columns that other rows have as well; rows without any are left out.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, cells, waiting, held, any_ = Grams(words), np.zeros(1 << bits, np.uint32), [], 0, False
+    ``sets_of`` gives (sid, columns) of the rows in a batch.  A task combines what it has of a column: rows that meet
+    there already are sent to their row, and one stands for them where the column is put together.
+    """
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, waiting, held = set(), [], 0
         for batch in batches:
-            for x in batch.column(0):
-                waiting.append(_cell(grams.of(x.as_buffer().to_pybytes() if x.is_valid else b""), bits))
-                held, any_ = held + len(waiting[-1]), True
-                if held >= 1 << 20:
-                    cells += np.bincount(np.concatenate(waiting), minlength=1 << bits).astype(np.uint32)
+            for sid, columns in sets_of(batch):
+                if sid in seen or not len(columns):
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(sid)
+                waiting.append((sid, columns.view(np.int64)))
+                held += len(columns)
+                if held >= ENTRIES:
+                    yield from combined(waiting)
                     waiting, held = [], 0
-        if any_:
-            cells += np.bincount(np.concatenate([np.zeros(0, np.int64), *waiting]), minlength=1 << bits).astype(np.uint32)
-            parts = cells.reshape(-1, 1 << block)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "cells"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, total = None, None
+        if waiting:
+            yield from combined(waiting)
+
+    def combined(waiting) -> Iterator[pa.RecordBatch]:
+        key = np.concatenate([c for _, c in waiting])
+        sid = np.repeat(np.array([s for s, _ in waiting], np.int64), [len(c) for _, c in waiting])
+        order = np.lexsort((sid, key))
+        key, sid = key[order], sid[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(key)) - 1
+        met = sid[starts] != sid[ends]
+        kind = np.where(met, 1, 0).astype(np.int8)
+        yield pa.RecordBatch.from_arrays([pa.array(key[starts]), pa.array(sid[starts]), pa.array(kind), pa.nulls(len(starts), pa.list_(pa.int64()))], names=["route", "sid", "kind", "keys"])
+        inside = met[np.cumsum(new) - 1]
+        own, lists = _lists(sid[inside], key[inside])
+        yield pa.RecordBatch.from_arrays([own, own, pa.array(np.full(len(own), 2, np.int8)), lists], names=["route", "sid", "kind", "keys"])
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int8)]
         for batch in batches:
-            for b, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if b != current:
-                    if current is not None:
-                        yield _classes(current, total)
-                    current, total = b, np.zeros(1 << block, np.uint64)
-                total += np.frombuffer(cells.as_buffer(), np.uint32)
-        if current is not None:
-            yield _classes(current, total)
-
-    def _classes(b: int, total: np.ndarray) -> pa.RecordBatch:
-        # The mean of a block stands for the mean of all: cells are hashed.
-        load = np.log2(np.maximum(total / max(1.0, total.mean()), 1.0))
-        return pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.floor(load).astype(np.uint8).tobytes()], pa.binary())], names=["block", "cells"])
-
-    counts = documents.select("text").mapInArrow(count, "block int, cells binary")
-    out = np.zeros(1 << bits, np.uint8)
-    for r in counts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, cells binary").collect():
-        out[r["block"] << block : (r["block"] + 1) << block] = np.frombuffer(r["cells"], np.uint8)
-    return out
+            whole = pa.compute.equal(batch.column(2), 2)
+            ready = batch.filter(whole)
+            yield pa.RecordBatch.from_arrays([ready.column(1), ready.column(3)], names=["sid", "keys"])
+            plain = batch.filter(pa.compute.invert(whole))
+            cols = [np.concatenate([x, plain.column(k).to_numpy()]) for k, x in enumerate(left)]
+            if len(cols[0]):
+                last = int(np.searchsorted(cols[0], cols[0][-1]))
+                yield met(*[c[:last] for c in cols])
+                left = [c[last:] for c in cols]
+        yield met(*left)
+
+    def met(key, sid, kind) -> pa.RecordBatch:
+        """Rows sorted by key and sid."""
+        if not len(key):
+            return pa.RecordBatch.from_arrays(list(_lists(sid, key)), names=["sid", "keys"])
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+        ends = np.append(starts[1:], len(key)) - 1
+        several = (sid[starts] != sid[ends]) | np.maximum.reduceat(kind, starts).astype(bool)
+        wanted = several[group] & (kind == 0)
+        return pa.RecordBatch.from_arrays(list(_lists(sid[wanted], key[wanted])), names=["sid", "keys"])
+
+    given = rows.mapInArrow(give, "route long, sid long, kind byte, keys array<long>")
+    taken = given.repartition("route").sortWithinPartitions("route", "sid").mapInArrow(take, "sid long, keys array<long>")
+    return taken.groupBy("sid").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
+
+
+def _leading(n, percent: int):
+    """How many of a row's first columns hold one that any partner shares."""
+    return n - (percent * n + 99) // 100 + 1
 
 
-# -- blocks ------------------------------------------------------------------------------------------
+def _left(shared: DataFrame, rows: DataFrame, seen: str, percent: int) -> DataFrame:
+    """Rows (sid, n, ...) with ``keys`` whose columns of their own, of ``seen``, are too few to rule out a link."""
+    own = F.col(seen) - F.coalesce(F.size("keys"), F.lit(0))
+    need = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    return rows.join(shared, "sid", "left").withColumn("spare", (need - own).cast("long")).filter("spare > 0")
 
 
-def _leading(n: np.ndarray | int, percent: int):
-    """How many of a row's first columns hold one that any partner shares."""
-    return n - (percent * n + 99) // 100 + 1
+# -- order -------------------------------------------------------------------------------------------
+
+
+def _cell(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _loads(keyed: DataFrame, bits: int) -> np.ndarray:
+    """A class of load for each cell of columns: the exponent, above the mean, of the entries counted."""
+    cells = keyed.select(F.explode("keys").alias("key")).groupBy(F.shiftrightunsigned("key", 64 - bits).cast("int").alias("cell")).count().toArrow()
+    counts = np.zeros(1 << bits)
+    counts[cells.column("cell").to_numpy()] = cells.column("count").to_numpy()
+    return np.floor(np.log2(np.maximum(counts / max(1.0, counts.sum() / len(counts)), 1.0))).astype(np.uint8)
+
+
+# -- blocks ------------------------------------------------------------------------------------------
 
 
 def _runs(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, sid: np.ndarray, percent: int):
@@ -179,29 +288,19 @@ def _runs(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, sid: np.ndarray, perc
     return order, np.flatnonzero(new)
 
 
-def _entries(documents: DataFrame, words: int, percent: int, loads, bits: int) -> DataFrame:
-    """Rows' leading columns as runs (key, lo, hi, sid), and the chains inside of runs as rows (sid, sid, CHAIN, sid)."""
+def _entries(keyed: DataFrame, percent: int, loads, bits: int) -> DataFrame:
+    """Leading shared columns of rows (sid, n, spare, keys) as runs (key, lo, hi, sid), and the chains inside of runs as rows (sid, sid, CHAIN, sid)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, load, seen = Grams(words), loads.value, set()
-        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        held = 0
+        load, waiting, held = loads.value, [], 0
         for batch in batches:
-            for x in batch.column(0):
-                h = grams.of(x.as_buffer().to_pybytes() if x.is_valid else b"")
-                if not len(h):
-                    continue
-                sid = int(_sid([h])[0])
-                if sid in seen:
-                    continue
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                seen.add(sid)
-                p = int(_leading(len(h), percent))
-                first = h[np.lexsort((h, load[_cell(h, bits)]))[:p]]
-                waiting.append((first.view(np.int64), np.full(p, len(h), np.int64), np.full(p, sid, np.int64)))
-                held += p
-                if held >= 1 << 19:
+            lists = batch.column(3)
+            for sid, n, spare, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), lists, strict=True):
+                h = keys.values.to_numpy().view(np.uint64)
+                first = h[np.lexsort((h, load[_cell(h, bits)]))[:spare]].view(np.int64)
+                waiting.append((first, np.full(len(first), n), np.full(len(first), sid)))
+                held += len(first)
+                if held >= ENTRIES:
                     yield combined(waiting)
                     waiting, held = [], 0
         if waiting:
@@ -211,7 +310,7 @@ def _entries(documents: DataFrame, words: int, percent: int, loads, bits: int) -
         key, n, sid = (np.concatenate(c) for c in zip(*waiting, strict=True))
         return _combined(key, n, n, sid, percent, False)
 
-    return documents.select("text").mapInArrow(work, "key long, lo long, hi long, sid long")
+    return keyed.select("sid", "n", "spare", "keys").mapInArrow(work, "key long, lo long, hi long, sid long")
 
 
 def _combined(key, lo, hi, sid, percent: int, last: bool) -> pa.RecordBatch:
@@ -408,14 +507,26 @@ def similarity_groups(documents: DataFrame, words: int = WORDS, percent: int = P
     """
     named = own_columns(documents, ["doc_id", "text"])
     docs = compact(_documents(named, words))
-    rows, size = counted(docs.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")))
-    bits = int(np.log2(min(CELLS[1], max(CELLS[0], 1 << (8 * max(1, size) - 1).bit_length()))))
-    loads = named.sparkSession.sparkContext.broadcast(_loads(named, words, bits))
-    blocks = compact(components(_chains(_entries(named, words, percent, loads, bits), percent), "a", "b"))
+    rows = compact(docs.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("m").alias("m")))
+
+    def of_texts(batch):
+        for h in Grams(words).of(batch.column(0)):
+            yield int(_sid([h])[0]), h[_sampled(h)]
+
+    def of_sets(batch):
+        for sid, h in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield sid, h.values.to_numpy().view(np.uint64)
+
+    first = compact(_left(_shared(named.select("text"), of_texts), rows, "m", percent).select("sid", "least", "n"))
+    sets = _whole(first, named, words)
+    keyed, some = counted(_left(_shared(sets.select("sid", "values"), of_sets), first.drop("least"), "n", percent).filter("keys is not null").select("sid", "n", "spare", "keys"))
+    bits = min(CELLS[1], max(CELLS[0], (16 * max(1, some)).bit_length()))
+    loads = named.sparkSession.sparkContext.broadcast(_loads(keyed, bits))
+    blocks = compact(components(_chains(_entries(keyed, percent, loads, bits), percent), "a", "b"))
     # A block's root is named by the others alone.
     blocks = blocks.union(blocks.select("root", "root").distinct())
-    met = compact(rows.join(blocks, F.col("sid") == F.col("node")).select("sid", "least", "n", F.col("root").alias("key")))
-    links = _links(_whole(met, named, words), percent, most)
+    met = compact(sets.join(blocks, F.col("sid") == F.col("node")).select("sid", "n", F.col("root").alias("key"), "values"))
+    links = _links(met, percent, most)
     roots = components(links, "a", "b")
     grouped = compact(rows.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("root", "sid").alias("root")))
     least = compact(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
@@ -424,14 +535,18 @@ def similarity_groups(documents: DataFrame, words: int = WORDS, percent: int = P
     return full.union(docs.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _whole(met: DataFrame, documents: DataFrame, words: int) -> DataFrame:
-    """sid, n, key and values (the whole set) of the rows of blocks; texts are read again only where an id names one."""
+def _whole(wanted: DataFrame, documents: DataFrame, words: int) -> DataFrame:
+    """sid, n and values (the whole set) of rows (sid, least, n); texts are read again only where an id names one."""
 
-    def give(found, part):
-        values = pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(_sid(found)), values], names=["sid", "values"])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams(words)
+        for batch in batches:
+            found = list(grams.of(batch.column(0)))
+            for s in range(0, len(found), 256):
+                part = found[s : s + 256]
+                yield pa.RecordBatch.from_arrays([pa.array(_sid(part)), pa.array([h.view(np.int64) for h in part], pa.list_(pa.int64()))], names=["sid", "values"])
 
-    ids = met.filter("least is not null").select(F.col("least").alias("doc_id")).distinct()
+    ids = wanted.filter("least is not null").select(F.col("least").alias("doc_id")).distinct()
     texts = among(documents, ids, "doc_id").union(documents.filter("doc_id is null"))
-    made = _sets(texts, words, give, "sid long, values array<long>").dropDuplicates(["sid"])
-    return compact(met.select("sid", "n", "key").join(made, "sid"))
+    made = texts.select("text").mapInArrow(work, "sid long, values array<long>").dropDuplicates(["sid"])
+    return compact(wanted.select("sid", "n").join(made, "sid"))

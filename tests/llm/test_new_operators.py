@@ -107,6 +107,18 @@ def test_product_connects_what_links_connect(sets, percent, sided, rooted):
     assert parts(found) == parts([(i, j) for i in range(len(sets)) for j in range(i) if links(i, j)])
 
 
+def test_grams_are_those_of_the_words():
+    import pyarrow as pa
+
+    texts = [None, "", " ", "a b c", "A B c d", "a b c d e", "x" * 70 + " b\tc\u00a0d e " + "y" * 70, "\u00e9 \U0001f600 a b c d", "a b c d a b c d", " ".join(f"w{k}" for k in range(90_000)), "z" * 600_000 + " a b c"]
+    found = list(overlap.Grams(4).of(pa.array(["junk", *texts]).slice(1)))
+    assert [len(h) for h in found] == [len(shingle_set(t)) for t in texts]
+    for t, h in zip(texts, found, strict=True):
+        assert (next(overlap.Grams(4).of(pa.array([t]))) == h).all() and (h[1:] > h[:-1]).all()
+    both = set(found[4].tolist()) & set(found[5].tolist()) & set(found[8].tolist())
+    assert len(both) == 1 and not set(found[3].tolist()) & both
+
+
 def test_chains_go_over_batches_and_sizes():
     import pyarrow as pa
 
