@@ -38,12 +38,12 @@ def timed(records: DataFrame) -> DataFrame:
 
 
 def later_by_others(records: DataFrame, limit: int = LOOK_AHEAD) -> DataFrame:
-    """For each proposal or question: the next statements by other people (doc_id, statement_id, place, later_id, later_who, later_span)."""
+    """For each proposal or question: the next statements by other people (doc_id, statement_id, place, later_id, later_who, later_span, later_actor, later_position, later_stated_on)."""
     t = timed(records)
     pairs = look_ahead(t, ["doc_id"], "seq", "who", F.col("act").isin(*LINKABLE), limit)
     left = t.select("doc_id", "seq", F.col("id").alias("statement_id"))
-    right = t.select("doc_id", F.col("seq").alias("later_seq"), F.col("id").alias("later_id"), F.col("who").alias("later_who"), F.col("span").alias("later_span"), F.col("actor").alias("later_actor"))
-    return pairs.join(left, ["doc_id", "seq"]).join(right, ["doc_id", "later_seq"]).select("doc_id", "statement_id", "place", "later_id", "later_who", "later_span", "later_actor")
+    right = t.select("doc_id", F.col("seq").alias("later_seq"), F.col("id").alias("later_id"), F.col("who").alias("later_who"), F.col("span").alias("later_span"), F.col("actor").alias("later_actor"), F.col("position").alias("later_position"), F.col("stated_on").alias("later_stated_on"))
+    return pairs.join(left, ["doc_id", "seq"]).join(right, ["doc_id", "later_seq"]).select("doc_id", "statement_id", "place", "later_id", "later_who", "later_span", "later_actor", "later_position", "later_stated_on")
 
 
 def linked(records: DataFrame, replies: DataFrame, limit: int = LOOK_AHEAD) -> tuple[DataFrame, DataFrame]:

@@ -43,6 +43,10 @@ _COLLAPSED = rf"trim(regexp_replace(text, '{_WS}', ' ', 'g'))"
 _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1)::INTEGER AS line_no FROM documents"
 
 
+#: What the mails of the thread query have as their mark of outside mail.
+BANNER = "Sent from outside"
+
+
 @query(f"SELECT doc_id, line_no, text FROM ({_LINES}) WHERE {_COLLAPSED} <> ''")
 def q01_line_scan(spark, d):
     return lines_of(_t(spark, d, "documents")).filter(X.collapse(F.col("text")) != "")
@@ -494,9 +498,9 @@ def q43_thread_units(spark, d):
     end = F.when(first, F.concat(F.lit("Messages in thread: "), n.cast("string"))).otherwise("Betreff: AW: Order")
     mail = F.concat(
         F.when(first, "Subject: Order\n").otherwise(""), F.lit("From: Customer "), F.col("o_custkey").cast("string"), F.lit(" <c@example.com>\nDate: Monday, "), month, F.lit(" "),
-        F.dayofmonth("o_orderdate").cast("string"), F.lit(", "), F.year("o_orderdate").cast("string"), F.lit(" 10:00 AM\nTo: Sales\n"), end, F.lit("\n\n"), F.lit(units.BANNER + ".\nOne order.\n\nThanks"),
+        F.dayofmonth("o_orderdate").cast("string"), F.lit(", "), F.year("o_orderdate").cast("string"), F.lit(" 10:00 AM\nTo: Sales\n"), end, F.lit("\n\n"), F.lit(BANNER + ".\nOne order.\n\nThanks"),
     )
-    parsed = units.parse(_as_lines(o.select("o_custkey", F.col("o_orderkey").alias("seq"), mail.alias("text")), "o_custkey", "email"))
+    parsed = units.parse(_as_lines(o.select("o_custkey", F.col("o_orderkey").alias("seq"), mail.alias("text")), "o_custkey", "email"), BANNER)
     return parsed.units.select("doc_id", "unit_no", "name", F.col("sent").cast("string").alias("sent"), F.size("lines").alias("n_lines"), F.col("lines")[0]["position"].alias("position"))
 
 

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
 from collections.abc import Iterable
 from pathlib import Path
 
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators.sequences import Names
+from ledgerline.sources.models import filesystem, get
 
 
 def json_file(path: str | Path, blocks: Iterable[dict]) -> None:
@@ -52,33 +53,32 @@ def swapped_parquet(df: DataFrame, path: str) -> None:
     fs.delete(old, True)
 
 
-def per_document(blocks: DataFrame, folder: str | Path, order: Names = ("block_no",)) -> list[str]:
-    """One JSON file a document, as soon as it is there; the paths in order."""
-    paths = []
-    for block in as_dicts(blocks, order):
-        path = Path(folder) / f"{block['id']}.json"
-        json_file(path, [block])
-        paths.append(str(path))
-    return paths
-
-
-def merged(paths: Iterable[str]) -> list[dict]:
-    """Blocks of per-document files, in the order given."""
-    return [block for p in paths for block in json.loads(Path(p).read_text(encoding="utf-8"))["documents"]]
-
-
-def commit(paths: list[str], target: str | Path, scratch: str | Path) -> tuple[int, list[str]]:
-    """(exit code, documents without statements) of merging scratch files into the target.
+def commit(paths: Iterable[str], target: str | Path, scratch: str | Path) -> tuple[int, list[str]]:
+    """(exit code, documents without statements) of putting scratch files together, in the order given, into the target.
 
     No statement at all: nothing is written, the old file stays, code 1, scratch stays.  Else the file is
-    written and scratch removed; code 1 if some document had no statements, 0 otherwise.
+    written and scratch removed; code 1 if some document had no statements, 0 otherwise.  One file is held at a time.
     """
-    blocks = merged(paths)
-    empty = [b["id"] for b in blocks if not b["statements"]]
-    if not sum(len(b["statements"]) for b in blocks):
+    files, root = filesystem(str(target))
+    beside, empty, some = f"{root}.part", [], 0
+    files.create_dir(root.rpartition("/")[0] or ".", recursive=True)
+    with files.open_output_stream(beside) as out:
+        out.write(b'{\n  "documents": [')
+        for k, path in enumerate(paths):
+            own, place = filesystem(path)
+            for block in json.loads(get(own, place) or '{"documents": []}')["documents"]:
+                some += len(block["statements"])
+                empty += [] if block["statements"] else [block["id"]]
+                text = json.dumps(block, ensure_ascii=False, indent=2).replace("\n", "\n    ")
+                out.write(f"{',' if k else ''}\n    {text}".encode())
+        out.write(b"\n  ]\n}\n")
+    if not some:
+        files.delete_file(beside)
         return 1, empty
-    json_file(target, blocks)
-    shutil.rmtree(scratch, ignore_errors=True)
+    files.move(beside, root)
+    rest, folder = filesystem(str(scratch))
+    if rest.get_file_info(folder).type == FileType.Directory:
+        rest.delete_dir(folder)
     return int(bool(empty)), empty
 
 
