@@ -29,8 +29,8 @@ DRAW = 4
 
 #: What is looked for, in order of precedence.  Fixed formats, stated as patterns.
 PATTERNS = {
-    "secret": r"""(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password|passwd|pwd|secret|token|api[_-]?key) {0,2}[=:] {0,2}"?(?=[A-Za-z0-9+/_\-.~=]{8})[A-Za-z0-9+/_\-~=]++(?:\.[A-Za-z0-9+/_\-~=]++)*+"?)""",
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
+    "secret": r"""(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password|passwd|pwd|secret|token|api[_-]?key) {0,2}[=:] {0,2}["'`]?(?=[A-Za-z0-9+/_\-.~=]{8})[A-Za-z0-9+/_\-~=]++(?:\.[A-Za-z0-9+/_\-~=]++)*+["'`]?)""",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)",
     "date": r"(?<![\w/.\-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\w|[/\-]\d|\.\d)",
     "ssn": r"(?<![\w\-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w]|-\d)",
@@ -40,7 +40,7 @@ PATTERNS = {
 #: doesn't go on with a group that begins a value of another kind.  Possessive, so its length isn't bounded.
 _OTHER = "|".join(f"(?:{p})" for p in PATTERNS.values())
 PATTERNS = {k: PATTERNS[k] for k in ("secret", "email", "ip", "date", "ssn")} | {
-    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2}})[A-Z0-9]++(?![A-Za-z0-9])(?:[ \-](?!{_OTHER})[A-Z0-9]++(?![A-Za-z0-9]))*+",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}}(?:[ \-]?[A-Z0-9]{{4}}){{2}})[A-Z0-9]++(?![A-Za-z0-9])(?:[ \-](?!{_OTHER})[A-Z0-9]++(?![A-Za-z0-9]))*+",
     "phone": PATTERNS["phone"],
     "card": rf"(?<![\w+\-])(?=\d(?:[ \-]?\d){{12}})\d++(?!\w)(?:[ \-](?!{_OTHER})\d++(?!\w))*+",
 }
@@ -153,16 +153,20 @@ def _iban(value: Column, key: str) -> Column:
         whole = let(body, lambda b: F.concat(land, F.lpad((F.lit(98) - _mod97(F.concat(land, F.lit("00"), b))).cast("string"), 2, "0"), b))
 
         def put(s: Column, c: Column) -> Column:
-            space = c == " "
+            space = c.isin(" ", "-")
             return F.struct(
-                F.concat(s["done"], F.when(space, " ").otherwise(F.substring(s["rest"], 1, 1))).alias("done"),
+                F.concat(s["done"], F.when(space, c).otherwise(F.substring(s["rest"], 1, 1))).alias("done"),
                 F.when(space, s["rest"]).otherwise(F.substring(s["rest"], F.lit(2), F.length(s["rest"]))).alias("rest"),
             )
 
         spaced = F.aggregate(_letters(value), F.struct(F.lit("").alias("done"), whole.alias("rest")), put, lambda s: s["done"])
         return F.when(F.length(plain).between(15, 34) & (_mod97(plain) == 1), spaced).otherwise(value)
 
-    return let(F.replace(value, F.lit(" "), F.lit("")), new)
+    return let(_joined(value), new)
+
+
+def _joined(run: Column) -> Column:
+    return F.regexp_replace(run, "[ \\-]", "")
 
 
 def _luhn_ok(digits: Column) -> Column:
@@ -182,9 +186,9 @@ def _values(tokens: Column) -> Column:
 
     def rank(i: Column, m: Column) -> Column:
         text = F.array_join(F.slice(tokens, i, m), "")
-        card, iban = F.regexp_replace(text, "[ \\-]", ""), F.replace(text, F.lit(" "), F.lit(""))
+        card = _joined(text)
         of_card = F.when(card.rlike("^[0-9]{13,19}$"), F.when(_luhn_ok(card), F.when(F.length(card) == 16, 1).otherwise(2)))
-        return F.coalesce(F.when(_iban_ok(iban), F.lit(0)), of_card)
+        return F.coalesce(F.when(_iban_ok(card), F.lit(0)), of_card)
 
     def windows(i: Column) -> Column:
         ends = F.sequence(F.lit(1), F.least(F.lit(2 * GROUPS - 1), F.size(tokens) - i + 1), F.lit(2))
@@ -214,7 +218,7 @@ def _parts(run: Column) -> Column:
         return let(_values(tokens), lambda v: F.when(F.size(v) == 0, F.array(run)).otherwise(F.aggregate(v, start, put, rest)))
 
     groups = run.rlike(r"^(?:\d++|[A-Z]{2}\d{2}[A-Z0-9]*+)(?:[ \-][A-Z0-9]++)++$") & ~run.rlike(f"^(?:{_OTHER})$")
-    valid = _luhn_ok(F.regexp_replace(run, "[ \\-]", "")) & run.rlike("^[0-9 \\-]+$") | _iban_ok(F.replace(run, F.lit(" "), F.lit("")))
+    valid = _luhn_ok(_joined(run)) & run.rlike("^[0-9 \\-]+$") | _iban_ok(_joined(run))
     return F.when(groups, F.when(valid, F.array(run)).otherwise(let(F.split(run, "(?<=[ \\-])|(?=[ \\-])"), cut))).otherwise(F.array(run))
 
 
@@ -278,7 +282,7 @@ def _email(value: Column, key: str) -> Column:
 
 def _secret(value: Column, key: str) -> Column:
     """The value after the word that announces it."""
-    lead = F.regexp_extract(value, r"""^(AKIA|[A-Za-z_\-]+ {0,2}[=:] {0,2}"?)""", 1)
+    lead = F.regexp_extract(value, r"""^(AKIA|[A-Za-z_\-]+ {0,2}[=:] {0,2}["'`]?)""", 1)
     return let(lead, lambda x: F.concat(x, permuted(F.substring(value, F.length(x) + 1, F.length(value)), "secret", key)))
 
 

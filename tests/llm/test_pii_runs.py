@@ -42,3 +42,15 @@ def test_secrets_are_replaced_whole(spark, value):
     assert row["n_values"] == 1 and row["text"].startswith("token=") and row["text"].endswith(". Next")
     new = row["text"][len("token=") : -len(". Next")]
     assert len(new) == len(value) and all(a[-30:] != b[-30:] for a, b in zip(value.split("."), new.split("."), strict=True) if len(a) > 7)
+
+
+GONE = [
+    ("ann.lee@a.b.c.d.e.f.g.h.i.j.k.secretcorp.com", ["secretcorp", "ann.lee"]), ("x" * 80 + "@mail.example.com", ["x" * 20, "example"]), ("password: 'hunter2hunter2'", ["hunter2"]),
+    ("token=`abcdefgh1234`", ["abcdefgh1234"]), ("GB82-WEST-1234-5698-7654-32", ["1234-5698", "WEST"]), ("pay DE89 3704-0044 0532-0130 00 now", ["3704", "0130"]),
+]
+
+
+def test_values_that_were_missed(spark):
+    for (text, words), row in zip(GONE, pii.pseudonymise(docs(spark, [t for t, _ in GONE])).orderBy("doc_id").collect(), strict=True):
+        assert row["n_values"] == 1 and not any(w in row["text"] for w in words), row
+        assert len(row["text"]) == len(text) and [c for c in row["text"] if not c.isalnum()] == [c for c in text if not c.isalnum()]
