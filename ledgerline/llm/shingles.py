@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm.common import among, compact, counted, own_columns, release
+from ledgerline.llm.overlap import product
 from ledgerline.llm.simhash import SEED, SPLIT, by_bucket, components, kept_rows, near_pairs, numbered
 
 #: Words of a shingle and least similarity of a link.
@@ -156,32 +157,23 @@ def _close(rows: DataFrame, similarity: float, split: int) -> DataFrame:
 def _linked(rows: DataFrame, similarity: float) -> DataFrame:
     """(a, b): links that connect all sets of a bucket of rows (sid, n, root, w0, w1, key, values) that links connect.
 
-    Close pairs are checked on the sets where they are compared; those that links connect already aren't.
+    The sets of a bucket are multiplied as in ``overlap``: only sets that share one of their rarest shingles and fit in
+    size are looked at, and none that is connected already.
     """
+    percent = round(100 * similarity)
 
     def compare(table: pa.Table) -> pa.RecordBatch:
-        some, i, j, label = _pairs(table, similarity, False)
-        sid, lists = table.column("sid").to_numpy()[some], table.column("values").combine_chunks()
-        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        starts, ends = offsets[some].tolist(), offsets[some + 1].tolist()
-        above, found = label.tolist(), []
-
-        def top(k: int) -> int:
-            while above[k] != k:
-                above[k] = above[above[k]]
-                k = above[k]
-            return k
-
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            x, y = top(a), top(b)
-            if x == y:
-                continue
-            shared = len(np.intersect1d(flat[starts[a] : ends[a]], flat[starts[b] : ends[b]], assume_unique=True))
-            if shared >= similarity * (ends[a] - starts[a] + ends[b] - starts[b] - shared) - SLACK:
-                found.append((a, b))
-                above[max(x, y)] = min(x, y)
-        ends_of = np.array(found, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(sid[ends_of[:, 0]]), pa.array(sid[ends_of[:, 1]])], names=["a", "b"])
+        some, bucket, side = numbered(table)
+        sid, root, lists = table.column("sid").to_numpy()[some], table.column("root").to_numpy()[some], table.column("values").combine_chunks()
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() if len(bucket) else []
+        a, b = [], []
+        for s, e in zip(edges, [*edges[1:], len(bucket)], strict=True):
+            sets = [flat[offsets[k] : offsets[k + 1]] for k in some[s:e].tolist()]
+            for i, j in product(sets, percent, side[s:e] if side[s:e].any() else None, root[s:e]):
+                a.append(sid[s + i])
+                b.append(sid[s + j])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return by_bucket(rows, "sid", compare, "a long, b long", SETS, F.col("n") + HEAD)
 
