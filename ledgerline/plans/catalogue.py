@@ -212,10 +212,25 @@ FROM documents
 """)
 def q16_redact_email_phone(spark, d):
     """A word taken out of every text by the deletion's own places and replacement; phone-like numbers noted."""
-    docs = _t(spark, d, "documents").select("doc_id", "text")
-    hits = deletion.places(F.col("text"), F.col("text"), [(r"\bexample\b", False)])
-    out = docs.withColumn("hits", hits)
-    return out.select("doc_id", F.md5(deletion.replaced(F.col("text"), F.col("hits"), "[X]").cast("binary")).alias("text"), F.size("hits").cast("long").alias("mails"), F.col("text").rlike(X.PHONE).alias("phone_like"))
+    return _redacted(spark, d, [(r"\bexample\b", False)], "[X]", False)
+
+
+def _redacted(spark, d, forms, placeholder, folds):
+    docs = _t(spark, d, "documents").select("doc_id", "text").withColumn("e", deletion.rewriter(forms, placeholder, folds)(F.array("text")))
+    new, n = F.coalesce(F.try_element_at("e", F.lit(1))["text"], "text"), F.coalesce(F.try_element_at("e", F.lit(1))["n"], F.lit(0).cast("long"))
+    return docs.select("doc_id", F.md5(new.cast("binary")).alias("text"), n.alias("mails"), F.col("text").rlike(X.PHONE).alias("phone_like"))
+
+
+_OVERLAPS = r"mail[0-9]\.example|example\.com|\bT[Hh][Oo][Uu]\b"
+
+
+@query(rf"""
+SELECT doc_id, md5(regexp_replace(text, '{_OVERLAPS}', '[X]', 'g')) AS text, len(regexp_extract_all(text, '{_OVERLAPS}'))::BIGINT AS mails, regexp_matches(text, '\+?[0-9][0-9 ]{{8,}}[0-9]') AS phone_like
+FROM documents
+""")
+def q45_redact_overlaps(spark, d):
+    """Three forms on folded texts, two of which overlap and one of which must begin with a capital."""
+    return _redacted(spark, d, [(r"mail[0-9]\.example", False), (r"example\.com", False), (r"\bthou\b", True)], "[X]", True)
 
 
 @query("""

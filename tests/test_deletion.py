@@ -1,6 +1,10 @@
 import json
+import re
+import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from ledgerline.operators import deletion as D
 from ledgerline.schemas import STATEMENTS_FILE
@@ -89,3 +93,29 @@ def test_precedence_and_texts_beyond_the_first_plane(spark):
     assert [r["people"][0] for r in got] == ["😀 # 😀 #", "#, #", "x" * 5000 + " #" * 200, None, ""]
     assert [r["statements"][0]["claim"] for r in got] == [r["people"][0] for r in got] and all(r["summary"] == "#" for r in got)
     assert [(r["n_replaced"], r["n_changed"]) for r in got][0] == (5, 1) and [(r["n_replaced"], r["n_changed"]) for r in got][3] == (1, 0)
+
+
+def spots_by_force(plain, folded, wanted):
+    """Every hit against every kept one."""
+    kept = []
+    for pattern, capital in wanted:
+        for hit in pattern.finditer(folded):
+            if (not capital or plain[hit.start()].isupper()) and not any(a < hit.end() and hit.start() < b for a, b in kept):
+                kept.append(hit.span())
+    return sorted(kept)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abAB ,.", max_size=60))
+def test_spots_equal_brute_force(text):
+    wanted = [(re.compile(p), c) for p, c in ((r"\bab\b", False), (r"b,\s*a", False), (r"a[. ]b", True), (r"a", True))]
+    assert D.spots(text, text.lower(), wanted) == spots_by_force(text, text.lower(), wanted)
+
+
+def test_many_hits_in_one_text(spark):
+    text = "Ada Berg and Berg, Ada; " * 50_000
+    block = {"id": "d", "type": "email", "date": "2025-01-02", "people": [], "summary": text, "statements": []}
+    began = time.perf_counter()
+    got = D.redacted(frame(spark, [block]), D.forms(D.Person("ada berg", "Ada Berg", [], 1)), "#").first()
+    assert got["summary"] == "# and #; " * 50_000 and got["n_replaced"] == 100_000
+    assert time.perf_counter() - began < 10
