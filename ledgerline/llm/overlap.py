@@ -39,11 +39,11 @@ WORDS, PERCENT = 4, 85
 #: Entries of a block (HEAD more a row) that one task multiplies as a whole; hubs of a larger block.
 SETS, HEAD, HUBS = 1 << 20, 64, 4
 #: Share of columns that the first peeling looks at.
-SAMPLED = 0.3
+SAMPLED = 0.25
 #: Cells of column loads: the least and the most, as powers of two.
 CELLS = (16, 20)
 #: Bytes of texts whose words a task hashes at a time; entries that it combines at a time; rows that it remembers.
-AT_ONCE, ENTRIES, REMEMBERED = 1 << 18, 1 << 19, 1 << 20
+AT_ONCE, ENTRIES, REMEMBERED = 1 << 18, 1 << 18, 1 << 20
 #: Ranges of columns between which pairs are dropped.
 RANGES = 4
 #: Stands for the larger size where a row is a link of a chain.
