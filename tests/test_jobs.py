@@ -34,7 +34,7 @@ def test_archive(spark, folder):
 
 def test_extract_ask_delete(spark, folder):
     out = folder / "statements.json"
-    assert jobs.extract(spark, str(folder / "in"), str(out), model) == 1  # one document gave nothing
+    assert jobs.extract(spark, str(folder / "in"), str(out), model, at_a_time=5) == 1  # one document gave nothing
     data = json.loads(out.read_text(encoding="utf-8"))["documents"]
     assert [(d["id"], len(d["statements"])) for d in data] == [("transcripts/a b", 1), ("transcripts/c", 0), ("emails/x", 1)]
     assert data[0]["statements"][0] == {"claim": "About transcripts/a b", "speech_act": "proposal", "actor": {"name": "Ada Berg", "organization": "Example Co"}, "statement_date": "2025-03-04"}
@@ -55,7 +55,7 @@ def test_extract_ask_delete(spark, folder):
 def test_nothing_extracted_writes_nothing(spark, folder):
     out = folder / "statements.json"
     out.write_text("old")
-    assert jobs.extract(spark, str(folder / "in"), str(out), lambda *_: []) == 1
+    assert jobs.extract(spark, str(folder / "in"), str(out), lambda *_: [], at_a_time=5) == 1
     assert out.read_text() == "old" and (folder / "documents").exists()
     assert jobs.extract(spark, str(folder / "in"), str(out), model, only=["nothing"]) == 2
 

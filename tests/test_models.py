@@ -127,7 +127,7 @@ def test_links(spark, serve):
 
 def test_extract_through_an_endpoint(spark, folder, serve):  # noqa: F811
     server, out = serve(extraction), folder / "statements.json"
-    assert jobs.extract(spark, str(folder / "in"), str(out), server.endpoint(native=True), server.endpoint(native=True)) == 1
+    assert jobs.extract(spark, str(folder / "in"), str(out), server.endpoint(native=True), server.endpoint(native=True), at_a_time=5) == 1
     data = json.loads(out.read_text(encoding="utf-8"))["documents"]
     assert [(d["id"], len(d["statements"])) for d in data] == [("transcripts/a b", 1), ("transcripts/c", 0), ("emails/x", 1)]
     assert out.read_text(encoding="utf-8") == json.dumps({"documents": data}, ensure_ascii=False, indent=2) + "\n"

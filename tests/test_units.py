@@ -59,7 +59,7 @@ Shall we move it?
 
 def parsed(spark, *docs):
     df = spark.createDataFrame(list(docs), "doc_id string, doc_type string, text string")
-    return units.parse(lines_of(df, "doc_id", "text", "doc_type"))
+    return units.parse(lines_of(df, "doc_id", "text", "doc_type"), "This email originated from outside")
 
 
 def rows(df):
