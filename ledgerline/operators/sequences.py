@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Names = Sequence[str]
 
@@ -48,15 +49,6 @@ def look_ahead(df: DataFrame, by: Names, order: str, who: str, only: Column, lim
     return found.select(*by, order, F.posexplode("_others").alias("_p", f"later_{order}")).select(*by, order, f"later_{order}", (F.col("_p") + 1).alias("place"))
 
 
-def look_ahead_joined(df: DataFrame, by: Names, order: str, who: str, only: Column, limit: int) -> DataFrame:
-    """The same by an equi-join on the group and a ranking; for groups too long for one array."""
-    left = df.filter(only).select(*by, F.col(order), F.col(who).alias("_w"))
-    right = df.select(*by, F.col(order).alias(f"later_{order}"), F.col(who).alias("_v"))
-    near = left.join(right, list(by)).filter((F.col(f"later_{order}") > F.col(order)) & ~F.col("_w").eqNullSafe(F.col("_v")))
-    w = Window.partitionBy(*by, order).orderBy(f"later_{order}")
-    return near.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit).select(*by, order, f"later_{order}", "place")
-
-
 def first_of(df: DataFrame, key: Names, order: Names) -> DataFrame:
     """The first row of each key."""
     w = Window.partitionBy(*key).orderBy(*order)
@@ -92,10 +84,56 @@ def numbered_ids(df: DataFrame, key: str, order: Names, name: str = "id") -> Dat
     return df.withColumn(name, F.concat_ws("#", F.col(key).cast("string"), F.row_number().over(w).cast("string")))
 
 
-def batches(df: DataFrame, by: Names, order: Names, size: int, name: str = "batch") -> DataFrame:
-    """Number batches of at most ``size`` rows within each group, from 0."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(name, F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+def _bounds(df: DataFrame, order: Names, pieces: int, seed: int) -> Column:
+    """At most ``pieces`` - 1 values of the order columns that cut the rows into pieces of about the same size, as an array.
+
+    They are taken from a sample of about 32 rows a piece, whatever the table's size, and are constants from then on:
+    where they lie decides the pieces' sizes, never a result.
+    """
+    rows = df.count()
+    key = F.struct(*[F.col(c) for c in order])
+    some = df.select(key.alias("k")).sample(min(1.0, 32 * pieces / max(rows, 1)), seed).agg(F.sort_array(F.collect_list("k")).alias("k"))
+    step = F.greatest(F.ceil(F.size("k") / pieces), F.lit(1)).cast("int")
+    cuts = F.array_distinct(F.filter("k", lambda _, i: (i % step == 0) & (i > 0)))
+    kinds = [df.schema[c].dataType for c in order]
+    found = [F.struct(*[F.lit(v).cast(t).alias(c) for c, v, t in zip(order, row, kinds, strict=True)]) for row in some.select(cuts).first()[0]]
+    return F.array(*found) if found else F.array().cast(T.ArrayType(T.StructType([T.StructField(c, t) for c, t in zip(order, kinds, strict=True)])))
+
+
+def rows_numbered(df: DataFrame, by: Names, order: Names, name: str, pieces: int | None = None, seed: int = 7) -> DataFrame:
+    """Number the rows of each group from 1, for groups too large for one task.
+
+    Rows are cut into ranges of the order columns (``pieces`` of them; without a number four times the shuffle partitions,
+    1,024 at most); they are numbered within group and range, and each range begins where the counts of those before
+    it end.  Only the counts, one a group and range, meet in one place a group.  Nulls come first in the order and form a
+    group of their own.  The order must tell all rows of a group apart (equal rows would get any of their numbers),
+    and rows that share all order columns share a range.
+    """
+    pieces = pieces or min(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1024)
+    cuts, key = _bounds(df, order, pieces, seed), F.struct(*[F.col(c) for c in order])
+    steps = F.array(*[F.lit(2**k) for k in reversed(range(pieces.bit_length()))])
+    piece = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= key, at + step).otherwise(at))
+    cut = df.withColumn("_piece", piece)
+    counts = cut.groupBy(*by, "_piece").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col("_piece").alias("_its"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    within = cut.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_piece").orderBy(*order)))
+    same = [within[c].eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)]
+    out = within.join(starts, [*same, within["_piece"] == F.col("_its")])
+    return out.select(*[within[c] for c in df.columns], (F.col("_start") + F.col("_n")).alias(name))
+
+
+def batches(df: DataFrame, by: Names, order: Names, size: int, name: str = "batch", hot: bool = False) -> DataFrame:
+    """Number batches of at most ``size`` rows within each group, from 0.
+
+    ``hot``: groups may be too large for one task and are numbered in pieces (``rows_numbered``), which takes a count
+    and a sample of the table first.
+    """
+    if hot:
+        numbered = rows_numbered(df, by, order, "_place")
+    else:
+        numbered = df.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return numbered.withColumn(name, F.floor((F.col("_place") - 1) / size).cast("int")).drop("_place")
 
 
 def cut_at(df: DataFrame, by: Names, order: str, ends: Column) -> DataFrame:

@@ -437,7 +437,7 @@ def q36_signature_cut(spark, d):
 WITH b AS (SELECT role, ((row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1) // 40)::INTEGER AS batch, turn FROM conversations) SELECT role, batch, count(*) AS n, sum(turn)::BIGINT AS turns FROM b GROUP BY ALL
 """)
 def q37_batches40(spark, d):
-    b = sequences.batches(_t(spark, d, "conversations"), ["role"], ["conv_id", "turn"], 40)
+    b = sequences.batches(_t(spark, d, "conversations"), ["role"], ["conv_id", "turn"], 40, hot=True)
     return b.groupBy("role", "batch").agg(F.count(F.lit(1)).alias("n"), F.sum("turn").alias("turns"))
 
 

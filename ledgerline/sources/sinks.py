@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import tempfile
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -95,3 +97,17 @@ def vocabulary(path: str | Path, topics: Iterable[str] | None = None) -> set[str
         file.write_text(json.dumps(sorted(set(topics)), indent=2, ensure_ascii=False), encoding="utf-8")
         return set(topics)
     return set(json.loads(file.read_text(encoding="utf-8"))) if file.exists() else set()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows from a checkpoint, so that what follows neither plans nor computes them again and outlives lost executors.
+
+    The folder is the session's ``spark.checkpoint.dir``; only a local session without one gets a folder of its own.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()

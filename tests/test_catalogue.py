@@ -1,6 +1,6 @@
 import pytest
 
-from ledgerline.plans import catalogue
+from ledgerline.plans import archive, catalogue  # noqa: F401
 from tests.oracle import same
 
 SLOW = {"q19_evidence_topk"}

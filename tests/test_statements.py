@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from ledgerline.operators import answers, links, spans, statements, units
+from ledgerline.operators import answers, links, sequences, spans, statements, units
 from ledgerline.schemas import CANDIDATES, REPLIES
 from tests.test_units import TALK, parsed
 
@@ -115,6 +117,15 @@ def test_replies_from_a_model(spark):
     assert {(r["outcome"], r["n"]) for r in links.outcome_counts(outcomes).collect()} == {("accepted", 1)} and outcomes.count() == 2
 
 
+def look_ahead_joined(df, by, order, who, only, limit):
+    """The look-ahead by a join and a ranking, to compare with."""
+    left = df.filter(only).select(*by, F.col(order), F.col(who).alias("_w"))
+    right = df.select(*by, F.col(order).alias(f"later_{order}"), F.col(who).alias("_v"))
+    near = left.join(right, list(by)).filter((F.col(f"later_{order}") > F.col(order)) & ~F.col("_w").eqNullSafe(F.col("_v")))
+    w = Window.partitionBy(*by, order).orderBy(f"later_{order}")
+    return near.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit).select(*by, order, f"later_{order}", "place")
+
+
 def test_joined_look_ahead_is_the_same(spark):
     from pyspark.sql import functions as F
 
@@ -122,7 +133,7 @@ def test_joined_look_ahead_is_the_same(spark):
 
     t = links.timed(linkable(spark))
     args = (["doc_id"], "seq", "who", F.col("act") == "proposal", 8)
-    a, b = (f(t, *args) for f in (sequences.look_ahead, sequences.look_ahead_joined))
+    a, b = (f(t, *args) for f in (sequences.look_ahead, look_ahead_joined))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
@@ -149,3 +160,18 @@ def test_citations_keep_gaps(spark):
         from pyspark.sql import functions as F
 
         statements.checked_acts(flat.withColumn("speech_act", F.lit("shout"))).collect()
+
+
+def test_rows_numbered_in_pieces(spark):
+    rows = [(g, o, x) for x, (g, o) in enumerate([("hot", k * 7 % 300) for k in range(300)] + [(None, 3), (None, None), ("one", 5), ("hot", None)])]
+    t = spark.createDataFrame(rows, "g string, o int, x int")
+    want = []
+    for g in {r[0] for r in rows}:
+        of = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0))
+        want += [(*r, k) for k, r in enumerate(of, 1)]
+    for pieces in (1, 5, 64):
+        got = sequences.rows_numbered(t, ["g"], ["o"], "n", pieces).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    hot = sequences.batches(t.filter("g = 'hot'"), ["g"], ["o"], 40, hot=True).groupBy("batch").count().collect()
+    assert {r["batch"]: r["count"] for r in hot} == {**{b: 40 for b in range(7)}, 7: 21}
+    assert sequences.rows_numbered(t.limit(0), ["g"], ["o"], "n", 5).collect() == []
