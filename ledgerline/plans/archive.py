@@ -200,7 +200,7 @@ def q50_mail_segments(spark, d):
 @query(
     _MESSAGES
     + """
-, talks AS (SELECT conv_id::VARCHAR AS doc_id, 'transcript' AS doc_type, '2025-03-04' AS doc_date, 'Planning' AS title, NULL::INTEGER AS declared, count(*) FILTER (WHERE trim(text) <> '') AS parsed, 'Ada Berg; Per Holm' AS participants FROM conversations GROUP BY conv_id),
+, talks AS (SELECT conv_id::VARCHAR AS doc_id, 'transcript' AS doc_type, '2025-03-04' AS doc_date, 'Planning' AS title, NULL::INTEGER AS declared, count(*) FILTER (WHERE trim(text) <> '') AS parsed, 'Ada Berg (Example Co; joins late); Per Holm' AS participants FROM conversations GROUP BY conv_id),
 mails AS (SELECT 'thread ' || o_custkey AS doc_id, 'email_thread' AS doc_type, arg_min(o_orderdate, i)::DATE::VARCHAR AS doc_date, 'Order ' || min(o_orderkey) AS title, max(n)::INTEGER AS declared, count(*) AS parsed,
     array_to_string(list_sort(list_distinct(['Archive', 'Sales', any_value(author), any_value(other)])), '; ') AS participants FROM p GROUP BY o_custkey)
 SELECT * FROM talks UNION ALL SELECT * FROM mails
