@@ -6,6 +6,10 @@ it is, between places that aren't inside a word or a number.  "3" isn't in "3.4"
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ from ledgerline.functions.text import collapse, nfc, nfc_each, tokens
 EDGE = r"(?!(?<=\w)(?:\w|[.,]\w))(?!(?<=\w[.,])\w)"
 #: Words of a key by which texts meet what they may contain.
 KEY_WORDS = 3
+#: Characters of all different items up to which they go to every task as one automaton.
+AUTOMATON_CHARS = 1 << 20
 
 
 def before(text: Column, wanted: Column) -> Column:
@@ -35,15 +41,18 @@ def _line_of(word: Column, sizes: Column) -> Column:
     return F.aggregate(sizes, start, step, lambda s: s["line"])
 
 
-def find_spans(pairs: DataFrame, lines: str = "lines", span: str = "span", name: str = "match") -> DataFrame:
+def find_spans(pairs: DataFrame, lines: str = "lines", span: str = "span", name: str = "match", found: Column | None = None) -> DataFrame:
     """Add ``match``: struct of first_line, last_line, position and text of the span in the row's lines, or null.
 
     ``lines`` is an array of (no, text, position).  The first occurrence counts; text is the source's own, white
-    space apart.  Null or empty spans and lines give null.
+    space apart.  Null or empty spans and lines give null.  ``found``: what stands before the span in the collapsed
+    text, where a search has told it already; then nothing is searched again.
     """
-    rows = pairs.withColumns({"_texts": nfc_each(F.transform(F.col(lines), lambda x: x["text"])), "_wanted": collapse(nfc(span))})
+    wanted, texts = collapse(F.col(span)), F.transform(F.col(lines), lambda x: x["text"])
+    rows = pairs.withColumns({"_texts": texts, "_wanted": wanted} if found is not None else {"_texts": nfc_each(texts), "_wanted": collapse(nfc(span))})
     words = F.transform("_texts", lambda t: F.filter(F.split(collapse(F.coalesce(t, F.lit(""))), " "), lambda w: w != ""))
-    rows = rows.withColumn("_words", words).withColumn("_before", before(F.array_join(F.flatten("_words"), " "), F.col("_wanted")))
+    rows = rows.withColumn("_words", words)
+    rows = rows.withColumn("_before", before(F.array_join(F.flatten("_words"), " "), F.col("_wanted")) if found is None else found)
     sizes = F.transform("_words", lambda w: F.size(w))
     first = _spaces(F.col("_before"))
     rows = rows.withColumn("_first", _line_of(first, sizes)).withColumn("_last", _line_of(first + _spaces(F.col("_wanted")), sizes))
@@ -59,15 +68,55 @@ def _grams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), runs)).otherwise(none)
 
 
-def contained(texts: DataFrame, wanted: DataFrame, text: str, item: str, key: str) -> DataFrame:
+@lru_cache(1)
+def _automaton(items: tuple[str, ...]) -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for n, item in enumerate(items):
+        found.add_word(item, n)
+    found.make_automaton()
+    return found
+
+
+def _held(text: Column, items: tuple[str, ...]) -> Column:
+    """Numbers of the items that are substrings of a text, by one pass over it."""
+
+    @F.pandas_udf("array<int>")
+    def held(texts: pd.Series) -> pd.Series:
+        found = _automaton(items)
+        return texts.map(lambda t: sorted({n for _, n in found.iter(t)}), na_action="ignore")
+
+    return held(text)
+
+
+def contained(texts: DataFrame, wanted: DataFrame, text: str, item: str, key: str, chars: int = AUTOMATON_CHARS) -> DataFrame:
     """All pairs in which an item stands verbatim in a text (both collapsed), with its 0-based start.
 
-    ``key`` names a text.  A containment join has no equal key, so one is made: no token may be cut at an item's
-    edges, so an item's first KEY_WORDS tokens are tokens side by side in the text (an item without tokens is keyed by
-    its first mark).  Texts are split into tokens once and meet items on a hash of such runs, as bare (key, hash) rows;
-    only pairs that meet are fetched and searched.
+    ``key`` names a text.  Items of up to ``chars`` characters altogether become one automaton that every task runs
+    over its texts, each read once and none shuffled; the edges of what it finds are then looked at.  Of more items
+    each meets the texts by a join on the hash of its first words.  Both ways give the same rows: null or empty texts and
+    items give none, repeated texts and items give theirs again, a null key is a key.
+    """
+    asked = wanted.filter(F.col(item) != "")
+    if asked.agg(F.coalesce(F.sum(F.length(item)), F.lit(0))).first()[0] > chars:
+        return _contained_by_words(texts, asked, text, item, key)
+    items = tuple(r[0] for r in asked.select(item).distinct().sort(item).collect())
+    if not items:
+        return _contained_by_words(texts, asked, text, item, key)
+    numbers = texts.sparkSession.createDataFrame(list(enumerate(items)), "_n int, _asked string")
+    known = F.broadcast(asked.join(numbers, F.col(item) == F.col("_asked")).drop("_asked"))
+    pairs = texts.withColumn("_n", F.explode(_held(F.col(text), items))).join(known, "_n").drop("_n")
+    return pairs.withColumn("start", F.length(before(F.col(text), F.col(item)))).filter("start is not null")
+
+
+def _contained_by_words(texts: DataFrame, asked: DataFrame, text: str, item: str, key: str) -> DataFrame:
+    """The same with a shuffle.
+
+    A containment join has no equal key, so one is made: no token may be cut at an item's edges, so an item's first
+    KEY_WORDS tokens are tokens side by side in the text (an item without tokens is keyed by its first mark).  Texts
+    are split into tokens once and meet items on a hash of such runs, as bare (key, hash) rows; only pairs that meet
+    are fetched and searched.
     """
-    asked = wanted.filter(F.col(item) != "").withColumn("_t", tokens(F.col(item))).withColumn("_n", F.least(F.size("_t"), F.lit(KEY_WORDS)))
+    asked = asked.withColumn("_t", tokens(F.col(item))).withColumn("_n", F.least(F.size("_t"), F.lit(KEY_WORDS)))
     hashes = [F.when(F.col("_n") == n, F.element_at(_grams(F.slice("_t", 1, n), n), 1)) for n in range(1, KEY_WORDS + 1)]
     asked = asked.withColumn("_gram", F.coalesce(*hashes, F.xxhash64(F.lit(0), F.substring(item, 1, 1))))
     used = sorted(r["_n"] for r in asked.select("_n").distinct().collect())  # KEY_WORDS + 1 numbers at most
@@ -76,7 +125,7 @@ def contained(texts: DataFrame, wanted: DataFrame, text: str, item: str, key: st
     if 0 in used:
         grams.append(F.transform(F.array_distinct(F.regexp_extract_all("_text", F.lit(r"(?U)([^\w\s])"), F.lit(1))), lambda m: F.xxhash64(F.lit(0), m)))
     found = held.select("_key", F.explode(F.array_distinct(F.concat(*grams)) if grams else F.array().cast("array<bigint>")).alias("_gram"))
-    met = found.join(asked.select("_gram", F.col(item).alias("_item")).distinct(), "_gram").select("_key", "_item")
-    pairs = texts.join(met, F.col(key) == F.col("_key")).withColumn("_before", before(F.col(text), F.col("_item"))).filter("_before is not null")
+    met = found.join(asked.select("_gram", F.col(item).alias("_item")).distinct(), "_gram").select("_key", "_item").distinct()
+    pairs = texts.join(met, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_before", before(F.col(text), F.col("_item"))).filter("_before is not null")
     pairs = pairs.withColumn("start", F.length("_before")).drop("_before")
     return pairs.join(asked.drop("_t", "_n", "_gram").withColumnRenamed(item, "_asked"), F.col("_item") == F.col("_asked")).withColumnRenamed("_asked", item).drop("_key", "_item")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text as X
-from ledgerline.operators import answers, deletion, people, sequences, spans, units
+from ledgerline.operators import answers, deletion, parse_units, people, sequences, spans, units
 from ledgerline.operators.answers import DELIMITER
 from ledgerline.sources.corpus import lines_of
 from ledgerline.streaming import holdback, sse
@@ -189,7 +189,8 @@ placed AS (SELECT doc_id, item_id, passage,
 def _located(spark: SparkSession, d: str) -> DataFrame:
     pairs = _span_pairs(spark, d)
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("no"), x.alias("text"), F.format_string("line %d", i + 1).alias("position")))
-    return spans.find_spans(pairs.select("doc_id", "item_id", lines.alias("lines"), F.col("passage").alias("span"))).drop("lines")
+    found = F.substring("body", F.lit(1), F.col("start"))
+    return spans.find_spans(pairs.select("doc_id", "item_id", lines.alias("lines"), F.col("passage").alias("span"), "body", "start"), found=found).drop("lines", "body", "start")
 
 
 @query(_LINED + "SELECT doc_id, item_id, first_line, last_line, md5(passage) AS span_digest FROM placed")
@@ -476,11 +477,15 @@ def q41_verified_archive(spark, d):
 # -- sources rendered from the tables, parsed back ----------------------------------------------------
 
 
-def _as_lines(rows: DataFrame, key: str, doc_type: str) -> DataFrame:
-    """Lines of documents that are given as (key, seq, text): texts in order, one below the other."""
+def _as_documents(rows: DataFrame, key: str, doc_type: str) -> DataFrame:
+    """Documents (doc_id, text, doc_type) that are given as (key, seq, text): texts in order, one below the other."""
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n")
-    docs = rows.groupBy(F.col(key).cast("string").alias("doc_id")).agg(whole.alias("text"))
-    return lines_of(docs.withColumn("doc_type", F.lit(doc_type)), "doc_id", "text", "doc_type")
+    return rows.groupBy(F.col(key).cast("string").alias("doc_id")).agg(whole.alias("text")).withColumn("doc_type", F.lit(doc_type))
+
+
+def _as_lines(rows: DataFrame, key: str, doc_type: str) -> DataFrame:
+    """Lines of ``_as_documents``."""
+    return lines_of(_as_documents(rows, key, doc_type), "doc_id", "text", "doc_type")
 
 
 _HEAD = "Meeting: Planning\nDate: 2025-03-04\nAttendees: Ada Berg (Example Co, joins late), Per Holm\n"
@@ -494,11 +499,15 @@ u AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED
 SELECT conv_id::VARCHAR AS doc_id, unit_no, min(label) AS label, sum(lines)::INTEGER AS n_lines FROM u GROUP BY conv_id, unit_no
 """)
 def q42_internal_units(spark, d):
+    parsed = units.parse(_as_lines(_labelled_talks(spark, d), "conv_id", "transcript"))
+    return parsed.units.select("doc_id", "unit_no", "label", F.size("lines").alias("n_lines"))
+
+
+def _labelled_talks(spark, d):
     c = _t(spark, d, "conversations")
     said = c.select("conv_id", (F.col("turn") + 1).alias("seq"), F.concat(F.when(F.col("role") == "user", "Me: ").otherwise("Them: "), "text").alias("text"))
     heads = c.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("seq"), F.lit(_HEAD).alias("text"))
-    parsed = units.parse(_as_lines(heads.union(said), "conv_id", "transcript"))
-    return parsed.units.select("doc_id", "unit_no", "label", F.size("lines").alias("n_lines"))
+    return heads.union(said)
 
 
 @query("""
@@ -506,6 +515,11 @@ WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITI
 SELECT o_custkey::VARCHAR AS doc_id, unit_no, 'Customer ' || o_custkey AS name, o_orderdate::DATE::VARCHAR AS sent, 2 AS n_lines, 'message ' || unit_no || ' of ' || n AS position FROM o
 """)
 def q43_thread_units(spark, d):
+    parsed = units.parse(_as_lines(_threads(spark, d), "o_custkey", "email"), BANNER)
+    return parsed.units.select("doc_id", "unit_no", "name", F.col("sent").cast("string").alias("sent"), F.size("lines").alias("n_lines"), F.col("lines")[0]["position"].alias("position"))
+
+
+def _threads(spark, d):
     o = _t(spark, d, "orders")
     n = F.count(F.lit(1)).over(Window.partitionBy("o_custkey"))
     first = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) == 1
@@ -515,8 +529,7 @@ def q43_thread_units(spark, d):
         F.when(first, "Subject: Order\n").otherwise(""), F.lit("From: Customer "), F.col("o_custkey").cast("string"), F.lit(" <c@example.com>\nDate: Monday, "), month, F.lit(" "),
         F.dayofmonth("o_orderdate").cast("string"), F.lit(", "), F.year("o_orderdate").cast("string"), F.lit(" 10:00 AM\nTo: Sales\n"), end, F.lit("\n\n"), F.lit(BANNER + ".\nOne order.\n\nThanks"),
     )
-    parsed = units.parse(_as_lines(o.select("o_custkey", F.col("o_orderkey").alias("seq"), mail.alias("text")), "o_custkey", "email"), BANNER)
-    return parsed.units.select("doc_id", "unit_no", "name", F.col("sent").cast("string").alias("sent"), F.size("lines").alias("n_lines"), F.col("lines")[0]["position"].alias("position"))
+    return o.select("o_custkey", F.col("o_orderkey").alias("seq"), mail.alias("text"))
 
 
 @query(rf"""
@@ -525,13 +538,41 @@ SELECT conv_id::VARCHAR AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER
        CASE WHEN role NOT IN ('user', 'assistant') THEN 'Guest 1' END AS label, lines::INTEGER AS n_lines, (turn + 1) || ' minutes 5 seconds' AS position FROM c
 """)
 def q44_teams_units(spark, d):
+    parsed = units.parse(_as_lines(_talks(spark, d), "conv_id", "transcript"))
+    return parsed.units.select("doc_id", "unit_no", "name", "label", F.size("lines").alias("n_lines"), F.col("lines")[0]["position"].alias("position"))
+
+
+def _talks(spark, d):
     c = _t(spark, d, "conversations")
     who = F.when(F.col("role") == "user", "Ada Berg").when(F.col("role") == "assistant", "Per Holm").otherwise("Guest 1")
     minute = (F.col("turn") + 1).cast("string")
     head = F.concat(who, F.lit("\n"), minute, F.lit(":05"), minute, F.lit(":05\nXY\n"), who, F.lit(" "), minute, F.lit(" minutes 5 seconds\n"))
     heads = c.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("seq"), F.lit(_HEAD).alias("text"))
-    parsed = units.parse(_as_lines(heads.union(c.select("conv_id", "turn", F.concat(head, "text"))), "conv_id", "transcript"))
-    return parsed.units.select("doc_id", "unit_no", "name", "label", F.size("lines").alias("n_lines"), F.col("lines")[0]["position"].alias("position"))
+    return heads.union(c.select("conv_id", "turn", F.concat(head, "text")))
+
+
+@query(
+    f"""
+SELECT doc_id, unit_no, name, label, NULL AS sent, n_lines, position FROM ({SQL["q44_teams_units"]})
+UNION ALL SELECT 'thread ' || doc_id, unit_no, name, NULL, sent, n_lines, position FROM ({SQL["q43_thread_units"]})
+"""
+)
+def q53_parse_texts(spark, d):
+    """Whole meetings and mail threads parsed by the table function in SQL, joined laterally: no shuffle of its own."""
+    parse_units.register(spark)
+    mails = _as_documents(_threads(spark, d), "o_custkey", "email").withColumn("doc_id", F.concat(F.lit("thread "), "doc_id"))
+    documents = _as_documents(_talks(spark, d), "conv_id", "transcript").unionByName(mails)
+    return spark.sql(
+        "SELECT d.doc_id, u.unit_no, u.name, u.label, CAST(u.sent AS string) AS sent, size(u.lines) AS n_lines, u.lines[0].position AS position FROM {docs} d, LATERAL parse_units(d.text, d.doc_type, {banner}) u WHERE u.error IS NULL",
+        docs=documents, banner=BANNER,
+    )
+
+
+@query(SQL["q42_internal_units"])
+def q54_parse_lines(spark, d):
+    """Meetings that lie in lines parsed by the table function, a partition a document."""
+    found = parse_units.of_lines(_as_lines(_labelled_talks(spark, d), "conv_id", "transcript"))
+    return found.filter("error is null").select("doc_id", "unit_no", "label", F.size("lines").alias("n_lines"))
 
 
 @query("""

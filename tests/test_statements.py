@@ -16,13 +16,25 @@ def test_spans(spark):
     assert got[0]["text"] == "3.4 million, of which" and got[0]["position"] == "p1"
 
 
-def test_contained_needs_whole_tokens(spark):
+@pytest.mark.parametrize("chars", [spans.AUTOMATON_CHARS, 0])
+def test_contained_needs_whole_tokens(spark, chars):
     texts = spark.createDataFrame([(1, "it costs 3.4 and 3 more"), (2, "13 or 3.5"), (3, "... dots"), (4, None)], "id int, t string")
-    items = spark.createDataFrame([("3",), ("3.4 and",), ("...",), ("zz",), ("",)], "w string")
-    got = {(r["id"], r["w"], r["start"]) for r in spans.contained(texts, items, "t", "w", "id").collect()}
+    items = spark.createDataFrame([("3",), ("3.4 and",), ("...",), ("zz",), ("",), (None,)], "w string")
+    got = {(r["id"], r["w"], r["start"]) for r in spans.contained(texts, items, "t", "w", "id", chars).collect()}
     assert got == {(1, "3", 17), (1, "3.4 and", 9), (3, "...", 0)}
 
 
+@pytest.mark.parametrize("chars", [spans.AUTOMATON_CHARS, 0])
+def test_contained_in_odd_tables(spark, chars):
+    """Repeated texts and items stay repeated, other columns stay, empty tables give no rows, long texts are read whole."""
+    far = "x " * 200_000 + "the end"
+    texts = spark.createDataFrame([(1, "a b", "k"), (1, "a b", "k"), (2, far, "m"), (3, "", "e"), (None, "b", "n")], "id int, t string, _more string")
+    items = spark.createDataFrame([("b", 7), ("b", 8), ("the end", 9), ("he", 10), ("\U0001d7d8", 11)], "w string, no int")
+    rows = lambda t, i: sorted((r["id"] or 9, r["w"], r["no"], r["start"], r["_more"]) for r in spans.contained(t, i, "t", "w", "id", chars).collect())
+    assert rows(texts, items) == [(1, "b", 7, 2, "k")] * 2 + [(1, "b", 8, 2, "k")] * 2 + [(2, "the end", 9, 400_000, "m"), (9, "b", 7, 0, "n"), (9, "b", 8, 0, "n")]
+    assert rows(texts.limit(0), items) == [] == rows(texts, items.limit(0))
+
+
 def pick(seq, unit, span, claim="C.", act="report", org=None, role=None, handling="none"):
     return ("t", seq, unit, span, claim, act, org, role, handling)
 
