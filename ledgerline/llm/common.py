@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Sequence
@@ -52,7 +53,9 @@ def release(df: DataFrame) -> None:
     """Let the driver collect its garbage, so that Spark drops the shuffles and broadcasts of queries that are done.
 
     Spark does that only when the driver's heap runs full; a loop of many small queries keeps all of them till then.
+    Python's own garbage goes first, as its frames hold the JVM's.
     """
+    gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
 
 

@@ -31,7 +31,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import among, compact, counted, own_columns
+from ledgerline.llm.common import among, compact, counted, own_columns, release
 from ledgerline.llm.simhash import SEED, components, numbered
 
 #: Words of an n-gram, and the similarity of a link in hundredths.
@@ -518,19 +518,25 @@ def similarity_groups(documents: DataFrame, words: int = WORDS, percent: int = P
             yield sid, h.values.to_numpy().view(np.uint64)
 
     first = compact(_left(_shared(named.select("text"), of_texts), rows, "m", percent).select("sid", "least", "n"))
+    # Each step is checkpointed: its shuffles go before the next one makes its own, however large the driver's heap is.
+    release(named)
     sets = _whole(first, named, words)
     keyed, some = counted(_left(_shared(sets.select("sid", "values"), of_sets), first.drop("least"), "n", percent).filter("keys is not null").select("sid", "n", "spare", "keys"))
+    release(named)
     bits = min(CELLS[1], max(CELLS[0], (16 * max(1, some)).bit_length()))
     loads = named.sparkSession.sparkContext.broadcast(_loads(keyed, bits))
     blocks = compact(components(_chains(_entries(keyed, percent, loads, bits), percent), "a", "b"))
     # A block's root is named by the others alone.
     blocks = blocks.union(blocks.select("root", "root").distinct())
+    release(named)
     met = compact(sets.join(blocks, F.col("sid") == F.col("node")).select("sid", "n", F.col("root").alias("key"), "values"))
+    release(named)
     links = _links(met, percent, most)
     roots = components(links, "a", "b")
     grouped = compact(rows.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("root", "sid").alias("root")))
     least = compact(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
     by_set = compact(grouped.join(least, "root").select("sid", "component_id"))
+    release(named)
     full = docs.filter("n > 0").join(by_set, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.union(docs.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
@@ -549,4 +555,6 @@ def _whole(wanted: DataFrame, documents: DataFrame, words: int) -> DataFrame:
     ids = wanted.filter("least is not null").select(F.col("least").alias("doc_id")).distinct()
     texts = among(documents, ids, "doc_id").union(documents.filter("doc_id is null"))
     made = texts.select("text").mapInArrow(work, "sid long, values array<long>").dropDuplicates(["sid"])
-    return compact(wanted.select("sid", "n").join(made, "sid"))
+    out = compact(wanted.select("sid", "n").join(made, "sid"))
+    release(documents)
+    return out
