@@ -5,6 +5,7 @@ Each query takes (spark, sf_dir).  Queries run over whole tables.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -222,15 +223,48 @@ def _redacted(spark, d, forms, placeholder, folds):
     return docs.select("doc_id", F.md5(new.cast("binary")).alias("text"), n.alias("mails"), F.col("text").rlike(X.PHONE).alias("phone_like"))
 
 
-_OVERLAPS = r"mail[0-9]\.example|example\.com|\bT[Hh][Oo][Uu]\b"
+def _ranges(chars) -> str:
+    """Inside of a character class for RE2."""
+    out, codes = [], sorted(map(ord, chars))
+    for c in codes:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(rf"\x{{{a:x}}}" if a == b else rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out)
+
+
+def _overlaps_sql() -> str:
+    """The rule of q45 over composed texts: a form's letters are all that fold to them, words end where folded characters aren't letters, numbers or "_".
+
+    Each form takes what earlier ones left: hits become a mark that counts as part of a word (U+10FFFE) or not (U+10FFFF).
+    Neighbours may share the character between them, so the word is looked for twice.
+    """
+    folds = dict(zip(*X.fold_table(), strict=True))
+    of: dict[str, list[str]] = {}
+    for c, f in folds.items():
+        of.setdefault(f, []).append(c)
+    letter = lambda f, kept=lambda c: True: f"[{_ranges(c for c in [*([] if f in folds else [f]), *of.get(f, ())] if kept(c))}]"
+    word = lambda c: c.isalnum() or c == "_"
+    own = lambda c: unicodedata.category(c)[0] in "LN" or c == "_"
+    more, less = [c for c, f in folds.items() if word(f) and not own(c)], [c for c, f in folds.items() if own(c) and not word(f)]
+    none = rf"(?:[^\p{{L}}\p{{N}}_\x{{10fffe}}{_ranges(more)}]" + (f"|[{_ranges(less)}])" if less else ")")
+    digit = f"[{_ranges([*'0123456789', *(c for d in '0123456789' for c in of.get(d, ()))])}]"
+    spelt = lambda w: "".join(digit if c == "#" else letter(c) for c in w)
+    thou = letter("t", lambda c: unicodedata.category(c) == "Lu") + spelt("hou")
+    first = f"regexp_replace(regexp_replace(plain, '{spelt('mail#.example')}', chr(1114110), 'g'), '{spelt('example.com')}', chr(1114110), 'g')"
+    lone = lambda s: rf"regexp_replace({s}, '(^|{none}){thou}($|{none})', '\1' || chr(1114111) || '\2', 'g')"
+    return rf"""
+WITH p AS (SELECT doc_id, text, nfc_normalize(text) AS plain FROM documents), f AS (SELECT *, {first} AS a FROM p), l AS (SELECT *, {lone(lone('a'))} AS b FROM f),
+n AS (SELECT *, replace(replace(b, chr(1114110), ''), chr(1114111), '') AS rest FROM l)
+SELECT doc_id, md5(CASE WHEN rest = b THEN text ELSE replace(replace(b, chr(1114110), '[X]'), chr(1114111), '[X]') END) AS text, coalesce(length(b) - length(rest), 0)::BIGINT AS mails, regexp_matches(text, '\+?[0-9][0-9 ]{{8,}}[0-9]') AS phone_like
+FROM n
+"""
 
 
-@query(rf"""
-SELECT doc_id, md5(regexp_replace(text, '{_OVERLAPS}', '[X]', 'g')) AS text, len(regexp_extract_all(text, '{_OVERLAPS}'))::BIGINT AS mails, regexp_matches(text, '\+?[0-9][0-9 ]{{8,}}[0-9]') AS phone_like
-FROM documents
-""")
+@query(_overlaps_sql())
 def q45_redact_overlaps(spark, d):
-    """Three forms on folded texts, two of which overlap and one of which must begin with a capital."""
+    """Three forms on folded texts, two of which overlap (the earlier form counts) and one of which must begin with a capital."""
     return _redacted(spark, d, [(r"mail[0-9]\.example", False), (r"example\.com", False), (r"\bthou\b", True)], "[X]", True)
 
 
