@@ -26,6 +26,24 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Characters of rendered text that a task takes in: its lines and chunks, which are many times as wide, are sorted several times.
+PIECE = 2 << 20
+
+
+def _dealt(rows: DataFrame, key: str, chars: int | None) -> DataFrame:
+    """Rows dealt out by a key to as many tasks as ``chars`` characters of text ask for, whatever their bytes are when packed.
+
+    What is made of them later (lines, chunks) stays where it is, so that tasks get more and not larger as tables grow.
+    """
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-(chars or 0) // PIECE)), key)
+
+
+def _chars(table: DataFrame, more: int = 0) -> int | None:
+    """Characters of a table's texts and ``more`` a row."""
+    return table.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + more)).first()[0]
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a function as a query under its name, with its SQL."""
 
@@ -483,9 +501,11 @@ SELECT doc_id AS request, md5(CASE WHEN doc_id % 2 = 0 THEN text ELSE text || '=
 def q38_holdback_stream(spark, d):
     reply = F.concat("text", F.when(F.col("doc_id") % 2 == 0, f'{DELIMITER}["x"]').otherwise("===CITATION"))
     cut = F.regexp_extract_all(reply, F.lit(r"(?s)(.{1,40})"), F.lit(1))
-    parts = _t(spark, d, "documents").select(F.col("doc_id").alias("request"), cut.alias("c")).select("request", F.size("c").alias("n"), F.posexplode("c").alias("seq", "chunk"))
+    docs = _t(spark, d, "documents")
+    # Replies are dealt out whole, before they are cut: the chunks of one are where its window is.
+    parts = _dealt(docs, "doc_id", _chars(docs)).select(F.col("doc_id").alias("request"), cut.alias("c")).select("request", F.size("c").alias("n"), F.posexplode("c").alias("seq", "chunk"))
     chunks = parts.select("request", F.col("seq").cast("long").alias("seq"), "chunk", (F.col("seq") + 1 == F.col("n")).alias("last"))
-    out = holdback.held_back_batch(chunks)
+    out = holdback.held_back_batch(chunks, complete=False)
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
     return out.groupBy("request").agg(F.md5(whole.cast("binary")).alias("streamed"), F.count(F.lit(1)).alias("chunks"))
 

@@ -200,11 +200,12 @@ def verified_frames(events: DataFrame, statements: DataFrame) -> DataFrame:
     return plain.unionByName(citations).unionByName(done)
 
 
-def held_back_batch(chunks: DataFrame) -> DataFrame:
+def held_back_batch(chunks: DataFrame, complete: bool = True) -> DataFrame:
     """The same for a table of chunks, in JVM functions: each row gets the part of the safe text that is new.
 
     Each row sees its own chunk and the last ones before it that may hold a delimiter's beginning, so the work is in
-    proportion to the text; the complete reply is put together once a request.
+    proportion to the text; the complete reply is put together once a request, unless ``complete`` is False (then the
+    column is left out).
     """
     from pyspark.sql import Window
 
@@ -221,6 +222,8 @@ def held_back_batch(chunks: DataFrame) -> DataFrame:
     t = t.withColumn("_size", size).withColumn("_before", F.coalesce(F.lag("_size").over(by), F.lit(0)))
     start, length = (F.col("_before") - F.col("_from") + 1).cast("int"), F.greatest(F.lit(0), F.col("_size") - F.col("_before")).cast("int")
     text = F.when(length > 0, F.substring(F.col("_near"), start, length)).otherwise("")
+    if not complete:
+        return t.select("request", "seq", text.alias("text"))
     parts = F.sort_array(F.collect_list(F.struct("seq", F.coalesce("chunk", F.lit("")).alias("c"))))
     whole = chunks.groupBy(F.col("request").alias("_request")).agg(F.array_join(F.transform(parts, lambda x: x["c"]), "").alias("_all"))
     out = t.join(whole, t["request"].eqNullSafe(F.col("_request")), "left")
