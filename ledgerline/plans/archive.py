@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import text as X
 from ledgerline.operators import links, segments, statements, units
 from ledgerline.operators.sequences import rows_numbered
-from ledgerline.plans.catalogue import _HEAD, _WS, BANNER, _as_lines, _t, query
+from ledgerline.plans.catalogue import _WS, BANNER, _as_lines, _by_customer, _t, _talks, query
 from ledgerline.sources.sinks import settled
 
 _NO_ORG, _UNKNOWN_ACT = "Nowhere Ltd", "shout"
@@ -23,12 +23,7 @@ _RESPONSES = ("accepted", "rejected", "none")
 
 def _meeting_lines(spark: SparkSession, d: str) -> DataFrame:
     """A transcript a conversation: the header, then each turn below its four lines of speech header."""
-    c = _t(spark, d, "conversations")
-    who = F.when(F.col("role") == "user", "Ada Berg").when(F.col("role") == "assistant", "Per Holm").otherwise("Guest 1")
-    minute = (F.col("turn") + 1).cast("string")
-    head = F.concat(who, F.lit("\n"), minute, F.lit(":05"), minute, F.lit(":05\nXY\n"), who, F.lit(" "), minute, F.lit(" minutes 5 seconds\n"))
-    heads = c.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("seq"), F.lit(_HEAD).alias("text"))
-    return _as_lines(heads.union(c.select("conv_id", "turn", F.concat(head, "text"))), "conv_id", "transcript")
+    return _as_lines(_talks(spark, d), "conv_id", "transcript")
 
 
 #: The same in SQL: a row a turn with the number of lines before it, its lines and its words.
@@ -149,7 +144,7 @@ def q49_utterance_segments(spark, d):
 
 def _thread_lines(spark: SparkSession, d: str) -> DataFrame:
     """A mail thread a customer with a message an order; every third order's message holds an image."""
-    o = _t(spark, d, "orders")
+    o = _by_customer(spark, d)
     w = Window.partitionBy("o_custkey")
     first = F.row_number().over(w.orderBy("o_orderkey")) == 1
     key, who = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
@@ -157,7 +152,7 @@ def _thread_lines(spark: SparkSession, d: str) -> DataFrame:
     mail = F.concat(
         F.when(first, F.concat(F.lit("Messages in thread: "), F.count(F.lit(1)).over(w).cast("string"), F.lit("\n"))).otherwise(""),
         F.lit("From: Buyer <C"), who, F.lit("@Example.com>\nDate: Monday, "), month, F.lit(" "), F.dayofmonth("o_orderdate").cast("string"), F.lit(", "), F.year("o_orderdate").cast("string"),
-        F.lit(" 10:00 AM\nTo: Sales; Someone <c"), (F.col("o_custkey") + 1).cast("string"), F.lit("@example.com>\nCc: Archive <archive@example.com>\nSubject: Order "), key,
+        F.lit(" 10:00 AM\nTo: Sales; Someone <c"), (F.col("o_custkey").cast("long") + 1).cast("string"), F.lit("@example.com>\nCc: Archive <archive@example.com>\nSubject: Order "), key,
         F.lit(f"\n\n{BANNER}\nOrder "), key, F.lit(" is late.\n"), F.when(F.col("o_orderkey") % 3 == 0, "[cid:logo.png]\n").otherwise(""), F.lit("Please ship.\n\nThanks\nBuyer"),
     )
     return _as_lines(o.select("o_custkey", F.col("o_orderkey").alias("seq"), mail.alias("text")), "o_custkey", "email")

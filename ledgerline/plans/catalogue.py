@@ -542,6 +542,8 @@ def _as_lines(rows: DataFrame, key: str, doc_type: str) -> DataFrame:
     return lines_of(_as_documents(rows, key, doc_type), "doc_id", "text", "doc_type")
 
 
+#: Characters of a rendered mail, about.
+MAIL = 300
 _HEAD = "Meeting: Planning\nDate: 2025-03-04\nAttendees: Ada Berg (Example Co, joins late), Per Holm\n"
 
 
@@ -561,7 +563,12 @@ def _labelled_talks(spark, d):
     c = _t(spark, d, "conversations")
     said = c.select("conv_id", (F.col("turn") + 1).alias("seq"), F.concat(F.when(F.col("role") == "user", "Me: ").otherwise("Them: "), "text").alias("text"))
     heads = c.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("seq"), F.lit(_HEAD).alias("text"))
-    return heads.union(said)
+    return _talk_rows(heads.union(said), c)
+
+
+def _talk_rows(rows: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Rendered turns dealt out by the id of the meeting that they become."""
+    return _dealt(rows.withColumn("conv_id", F.col("conv_id").cast("string")), "conv_id", _chars(conversations, 60))
 
 
 @query("""
@@ -573,8 +580,14 @@ def q43_thread_units(spark, d):
     return parsed.units.select("doc_id", "unit_no", "name", F.col("sent").cast("string").alias("sent"), F.size("lines").alias("n_lines"), F.col("lines")[0]["position"].alias("position"))
 
 
+def _by_customer(spark: SparkSession, d: str) -> DataFrame:
+    """Orders dealt out by the text of their customer's number, the id of the thread that they become: one shuffle for windows, threads and lines."""
+    o = _t(spark, d, "orders").withColumn("o_custkey", F.col("o_custkey").cast("string"))
+    return _dealt(o, "o_custkey", MAIL * o.count())
+
+
 def _threads(spark, d):
-    o = _t(spark, d, "orders")
+    o = _by_customer(spark, d)
     n = F.count(F.lit(1)).over(Window.partitionBy("o_custkey"))
     first = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) == 1
     month = F.element_at(F.array(*[F.lit(name) for name in X.MONTHS["en"]]), F.month("o_orderdate"))
@@ -602,7 +615,7 @@ def _talks(spark, d):
     minute = (F.col("turn") + 1).cast("string")
     head = F.concat(who, F.lit("\n"), minute, F.lit(":05"), minute, F.lit(":05\nXY\n"), who, F.lit(" "), minute, F.lit(" minutes 5 seconds\n"))
     heads = c.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("seq"), F.lit(_HEAD).alias("text"))
-    return heads.union(c.select("conv_id", "turn", F.concat(head, "text")))
+    return _talk_rows(heads.union(c.select("conv_id", "turn", F.concat(head, "text"))), c)
 
 
 @query(
