@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import or_else
+from ledgerline.sources.sinks import settled
 
 #: Most registry rows that are broadcast; a larger registry is joined by shuffle.
 BROADCAST_ROWS = 100_000
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """A registry's keys for a join: broadcast, or a table of its own.
+
+    Many rows have one key (or none).  Spark splits such a key's rows only where both sides of the join are plain shuffles, not
+    where one is an aggregate that lies there as the join needs it.
+    """
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else settled(df)
 
 
 def resolved(df: DataFrame, registry: DataFrame, email: str, name: str, prefix: str = "person") -> DataFrame:
