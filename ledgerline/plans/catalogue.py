@@ -15,6 +15,7 @@ from ledgerline.functions import text as X
 from ledgerline.operators import answers, deletion, parse_units, people, sequences, spans, units
 from ledgerline.operators.answers import DELIMITER
 from ledgerline.sources.corpus import lines_of
+from ledgerline.sources.sinks import settled
 from ledgerline.streaming import holdback, sse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +45,10 @@ def _chars(table: DataFrame, more: int = 0) -> int | None:
     return table.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + more)).first()[0]
 
 
+#: Keys up to which they go to every task, so that the many pairs of all texts aren't shuffled to meet them.
+FEW_KEYS = 1 << 17
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a function as a query under its name, with its SQL."""
 
@@ -324,13 +329,17 @@ GROUP BY ALL ORDER BY evidence DESC, key LIMIT 20
 """
 )
 def q19_evidence_topk(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", "text", X.fold(F.col("text")).alias("folded"))
-    keys = docs.select(F.explode(X.name_pairs(F.col("text"))).alias("p")).select(X.fold(F.col("p.first")).alias("a"), X.fold(F.col("p.last")).alias("b")).distinct()
+    # A file may be a single split; texts are dealt out once for keys and evidence.
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    docs = _dealt(docs, "doc_id", _chars(docs))
+    raw = docs.select(F.explode(X.name_pairs(F.col("text"))).alias("p")).select(F.concat_ws(" ", "p.first", "p.last").alias("raw")).distinct()
+    keys = settled(raw.select(X.fold(F.col("raw")).alias("key")).distinct())
+    keys = F.broadcast(keys) if keys.count() <= FEW_KEYS else keys
     # A whole name is two neighbouring words of the folded text, whatever their case was.
-    near = F.arrays_zip(F.regexp_extract_all("folded", F.lit(X.NAME_PAIR), F.lit(1)).alias("a"), F.regexp_extract_all("folded", F.lit(X.NAME_PAIR), F.lit(2)).alias("b"))
-    seen = docs.select("doc_id", F.explode(F.array_distinct(near)).alias("p")).select("doc_id", "p.*")
-    hits = seen.join(keys, ["a", "b"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("evidence"))
-    return hits.select(F.concat_ws(" ", "a", "b").alias("key"), "evidence").orderBy(F.desc("evidence"), "key").limit(20)
+    folded = docs.select(X.fold(F.col("text")).alias("folded"))
+    seen = folded.select(F.explode(X.neighbours(F.col("folded"))).alias("key"))
+    hits = seen.join(keys, "key").groupBy("key").agg(F.count(F.lit(1)).alias("evidence"))
+    return hits.select("key", "evidence").orderBy(F.desc("evidence"), "key").limit(20)
 
 
 @query("""
