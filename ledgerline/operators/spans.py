@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import collapse, nfc, nfc_each, tokens
+from ledgerline.functions.text import collapse, is_ascii, nfc, nfc_each, tokens
 
 #: A place that isn't strictly inside a token (a word, or a number with a mark between digits).
 EDGE = r"(?!(?<=\w)(?:\w|[.,]\w))(?!(?<=\w[.,])\w)"
@@ -41,24 +41,32 @@ def _line_of(word: Column, sizes: Column) -> Column:
     return F.aggregate(sizes, start, step, lambda s: s["line"])
 
 
+def prepared(rows: DataFrame, lines: str = "lines", composed: bool = True) -> DataFrame:
+    """Rows with what a search in their lines needs, so that it is made once for all spans: all words in one text, and how many each line has."""
+    texts = F.transform(F.col(lines), lambda x: x["text"])
+    # Composition is Python's; rows of ASCII have nothing to compose and don't go there.
+    each = F.coalesce(nfc_each(F.when(~is_ascii(F.array_join("_texts", "")), F.col("_texts"))), F.col("_texts")) if composed else F.col("_texts")
+    words = F.transform("_texts", lambda t: F.filter(F.split(collapse(F.coalesce(t, F.lit(""))), " "), lambda w: w != ""))
+    rows = rows.withColumn("_texts", texts).withColumn("_texts", each).withColumn("_words", words)
+    return rows.withColumns({"_body": F.array_join(F.flatten("_words"), " "), "_sizes": F.transform("_words", lambda w: F.size(w))}).drop("_texts", "_words")
+
+
 def find_spans(pairs: DataFrame, lines: str = "lines", span: str = "span", name: str = "match", found: Column | None = None) -> DataFrame:
     """Add ``match``: struct of first_line, last_line, position and text of the span in the row's lines, or null.
 
     ``lines`` is an array of (no, text, position).  The first occurrence counts; text is the source's own, white
     space apart.  Null or empty spans and lines give null.  ``found``: what stands before the span in the collapsed
-    text, where a search has told it already; then nothing is searched again.
+    text, where a search has told it already; then nothing is searched again.  Pairs whose texts are ``prepared`` keep that.
     """
-    wanted, texts = collapse(F.col(span)), F.transform(F.col(lines), lambda x: x["text"])
-    rows = pairs.withColumns({"_texts": texts, "_wanted": wanted} if found is not None else {"_texts": nfc_each(texts), "_wanted": collapse(nfc(span))})
-    words = F.transform("_texts", lambda t: F.filter(F.split(collapse(F.coalesce(t, F.lit(""))), " "), lambda w: w != ""))
-    rows = rows.withColumn("_words", words)
-    rows = rows.withColumn("_before", before(F.array_join(F.flatten("_words"), " "), F.col("_wanted")) if found is None else found)
-    sizes = F.transform("_words", lambda w: F.size(w))
+    rows = pairs if "_sizes" in pairs.columns else prepared(pairs, lines, found is None)
+    wanted = F.col(span) if found is not None else F.coalesce(nfc(F.when(~is_ascii(F.col(span)), F.col(span))), F.col(span))
+    rows = rows.withColumn("_wanted", wanted).withColumn("_wanted", collapse(F.col("_wanted")))
+    rows = rows.withColumn("_before", before(F.col("_body"), F.col("_wanted")) if found is None else found)
     first = _spaces(F.col("_before"))
-    rows = rows.withColumn("_first", _line_of(first, sizes)).withColumn("_last", _line_of(first + _spaces(F.col("_wanted")), sizes))
+    rows = rows.withColumn("_first", _line_of(first, F.col("_sizes"))).withColumn("_last", _line_of(first + _spaces(F.col("_wanted")), F.col("_sizes")))
     line = lambda at: F.get(F.col(lines), F.col(at))
     match = F.struct(line("_first")["no"].cast("int").alias("first_line"), line("_last")["no"].cast("int").alias("last_line"), line("_first")["position"].alias("position"), F.col("_wanted").alias("text"))
-    return rows.withColumn(name, F.when(F.col("_before").isNotNull(), match)).drop("_texts", "_wanted", "_words", "_before", "_first", "_last")
+    return rows.withColumn(name, F.when(F.col("_before").isNotNull(), match)).drop("_body", "_sizes", "_wanted", "_before", "_first", "_last")
 
 
 def _grams(words: Column, n: int) -> Column:

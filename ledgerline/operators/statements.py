@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline import schemas
-from ledgerline.functions.text import collapse, flat, or_else
+from ledgerline.functions.text import case_folded, collapse, flat, or_else
 from ledgerline.operators.sequences import first_failure, first_of, nested, numbered_ids
-from ledgerline.operators.spans import find_spans
+from ledgerline.operators.spans import find_spans, prepared
+from ledgerline.sources.sinks import settled
 
 NOT_STATED = "Not stated"
 NO_UNIT, NO_SPAN, NO_CLAIM, DUPLICATE = "unit not in this document", "span not in the unit", "no claim or unknown act or handling", "duplicate"
@@ -53,18 +54,19 @@ def verified(candidates: DataFrame, units: DataFrame, documents: DataFrame, head
     accepted rows in the model's order.  ``heads`` (doc_id, head) is the header text in which an organisation or
     role may be stated, besides the unit itself.
     """
-    c = candidates.filter("model_seq is not null").join(units.withColumnRenamed("unit_no", "unit"), ["doc_id", "unit"], "left")
-    c = find_spans(c.withColumn("claim", F.trim("claim")))
+    held = prepared(units.withColumnRenamed("unit_no", "unit"))
+    c = candidates.filter("model_seq is not null").withColumn("claim", F.trim("claim")).join(held, ["doc_id", "unit"], "left")
+    c = find_spans(c)
     bad = F.coalesce((F.col("claim") == "") | ~F.col("act").isin(*schemas.ACTS) | ~F.col("handling").isin(*schemas.HANDLING), F.lit(True))
     reason = first_failure([(F.col("lines").isNull(), NO_UNIT), (F.col("match.first_line").isNull(), NO_SPAN), (bad, NO_CLAIM)])
-    c = c.withColumn("reason", reason)
-    w = Window.partitionBy("doc_id", "unit", "match.text").orderBy("model_seq")
-    good = c.filter("reason is null").withColumn("reason", F.when(F.row_number().over(w) > 1, DUPLICATE))
-    rejected = c.filter("reason is not null").unionByName(good.filter("reason is not null")).select("doc_id", "model_seq", "reason")
-    kept = numbered_ids(good.filter("reason is null"), "doc_id", ["model_seq"])
+    # Candidates are searched once: without a checkpoint each condition on what was found is pushed below the search, which then runs for each.
+    searched = c.withColumn("reason", reason).select("doc_id", "model_seq", "unit", "name", "label", "sent", "claim", "act", "handling", "org", "role", "match", "reason", F.when(F.col("reason").isNull(), F.array_join(F.transform("lines", lambda x: x["text"]), " ")).alias("_said"))
+    w = Window.partitionBy("doc_id", "unit", F.col("match.text"), F.col("reason").isNull()).orderBy("model_seq")
+    c = settled(searched).withColumn("reason", F.when(F.col("reason").isNull() & (F.row_number().over(w) > 1), DUPLICATE).otherwise(F.col("reason")))
+    rejected = c.filter("reason is not null").select("doc_id", "model_seq", "reason")
+    kept = numbered_ids(c.filter("reason is null"), "doc_id", ["model_seq"])
     kept = kept.join(documents.select("doc_id", "doc_type", "doc_date"), "doc_id").join(heads.select("doc_id", "head"), "doc_id", "left")
-    context = flat(F.concat(F.coalesce("head", F.lit("")), F.array_join(F.transform("lines", lambda x: x["text"]), " ")))
-    kept = kept.withColumn("_context", context)
+    kept = kept.withColumn("_context", collapse(F.concat(F.coalesce("head", F.lit("")), "_said"))).withColumn("_context", case_folded(F.col("_context")))
     actor = F.struct("name", "label", stated(F.col("org"), F.col("_context")).alias("org"), stated(F.col("role"), F.col("_context")).alias("role"))
     records = kept.select(
         "id", "doc_id", "doc_type", "doc_date", F.coalesce(F.col("sent").cast("string"), "doc_date").alias("stated_on"),

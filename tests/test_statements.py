@@ -75,6 +75,15 @@ def test_records(spark):
     assert statements.without_statements(p.documents, records.limit(0)).count() == 1
 
 
+def test_candidates_are_searched_once(spark):
+    """Neither records nor rejected candidates run the search again, whatever is asked of them."""
+    (records, rejected), _ = verified(spark, pick(0, 1, "move the launch"), pick(1, 1, "never said"), pick(2, 1, "move  the\u00a0launch"))
+    for found in (records, rejected, rejected.filter("reason = 'duplicate'")):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEvalPython" not in plan
+    assert [(r["model_seq"], r["reason"]) for r in rejected.orderBy("model_seq").collect()] == [(1, statements.NO_SPAN), (2, statements.DUPLICATE)]
+
+
 def test_every_unit_holds_itself(spark):
     p = parsed(spark, ("t", "transcript", TALK))
     from pyspark.sql import functions as F
