@@ -50,7 +50,7 @@ def _candidates(found: DataFrame) -> DataFrame:
 
 def _verified(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Records, rejected candidates and documents of the rendered meetings; units and documents are parsed once for all three."""
-    parsed = units.parse(_meeting_lines(spark, d))
+    parsed = units.parse(_meeting_lines(spark, d), keep=settled)
     found, documents = settled(parsed.units), settled(parsed.documents)
     return *statements.verified(_candidates(found), found, documents, units.heads(documents)), documents
 
