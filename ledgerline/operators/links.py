@@ -46,14 +46,15 @@ def later_by_others(records: DataFrame, limit: int = LOOK_AHEAD) -> DataFrame:
     return pairs.join(left, ["doc_id", "seq"]).join(right, ["doc_id", "later_seq"]).select("doc_id", "statement_id", "place", "later_id", "later_who", "later_span", "later_actor", "later_position", "later_stated_on")
 
 
-def linked(records: DataFrame, replies: DataFrame, limit: int = LOOK_AHEAD) -> tuple[DataFrame, DataFrame]:
+def linked(records: DataFrame, replies: DataFrame, limit: int = LOOK_AHEAD, shown: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(records with agreed_by, outcomes) from a model's replies (doc_id, statement_id, response, by, quote).
 
     A reply counts only if, among the statements shown, the person it names has one that contains the quoted
     words; the first such is the source.  outcomes: doc_id, statement_id and outcome ("no response",
     "response not found in the text", "accepted" or "rejected") of every statement that had something shown.
+    ``shown``: what ``later_by_others`` gave, where it is stored; else it is looked up anew for each use.
     """
-    shown = later_by_others(records, limit)
+    shown = later_by_others(records, limit) if shown is None else shown
     asked = shown.select("doc_id", "statement_id").distinct()
     quote = flat(F.col("quote"))
     hits = shown.join(replies, ["doc_id", "statement_id"]).filter((F.col("later_who") == F.col("by")) & (quote != "") & F.contains(flat(F.col("later_span")), quote))

@@ -116,8 +116,9 @@ def q48_agreement_links(spark, d):
     following = F.lead("span").over(Window.partitionBy("doc_id").orderBy("n"))
     response = F.element_at(F.array(*[F.lit(r) for r in _RESPONSES]), F.col("n") % 3 + 1)
     replies = records.withColumn("n", n).select("doc_id", F.col("id").alias("statement_id"), response.alias("response"), F.lit("Per Holm").alias("by"), F.array_join(F.slice(F.split(following, " "), 1, 2), " ").alias("quote"))
-    out, outcomes = links.linked(records, replies)
-    shown = links.later_by_others(records).groupBy("statement_id").agg(F.count(F.lit(1)).alias("shown"))
+    later = settled(links.later_by_others(records))
+    out, outcomes = links.linked(records, replies, shown=later)
+    shown = later.groupBy("statement_id").agg(F.count(F.lit(1)).alias("shown"))
     first = F.try_element_at("agreed_by", F.lit(1))
     agreed = out.select(F.col("id").alias("statement_id"), first["name"].alias("agreed_by"), first["statement"].alias("source"))
     return outcomes.join(agreed, "statement_id").join(shown, "statement_id").select("doc_id", "statement_id", "shown", "outcome", "agreed_by", "source")

@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text as X
-from ledgerline.operators import units
+from ledgerline.operators import links, units
+from ledgerline.plans import archive, catalogue
 from ledgerline.sources.corpus import lines_of
+from tests.oracle import same
 from tests.test_units import INSIDE, MAIL, TALK
 
 
@@ -37,3 +39,12 @@ def test_spaces_are_what_the_pattern_matches(spark):
 def test_folding_keeps_letters_that_get_longer(spark):
     said = ["Straße und Öl", "ŉ plain", "plain É", "ΐ", "ASCII"]
     assert [r[0] for r in spark.createDataFrame([(s,) for s in said], "s string").select(X.case_folded(F.col("s"))).collect()] == [s.casefold() for s in said]
+
+
+def test_links_look_ahead_once(spark, sf_dir, monkeypatch):
+    """Later statements are looked up once for a statement's outcome, source and number."""
+    asked, look = [], links.later_by_others
+    monkeypatch.setattr(links, "later_by_others", lambda *given: asked.append(1) or look(*given))
+    df = archive.q48_agreement_links(spark, sf_dir)
+    assert len(asked) == 1
+    same(df, catalogue.SQL["q48_agreement_links"], sf_dir)
