@@ -1,13 +1,16 @@
 """N-gram Jaccard join as a blocked sparse product of the document by n-gram incidence matrix with itself, exact.
 
 1. Rows: a document is the set of hashes of its distinct word n-grams; documents with equal sets are one row of the
-   matrix from here on, named by a hash of the set.
+   matrix from here on, named by a hash of the set.  Sets are made from the texts again wherever they are needed, and
+   texts are all that is shuffled of a row: a set takes several times its text's room and can't be packed.
 2. Peeling: a partner of a row of n columns shares ceil(0.85 n) of them at least, so a row with n - ceil(0.85 n) + 1
    columns that no other row has links with nothing and leaves the matrix.  First a hashed share (SAMPLED) of all
-   columns is looked at, the same for every row, then all columns of the rows that are left.
+   columns is looked at, the same for every row, then all columns of the rows that are left.  Columns are counted in
+   buckets, ranges of hashes: a task sends a bucket the sorted hashes of many rows at once, as differences and without
+   the bits that few columns need, and gets back how frequent each is.  What is taken for shared by mistake stays.
 3. Blocks: two rows that link share one of each one's first n - ceil(0.85 n) + 1 columns, in any common order.  Columns
-   of one row come first and then the others, lightest first (loads are counted in cells of hashed columns, 2^20 at
-   most), so that only a row's first few shared columns are entries.  Rows that meet in a column with
+   of one row come first and then the others, rarest first (by powers of two), so that only a row's first few shared
+   columns are entries.  Rows that meet in a column with
    sizes that may link are joined by a chain and not by pairs; blocks are the chains' components.
 4. Product: a task holds the whole rows of a block, renumbers its columns rarest first, and multiplies one row at a time
    with the block: entries of the leading columns find the partners whose sizes fit, then overlaps are accumulated over
@@ -17,8 +20,8 @@
    its block, which connects what is near to a hub; then rows that aren't connected with the most of their block meet
    all chunks, in cells of two chunks.  No cap and no sampling of rows: every link that could join two groups is computed.
 
-Tasks combine equal columns before they are shuffled, so a column that a third of all rows have costs a row a task.
-Rows of 2^40 columns or more never meet here; overlaps are counted in whole numbers.
+Tasks combine equal columns before they are shuffled, so a column that a third of all rows have costs a hash a block of
+rows, and two bytes or so a row.  Rows of 2^40 columns or more never meet here; overlaps are counted in whole numbers.
 """
 
 from __future__ import annotations
@@ -28,10 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import among, compact, counted, own_columns, release
+from ledgerline.llm.common import compact, counted, own_columns, release
 from ledgerline.llm.simhash import SEED, components, numbered
 
 #: Words of an n-gram, and the similarity of a link in hundredths.
@@ -40,8 +44,12 @@ WORDS, PERCENT = 4, 85
 SETS, HEAD, HUBS = 1 << 20, 64, 4
 #: Share of columns that the first peeling looks at.
 SAMPLED = 0.25
-#: Cells of column loads: the least and the most, as powers of two.
-CELLS = (16, 20)
+#: Columns of a bucket; columns and rows that a task sends off together.
+BUCKET, BLOCK, TOGETHER = 1 << 21, 1 << 20, 1 << 16
+#: Bits of a hash beyond those that number all columns: one column in 2^SPARE_BITS is taken for shared by mistake.
+SPARE_BITS = 10
+#: Most bits of the filter of ids, as a power of two.
+FILTER_BITS = 28
 #: Bytes of texts whose words a task hashes at a time; entries that it combines at a time; rows that it remembers.
 AT_ONCE, ENTRIES, REMEMBERED = 1 << 18, 1 << 18, 1 << 20
 #: Ranges of columns between which pairs are dropped.
@@ -151,126 +159,217 @@ def _sid(found: list[np.ndarray]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], np.uint64).view(np.int64)
 
 
-def _sampled(hashes: np.ndarray) -> np.ndarray:
-    return hashes < np.uint64(int(SAMPLED * 2**64))
-
-
 def _documents(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id, sid, n and m (columns of the sample) of every document."""
+    """doc_id, sid and n of every document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(words)
         for batch in batches:
-            found = [(int(_sid([h])[0]), len(h), int(_sampled(h).sum())) for h in grams.of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[k] for x in found], pa.int64()) for k in range(3)]], names=["doc_id", "sid", "n", "m"])
+            found = [(int(_sid([h])[0]), len(h)) for h in grams.of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[k] for x in found], pa.int64()) for k in range(2)]], names=["doc_id", "sid", "n"])
 
-    return documents.select("doc_id", "text").mapInArrow(work, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, sid long, n long, m long")
+    return documents.select("doc_id", "text").mapInArrow(work, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, sid long, n long")
 
 
-# -- peeling -----------------------------------------------------------------------------------------
+# -- texts of rows -----------------------------------------------------------------------------------
 
 
-def _lists(sid: np.ndarray, key: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Keys by sid: distinct sids, and a list for each."""
-    order = np.argsort(sid, kind="stable")
-    starts = np.flatnonzero(np.concatenate([[True], np.diff(sid[order]) != 0])) if len(sid) else np.empty(0, np.int64)
-    return pa.array(sid[order][starts]), pa.ListArray.from_arrays(pa.array(np.append(starts, len(sid)).astype(np.int32)), pa.array(key[order]))
+def _places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Three places of ids, which are hashes, in a filter of 2^bits bits."""
+    ids = ids.view(np.uint64)
+    return [((ids ^ (ids >> np.uint64(29 + k))) * np.uint64(m)) >> np.uint64(64 - bits) for k, m in enumerate((0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))]
 
 
-def _shared(rows: DataFrame, sets_of) -> DataFrame:
-    """(sid, keys): of each row the columns that other rows have as well; rows without any are left out.
-
-    ``sets_of`` gives (sid, columns) of the rows in a batch.  A task combines what it has of a column: rows that meet
-    there already are sent to their row, and one stands for them where the column is put together.
-    """
+def _filter(rows: DataFrame, n: int):
+    """A broadcast Bloom filter of the ids (``least``, null like any other) that name n rows: of a document that it lets by mistake nothing depends."""
+    bits = min(FILTER_BITS, max(16, (8 * n).bit_length()))
 
-    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, waiting, held = set(), [], 0
-        for batch in batches:
-            for sid, columns in sets_of(batch):
-                if sid in seen or not len(columns):
-                    continue
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                seen.add(sid)
-                waiting.append((sid, columns.view(np.int64)))
-                held += len(columns)
-                if held >= ENTRIES:
-                    yield from combined(waiting)
-                    waiting, held = [], 0
-        if waiting:
-            yield from combined(waiting)
-
-    def combined(waiting) -> Iterator[pa.RecordBatch]:
-        key = np.concatenate([c for _, c in waiting])
-        sid = np.repeat(np.array([s for s, _ in waiting], np.int64), [len(c) for _, c in waiting])
-        order = np.lexsort((sid, key))
-        key, sid = key[order], sid[order]
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(key)) - 1
-        met = sid[starts] != sid[ends]
-        kind = np.where(met, 1, 0).astype(np.int8)
-        yield pa.RecordBatch.from_arrays([pa.array(key[starts]), pa.array(sid[starts]), pa.array(kind), pa.nulls(len(starts), pa.list_(pa.int64()))], names=["route", "sid", "kind", "keys"])
-        inside = met[np.cumsum(new) - 1]
-        own, lists = _lists(sid[inside], key[inside])
-        yield pa.RecordBatch.from_arrays([own, own, pa.array(np.full(len(own), 2, np.int8)), lists], names=["route", "sid", "kind", "keys"])
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int8)]
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.zeros(1 << (bits - 6), np.uint64)
         for batch in batches:
-            whole = pa.compute.equal(batch.column(2), 2)
-            ready = batch.filter(whole)
-            yield pa.RecordBatch.from_arrays([ready.column(1), ready.column(3)], names=["sid", "keys"])
-            plain = batch.filter(pa.compute.invert(whole))
-            cols = [np.concatenate([x, plain.column(k).to_numpy()]) for k, x in enumerate(left)]
-            if len(cols[0]):
-                last = int(np.searchsorted(cols[0], cols[0][-1]))
-                yield met(*[c[:last] for c in cols])
-                left = [c[last:] for c in cols]
-        yield met(*left)
-
-    def met(key, sid, kind) -> pa.RecordBatch:
-        """Rows sorted by key and sid."""
-        if not len(key):
-            return pa.RecordBatch.from_arrays(list(_lists(sid, key)), names=["sid", "keys"])
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        starts, group = np.flatnonzero(new), np.cumsum(new) - 1
-        ends = np.append(starts[1:], len(key)) - 1
-        several = (sid[starts] != sid[ends]) | np.maximum.reduceat(kind, starts).astype(bool)
-        wanted = several[group] & (kind == 0)
-        return pa.RecordBatch.from_arrays(list(_lists(sid[wanted], key[wanted])), names=["sid", "keys"])
-
-    given = rows.mapInArrow(give, "route long, sid long, kind byte, keys array<long>")
-    taken = given.repartition("route").sortWithinPartitions("route", "sid").mapInArrow(take, "sid long, keys array<long>")
-    return taken.groupBy("sid").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
+            for at in _places(batch.column(0).to_numpy(), bits):
+                np.bitwise_or.at(bitmap, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        some = np.flatnonzero(bitmap)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(bitmap[some].view(np.int64))], names=["word", "bits"])
+
+    words = rows.select(F.xxhash64("least").alias("id")).mapInArrow(work, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return rows.sparkSession.sparkContext.broadcast((bits, bitmap.view(np.uint64)))
+
+
+def _sets(documents: DataFrame, words: int, wanted, work, schema: str) -> DataFrame:
+    """``work`` over (sid, set, text) of the documents that a filter lets by (all without one), of each set once a task."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sets():
+            grams, seen = Grams(words), set()
+            for batch in batches:
+                texts = batch.column(1)
+                if wanted is not None:
+                    bits, bitmap = wanted.value
+                    let = [(bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) for at in _places(batch.column(0).to_numpy(), bits)]
+                    texts = texts.filter(pa.array((let[0] & let[1] & let[2]).astype(bool)))
+                for k, h in enumerate(grams.of(texts)):
+                    if not len(h) or (sid := int(_sid([h])[0])) in seen:
+                        continue
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(sid)
+                    yield sid, h, texts[k]
+
+        yield from work(sets())
+
+    return documents.select(F.xxhash64("doc_id").alias("id"), "text").mapInArrow(each, schema)
+
+
+def _texts(documents: DataFrame, words: int, wanted) -> DataFrame:
+    """(sid, text) of the rows that a filter lets by; a row may come several times."""
+
+    def work(sets) -> Iterator[pa.RecordBatch]:
+        sids, texts, held = [], [], 0
+        for sid, _, text in sets:
+            sids.append(sid)
+            texts.append(text.as_py())
+            held += len(texts[-1])
+            if held >= 1 << 22:
+                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(texts, pa.string())], names=["sid", "text"])
+                sids, texts, held = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(texts, pa.string())], names=["sid", "text"])
+
+    return _sets(documents, words, wanted, work, "sid long, text string")
 
 
-def _leading(n, percent: int):
-    """How many of a row's first columns hold one that any partner shares."""
-    return n - (percent * n + 99) // 100 + 1
+# -- peeling -----------------------------------------------------------------------------------------
 
 
-def _left(shared: DataFrame, rows: DataFrame, seen: str, percent: int) -> DataFrame:
-    """Rows (sid, n, ...) with ``keys`` whose columns of their own, of ``seen``, are too few to rule out a link."""
-    own = F.col(seen) - F.coalesce(F.size("keys"), F.lit(0))
-    need = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
-    return rows.join(shared, "sid", "left").withColumn("spare", (need - own).cast("long")).filter("spare > 0")
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers as planes of bytes, as many as the largest needs, so that equal high bytes lie side by side."""
+    values = values.astype(np.uint64)
+    planes = (int(values.max(initial=0)).bit_length() + 7) // 8
+    return bytes([planes]) + values.view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes() + (len(values).to_bytes(8, "little") if not planes else b"")
 
 
-# -- order -------------------------------------------------------------------------------------------
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = data[0]
+    if not planes:
+        return np.zeros(int.from_bytes(data[1:], "little"), np.uint64)
+    found = np.frombuffer(data, np.uint8, offset=1).reshape(planes, -1)
+    out = np.zeros((found.shape[1], 8), np.uint8)
+    out[:, :planes] = found.T
+    return out.view(np.uint64).ravel()
 
 
-def _cell(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows that are sorted by their first column, all of one value at a time."""
+    waiting: list[dict] = []
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {name: column[k].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+            key = batch.schema.names[0]
+            if waiting and waiting[0][key] != row[key]:
+                yield waiting
+                waiting = []
+            waiting.append(row)
+    if waiting:
+        yield waiting
 
 
-def _loads(keyed: DataFrame, bits: int) -> np.ndarray:
-    """A class of load for each cell of columns: the exponent, above the mean, of the entries counted."""
-    cells = keyed.select(F.explode("keys").alias("key")).groupBy(F.shiftrightunsigned("key", 64 - bits).cast("int").alias("cell")).count().toArrow()
-    counts = np.zeros(1 << bits)
-    counts[cells.column("cell").to_numpy()] = cells.column("count").to_numpy()
-    return np.floor(np.log2(np.maximum(counts / max(1.0, counts.sum() / len(counts)), 1.0))).astype(np.uint8)
+def _frequencies(documents: DataFrame, words: int, wanted, columns: int, share: float, whole: bool) -> DataFrame:
+    """(sid, own, classes): how many of a row's columns, among the first ``share`` of all hashes, no other row has.
+
+    ``columns``: about how many the rows have in all.  classes (``whole``): for each column of the row, in order, 0 if it
+    is its own, else the power of two of the number of rows that have it, a byte each.
+    """
+    bits = min(64, max(32, columns.bit_length() + SPARE_BITS))
+    span = int(share * 2**32)
+    buckets = max(1, -(-int(columns * share) // BUCKET), 2 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")) if columns * share > BUCKET else 1)
+
+    def give(sets) -> Iterator[pa.RecordBatch]:
+        origin, waiting, held = TaskContext.get().partitionId() << 32, [], 0
+        for sid, h, _ in sets:
+            h = h[: int(np.searchsorted(h >> np.uint64(32), np.uint64(span)))] if share < 1 else h
+            waiting.append((sid, h))
+            held += len(h)
+            if held >= BLOCK or len(waiting) >= TOGETHER:
+                yield sent(origin, waiting)
+                origin, waiting, held = origin + 1, [], 0
+        if waiting:
+            yield sent(origin, waiting)
+
+    def sent(origin: int, waiting) -> pa.RecordBatch:
+        key = np.concatenate([h for _, h in waiting]) >> np.uint64(64 - bits)
+        row = np.repeat(np.arange(len(waiting)), [len(h) for _, h in waiting])
+        order = np.argsort(key, kind="stable")
+        key, row = key[order], row[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        ends = np.append(starts[1:], len(key))
+        unique = key[starts]
+        bucket = ((unique >> np.uint64(bits - 32)) * np.uint64(buckets) // np.uint64(span)).astype(np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() if len(bucket) else [0]
+        rows = []
+        for a, b in zip(cuts, [*cuts[1:], len(unique)], strict=True):
+            names = np.array([sid for sid, _ in waiting], np.int64).tobytes() if a == cuts[0] else None
+            lo, hi = (int(starts[a]), int(ends[b - 1])) if b > a else (0, 0)
+            place = int(bucket[a]) if b > a else 0
+            base = np.uint64(place * span // buckets << bits - 32)
+            rows.append((place, origin, names, _packed(np.diff(unique[a:b], prepend=base)), _packed(ends[a:b] - starts[a:b]), _packed(row[lo:hi])))
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "origin", "sids", "keys", "counts", "rows"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pieces in _groups(batches):
+            keys = [np.cumsum(_unpacked(p["keys"]), dtype=np.uint64) for p in pieces]
+            counts = [_unpacked(p["counts"]).astype(np.int64) for p in pieces]
+            _, place = np.unique(np.concatenate(keys), return_inverse=True)
+            frequency = np.bincount(place, weights=np.concatenate(counts))
+            classes = (np.frexp(frequency)[1] - 1).astype(np.uint8)[place]
+            at = 0
+            for p, k, n in zip(pieces, keys, counts, strict=True):
+                mine = np.repeat(classes[at : at + len(k)], n)
+                at += len(k)
+                row = _unpacked(p["rows"]).astype(np.int64)
+                if whole:
+                    first, second = _packed(np.bincount(row)), mine[np.argsort(row, kind="stable")].tobytes()
+                else:
+                    first, second = _packed(np.bincount(row[mine == 0])), None
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((p["origin"], p["bucket"], p["sids"], first, second), kinds, strict=True)], names=["origin", "bucket", "sids", "counts", "classes"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pieces in _groups(batches):
+            sids = np.frombuffer(pieces[0]["sids"], np.int64)
+            counts = [_unpacked(p["counts"]).astype(np.int64) for p in pieces]
+            if not whole:
+                own = np.zeros(len(sids), np.int64)
+                for n in counts:
+                    own[: len(n)] += n
+                yield pa.RecordBatch.from_arrays([pa.array(sids), pa.array(own), pa.nulls(len(sids), pa.binary())], names=["sid", "own", "classes"])
+                continue
+            row = np.concatenate([np.repeat(np.arange(len(n)), n) for n in counts])
+            classes = np.concatenate([np.frombuffer(p["classes"], np.uint8) for p in pieces])[np.argsort(row, kind="stable")]
+            sizes = np.bincount(row, minlength=len(sids))
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            own = np.bincount(np.repeat(np.arange(len(sids)), sizes)[classes == 0], minlength=len(sids))
+            lists = pa.Array.from_buffers(pa.binary(), len(sids), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(classes.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(sids), pa.array(own), lists], names=["sid", "own", "classes"])
+
+    given = _sets(documents, words, wanted, give, "bucket int, origin long, sids binary, keys binary, counts binary, rows binary")
+    found = given.repartition("bucket").sortWithinPartitions("bucket", "origin").mapInArrow(count, "origin long, bucket int, sids binary, counts binary, classes binary")
+    return found.repartition("origin").sortWithinPartitions("origin", "bucket").mapInArrow(gather, "sid long, own long, classes binary")
+
+
+def _leading(n, percent: int):
+    """How many of a row's first columns hold one that any partner shares."""
+    return n - (percent * n + 99) // 100 + 1
+
+
+def _left(found: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (sid, n, ...) with classes and ``spare``, those whose own columns are too few to rule out a link."""
+    # A row that came twice, by a document that the filter let by, has no column of its own there: it counts as that says.
+    least = found.groupBy("sid").agg(F.min(F.struct("own", "classes")).alias("f"))
+    need = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    return rows.join(least, "sid").withColumn("spare", (need - F.col("f.own")).cast("long")).filter("spare > 0").withColumn("classes", F.col("f.classes")).drop("f")
 
 
 # -- blocks ------------------------------------------------------------------------------------------
@@ -288,16 +387,16 @@ def _runs(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, sid: np.ndarray, perc
     return order, np.flatnonzero(new)
 
 
-def _entries(keyed: DataFrame, percent: int, loads, bits: int) -> DataFrame:
-    """Leading shared columns of rows (sid, n, spare, keys) as runs (key, lo, hi, sid), and the chains inside of runs as rows (sid, sid, CHAIN, sid)."""
+def _entries(keyed: DataFrame, percent: int, words: int) -> DataFrame:
+    """Leading shared columns of rows (sid, n, spare, classes, text) as runs (key, lo, hi, sid), and the chains inside of runs as rows (sid, sid, CHAIN, sid)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        load, waiting, held = loads.value, [], 0
+        grams, waiting, held = Grams(words), [], 0
         for batch in batches:
-            lists = batch.column(3)
-            for sid, n, spare, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), lists, strict=True):
-                h = keys.values.to_numpy().view(np.uint64)
-                first = h[np.lexsort((h, load[_cell(h, bits)]))[:spare]].view(np.int64)
+            for sid, n, spare, classes, h in zip(*[batch.column(k).to_pylist() for k in range(4)], grams.of(batch.column(4)), strict=True):
+                classes = np.frombuffer(classes, np.uint8)
+                shared = np.flatnonzero(classes)
+                first = h[shared[np.argsort(classes[shared], kind="stable")[:spare]]].view(np.int64)
                 waiting.append((first, np.full(len(first), n), np.full(len(first), sid)))
                 held += len(first)
                 if held >= ENTRIES:
@@ -310,7 +409,7 @@ def _entries(keyed: DataFrame, percent: int, loads, bits: int) -> DataFrame:
         key, n, sid = (np.concatenate(c) for c in zip(*waiting, strict=True))
         return _combined(key, n, n, sid, percent, False)
 
-    return keyed.select("sid", "n", "spare", "keys").mapInArrow(work, "key long, lo long, hi long, sid long")
+    return keyed.select("sid", "n", "spare", "classes", "text").mapInArrow(work, "key long, lo long, hi long, sid long")
 
 
 def _combined(key, lo, hi, sid, percent: int, last: bool) -> pa.RecordBatch:
@@ -427,8 +526,8 @@ def _reaches(near: np.ndarray, columns, starts, sizes, marked, n: int, percent:
     return alive
 
 
-def _multiplied(cells: DataFrame, percent: int, labelled: bool) -> DataFrame:
-    """(a, b) of rows (sid, root, side, key, lo, hi, values) dealt out to cells (key, lo, hi)."""
+def _multiplied(cells: DataFrame, percent: int, words: int, labelled: bool) -> DataFrame:
+    """(a, b) of rows (sid, root, side, key, lo, hi, text) dealt out to cells (key, lo, hi)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -447,35 +546,36 @@ def _multiplied(cells: DataFrame, percent: int, labelled: bool) -> DataFrame:
 
     def compare(table: pa.Table) -> pa.RecordBatch:
         some, cell, side = numbered(table)
-        sid, roots, lists = table.column("sid").to_numpy()[some], table.column("root").to_numpy()[some], table.column("values").combine_chunks()
-        a, b = [], []
+        sid, roots, texts = table.column("sid").to_numpy()[some], table.column("root").to_numpy()[some], table.column("text").combine_chunks().take(pa.array(some))
+        a, b, grams = [], [], Grams(words)
         edges = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])).tolist() if len(cell) else []
         for s, e in zip(edges, [*edges[1:], len(cell)], strict=True):
-            sets = [lists[int(k)].values.to_numpy().view(np.uint64) for k in some[s:e]]
+            sets = list(grams.of(texts.slice(s, e - s)))
             for i, j in product(sets, percent, side[s:e] if side[s:e].any() else None, roots[s:e] if labelled else None):
                 a.append(sid[s + i])
                 b.append(sid[s + j])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    placed = cells.select("sid", "root", "side", "key", "lo", "hi", "values").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "sid")
+    placed = cells.select("sid", "root", "side", "key", "lo", "hi", "text").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "sid")
     return placed.mapInArrow(work, "a long, b long")
 
 
-def _links(rows: DataFrame, percent: int, most: int) -> DataFrame:
-    """(a, b): links that connect all rows (sid, n, key, values) of a block (key) that links connect."""
-    weights = rows.groupBy("key").agg(F.sum(F.col("n") + HEAD).alias("w"))
+def _links(met: DataFrame, rows: DataFrame, percent: int, words: int, most: int) -> DataFrame:
+    """(a, b): links that connect all rows of a block (key) that links connect; ``met`` has their (sid, n, key), ``rows`` their text as well."""
+    weights = met.groupBy("key").agg(F.sum(F.col("n") + HEAD).alias("w"))
     big, blocks = counted(weights.filter(F.col("w") > most).select("key", F.ceil(F.col("w") / F.lit(most)).cast("int").alias("chunks")))
     zero, one = F.lit(0), F.lit(-1)
     alone = rows if not blocks else rows.join(F.broadcast(big) if blocks <= 100_000 else big, "key", "left_anti")
-    links = _multiplied(alone.select("sid", F.col("sid").alias("root"), zero.alias("side"), "key", one.alias("lo"), one.alias("hi"), "values"), percent, False)
+    links = _multiplied(alone.select("sid", F.col("sid").alias("root"), zero.alias("side"), "key", one.alias("lo"), one.alias("hi"), "text"), percent, words, False)
     if not blocks:
         return compact(links)
-    large = compact(rows.join(F.broadcast(big) if blocks <= 100_000 else big, "key").withColumn("c", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")))
+    large = rows.join(F.broadcast(big) if blocks <= 100_000 else big, "key").dropDuplicates(["sid"])
+    large = compact(large.withColumn("c", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")))
     # Each chunk with itself and the hubs of its block.
     hubs = compact(large.groupBy("key", F.pmod("sid", F.lit(HUBS)).alias("part")).agg(F.min("sid").alias("sid")).select("key", "sid"))
     guests = large.join(F.broadcast(hubs) if blocks <= 25_000 else hubs, ["key", "sid"]).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    own = large.select("key", "sid", "values", "c").union(guests.filter("o <> c").select("key", "sid", "values", "o"))
-    links = compact(links.union(_multiplied(own.select("sid", F.col("sid").alias("root"), zero.alias("side"), "key", F.col("c").alias("lo"), F.col("c").alias("hi"), "values"), percent, False)))
+    own = large.select("key", "sid", "text", "c").union(guests.filter("o <> c").select("key", "sid", "text", "o"))
+    links = compact(links.union(_multiplied(own.select("sid", F.col("sid").alias("root"), zero.alias("side"), "key", F.col("c").alias("lo"), F.col("c").alias("hi"), "text"), percent, words, False)))
     # What isn't connected with the most of its block meets all chunks.
     roots = components(links, "a", "b")
     labelled = compact(large.select("key", "sid", "n", "c", "chunks").join(roots, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid")).drop("node"))
@@ -491,8 +591,8 @@ def _links(rows: DataFrame, percent: int, most: int) -> DataFrame:
     marked = marked.withColumn("at", place)
     others = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("minors") + F.col("chunks") - 1)).otherwise(F.sequence(F.lit(0), F.col("minors") - 1))
     cells = marked.withColumn("o", F.explode(others)).select("key", "sid", "root", F.least("at", "o").alias("lo"), F.greatest("at", "o").alias("hi"), F.when(F.col("at") == F.col("o"), 0).when(F.col("at") < F.col("o"), 1).otherwise(2).alias("side"))
-    dealt = compact(cells).join(large.select("key", "sid", "values"), ["key", "sid"])
-    return compact(links.union(_multiplied(dealt, percent, True)))
+    dealt = compact(cells).join(large.select("key", "sid", "text"), ["key", "sid"])
+    return compact(links.union(_multiplied(dealt, percent, words, True)))
 
 
 def similarity_groups(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, most: int = SETS) -> DataFrame:
@@ -506,32 +606,25 @@ def similarity_groups(documents: DataFrame, words: int = WORDS, percent: int = P
     empty table gives no rows.
     """
     named = own_columns(documents, ["doc_id", "text"])
-    docs = compact(_documents(named, words))
-    rows = compact(docs.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("m").alias("m")))
-
-    def of_texts(batch):
-        for h in Grams(words).of(batch.column(0)):
-            yield int(_sid([h])[0]), h[_sampled(h)]
-
-    def of_sets(batch):
-        for sid, h in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            yield sid, h.values.to_numpy().view(np.uint64)
-
-    first = compact(_left(_shared(named.select("text"), of_texts), rows, "m", percent).select("sid", "least", "n"))
+    docs, every = counted(_documents(named, words))
+    rows, distinct = counted(docs.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")))
+    columns = lambda df: df.agg(F.sum("n")).first()[0] or 0
     # Each step is checkpointed: its shuffles go before the next one makes its own, however large the driver's heap is.
     release(named)
-    sets = _whole(first, named, words)
-    keyed, some = counted(_left(_shared(sets.select("sid", "values"), of_sets), first.drop("least"), "n", percent).filter("keys is not null").select("sid", "n", "spare", "keys"))
+    named_once = None if every == distinct else _filter(rows, distinct)
+    first, some = counted(_left(_frequencies(named, words, named_once, columns(rows), SAMPLED, False), rows, percent).select("sid", "least", "n"))
     release(named)
-    bits = min(CELLS[1], max(CELLS[0], (16 * max(1, some)).bit_length()))
-    loads = named.sparkSession.sparkContext.broadcast(_loads(keyed, bits))
-    blocks = compact(components(_chains(_entries(keyed, percent, loads, bits), percent), "a", "b"))
+    wanted = _filter(first, some)
+    keyed, some = counted(_left(_frequencies(named, words, wanted, columns(first), 1, True), first, percent).select("sid", "least", "n", "spare", "classes"))
+    release(named)
+    wanted = _filter(keyed, some)
+    blocks = compact(components(_chains(_entries(_texts(named, words, wanted).join(keyed, "sid"), percent, words), percent), "a", "b"))
     # A block's root is named by the others alone.
     blocks = blocks.union(blocks.select("root", "root").distinct())
     release(named)
-    met = compact(sets.join(blocks, F.col("sid") == F.col("node")).select("sid", "n", F.col("root").alias("key"), "values"))
+    met, some = counted(keyed.select("sid", "n").join(blocks, F.col("sid") == F.col("node")).select("sid", "n", F.col("root").alias("key")))
     release(named)
-    links = _links(met, percent, most)
+    links = _links(met, _texts(named, words, wanted).join(F.broadcast(met) if some <= 1_000_000 else met, "sid"), percent, words, most)
     roots = components(links, "a", "b")
     grouped = compact(rows.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("root", "sid").alias("root")))
     least = compact(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
@@ -540,21 +633,3 @@ def similarity_groups(documents: DataFrame, words: int = WORDS, percent: int = P
     full = docs.filter("n > 0").join(by_set, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.union(docs.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
-
-def _whole(wanted: DataFrame, documents: DataFrame, words: int) -> DataFrame:
-    """sid, n and values (the whole set) of rows (sid, least, n); texts are read again only where an id names one."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(words)
-        for batch in batches:
-            found = list(grams.of(batch.column(0)))
-            for s in range(0, len(found), 256):
-                part = found[s : s + 256]
-                yield pa.RecordBatch.from_arrays([pa.array(_sid(part)), pa.array([h.view(np.int64) for h in part], pa.list_(pa.int64()))], names=["sid", "values"])
-
-    ids = wanted.filter("least is not null").select(F.col("least").alias("doc_id")).distinct()
-    texts = among(documents, ids, "doc_id").union(documents.filter("doc_id is null"))
-    made = texts.select("text").mapInArrow(work, "sid long, values array<long>").dropDuplicates(["sid"])
-    out = compact(wanted.select("sid", "n").join(made, "sid"))
-    release(documents)
-    return out
