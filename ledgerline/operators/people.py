@@ -21,17 +21,23 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else settled(df)
 
 
-def resolved(df: DataFrame, registry: DataFrame, email: str, name: str, prefix: str = "person") -> DataFrame:
-    """Add <prefix>_name, <prefix>_org and <prefix>_resolved: by address first, then by name, both trimmed and in lower case.
-
-    A miss keeps the row's own name and gets the organisation "Unknown".  Of a key that the registry lists
-    twice, the smallest canonical id counts.
-    """
+def keys_of(registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A registry's rows by address and by name, both trimmed and in lower case; made once for all that is resolved against it."""
     rows = registry.count()
     known = F.struct("canonical_id", "name", "org")
     by_mail = registry.select(F.explode("emails").alias("_reg_key"), known.alias("_reg_row")).groupBy(F.lower(F.trim("_reg_key")).alias("_reg_mail_key")).agg(F.min("_reg_row").alias("_reg_by_mail"))
     by_name = registry.groupBy(F.lower(F.trim("name")).alias("_reg_name_key")).agg(F.min(known).alias("_reg_by_name"))
-    out = df.join(_sized(by_mail, rows), F.lower(F.trim(email)) == F.col("_reg_mail_key"), "left").join(_sized(by_name, rows), F.lower(F.trim(name)) == F.col("_reg_name_key"), "left")
+    return _sized(by_mail, rows), _sized(by_name, rows)
+
+
+def resolved(df: DataFrame, registry: DataFrame | tuple[DataFrame, DataFrame], email: str, name: str, prefix: str = "person") -> DataFrame:
+    """Add <prefix>_name, <prefix>_org and <prefix>_resolved: by address first, then by name, both trimmed and in lower case.
+
+    A miss keeps the row's own name and gets the organisation "Unknown".  Of a key that the registry lists
+    twice, the smallest canonical id counts.  ``registry``: the table, or its ``keys_of``.
+    """
+    by_mail, by_name = registry if isinstance(registry, tuple) else keys_of(registry)
+    out = df.join(by_mail, F.lower(F.trim(email)) == F.col("_reg_mail_key"), "left").join(by_name, F.lower(F.trim(name)) == F.col("_reg_name_key"), "left")
     hit = F.coalesce("_reg_by_mail", "_reg_by_name")
     out = out.withColumn(f"{prefix}_name", F.coalesce(hit["name"], F.col(name))).withColumn(f"{prefix}_org", F.coalesce(hit["org"], F.lit("Unknown"))).withColumn(f"{prefix}_resolved", hit.isNotNull())
     return out.drop("_reg_mail_key", "_reg_name_key", "_reg_by_mail", "_reg_by_name")

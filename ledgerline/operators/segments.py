@@ -7,12 +7,14 @@ the two aren't mixed.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import strip, without_parentheses
-from ledgerline.operators.people import listed, resolved
+from ledgerline.operators.people import keys_of, listed, resolved
 from ledgerline.operators.sequences import batches
 
 # The forms of header lines, speech marks, image placeholders, closings and dates in the archive's files.
@@ -107,63 +109,108 @@ def messages(lines: DataFrame, banner: str | None = None) -> DataFrame:
     something was read; of a field twice the later counts.  From the body go the banner and lines with image
     placeholders (which are noted); it ends before a closing phrase or a line that is just the sender's name.
     """
-    t = lines.withColumn("t", strip(F.col("text"))).withColumn("begins", F.col("t").rlike(FROM))
-    n = F.sum(F.col("begins").cast("int")).over(_order().rowsBetween(Window.unboundedPreceding, 0))
-    t = t.withColumn("_some", F.bool_or("begins").over(_by())).filter("_some").withColumn("n", F.greatest(n, F.lit(1)) - 1)
-    block = Window.partitionBy("doc_id", "n").orderBy("line_no")
-    so_far = block.rowsBetween(Window.unboundedPreceding, 0)
     shapes = {"subject": r"^Subject:\s*(.*)$", "date": r"^(?:Date|Sent):\s*(.+)$", "to": r"^To:\s*(.*)$", "cc": r"^Cc:\s*(.*)$", "from": FROM, "count": r"^Messages in thread:\s*(\d+)$"}
-    key = F.coalesce(*[F.when(F.col("t").rlike(p), k) for k, p in shapes.items()])
-    value = F.coalesce(*[F.when(F.col("t").rlike(p), F.trim(F.regexp_extract("t", p, 1))) for p in shapes.values()])
-    t = t.withColumn("k", key).withColumn("v", value).withColumn("read", F.max(F.col("k").isNotNull()).over(so_far))
+    # What a line of such a shape begins with, which is told faster.
+    begin = {"subject": ("Subject:",), "date": ("Date:", "Sent:"), "to": ("To:",), "cc": ("Cc:",), "from": ("From:",), "count": ("Messages in thread:",)}
+    is_a = lambda k: reduce(or_, [F.startswith("t", F.lit(x)) for x in begin[k]]) & F.col("t").rlike(shapes[k])
+    t = lines.withColumn("t", strip(F.col("text"))).withColumn("k", F.coalesce(*[F.when(is_a(k), k) for k in shapes]))
+    t = t.withColumn("v", F.coalesce(*[F.when(F.col("k") == k, F.trim(F.regexp_extract("t", p, 1))) for k, p in shapes.items()]))
+    begins = F.col("k") == "from"
+    t = t.withColumn("who", F.when(begins, F.try_element_at(listed(F.col("v")), F.lit(1))["name"])).withColumn("image", F.col("t").rlike(IMAGE))
+    n = F.sum(F.when(begins, 1).otherwise(0)).over(_so_far())
+    t = t.withColumn("n", F.greatest(n, F.lit(1)) - 1)
+    # Windows of a message lie within its document's: lines are neither shuffled nor joined here, however many they are.
     whole = Window.partitionBy("doc_id", "n")
-    t = t.withColumn("end", F.min(F.when((F.col("t") == "") & F.col("read"), F.col("line_no"))).over(whole))
-    in_head = F.col("end").isNull() | (F.col("line_no") < F.col("end"))
-    keyed = t.filter(in_head & F.col("k").isNotNull()).groupBy("doc_id", "n", "k").agg(F.max_by("v", "line_no").alias("v"))
-    fields = keyed.groupBy("doc_id", "n").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("fields"))
-    body = t.filter((F.col("line_no") > F.col("end")) & ~F.col("t").eqNullSafe(F.lit(banner))).join(fields, ["doc_id", "n"])
-    sender = F.element_at(listed(F.try_element_at("fields", F.lit("from"))), 1)["name"]
-    body = body.withColumn("image", F.col("t").rlike(IMAGE))
-    closing = ~F.col("image") & (F.col("t").rlike(CLOSING) | ((F.col("t") != "") & (F.lower("t") == F.lower(sender))))
-    body = body.withColumn("cut", F.min(F.when(closing, F.col("line_no"))).over(whole))
-    kept = ~F.col("image") & (F.col("t") != "") & (F.col("cut").isNull() | (F.col("line_no") < F.col("cut")))
-    texts = body.groupBy("doc_id", "n").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(kept, F.struct("line_no", "t")))), lambda x: x["t"]), " ").alias("text"), F.bool_or("image").alias("has_image"))
-    bounds = t.groupBy("doc_id", "n").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
-    out = bounds.join(fields, ["doc_id", "n"], "left").join(texts, ["doc_id", "n"], "left")
-    return out.select("doc_id", F.col("n").cast("int").alias("index"), "fields", "first_line", "last_line", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("has_image", F.lit(False)).alias("has_image"))
+    t = t.withColumn("read", F.min(F.when(F.col("k").isNotNull(), F.col("line_no"))).over(whole))
+    t = t.withColumn("sender", F.max("who").over(whole)).withColumn("sent", F.max(F.when(begins, F.col("line_no"))).over(whole))
+    t = t.withColumn("end", F.min(F.when((F.col("t") == "") & (F.col("line_no") > F.col("read")), F.col("line_no"))).over(whole))
+    head = lambda at: F.col("end").isNull() | (F.col(at) < F.col("end"))
+    t = t.withColumn("body", F.coalesce((F.col("line_no") > F.col("end")) & ~F.col("t").eqNullSafe(F.lit(banner)), F.lit(False)))
+    closing = F.col("body") & ~F.col("image") & (F.col("t").rlike(CLOSING) | ((F.col("t") != "") & head("sent") & (F.lower("t") == F.lower("sender"))))
+    t = t.withColumn("cut", F.min(F.when(closing, F.col("line_no"))).over(whole))
+    kept = F.col("body") & ~F.col("image") & (F.col("t") != "") & (F.col("cut").isNull() | (F.col("line_no") < F.col("cut")))
+    last = lambda k: F.max_by("v", F.when(head("line_no") & (F.col("k") == k), F.col("line_no")))
+    out = t.groupBy("doc_id", "n").agg(
+        F.array(*[F.struct(F.lit(k).alias("k"), last(k).alias("v")) for k in shapes]).alias("found"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.max("sent").alias("sent"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(kept, F.struct("line_no", "t")))), lambda x: x["t"]), " ").alias("text"), F.bool_or(F.col("body") & F.col("image")).alias("has_image"),
+    ).filter("sent is not null")
+    some = F.filter("found", lambda x: x["v"].isNotNull())
+    fields = F.when(F.size(some) > 0, F.map_from_entries(some))
+    return out.select("doc_id", F.col("n").cast("int").alias("index"), fields.alias("fields"), "first_line", "last_line", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("has_image", F.lit(False)).alias("has_image"))
+
+
+def _field(k: str):
+    return F.try_element_at("fields", F.lit(k))
+
+
+def _sender():
+    """(name, email) of a message's sender, the name "" where there is none."""
+    first = F.try_element_at(listed(_field("from")), F.lit(1))
+    return F.struct(F.coalesce(first["name"], F.lit("")).alias("name"), first["email"].alias("email"))
+
+
+def _recipients():
+    """(name, email) of those that a message is sent to, then of those that get a copy."""
+    none = F.array().cast("array<struct<name:string,email:string>>")
+    return F.concat(*[F.coalesce(listed(_field(k)), none) for k in ("to", "cc")])
 
 
 def email_segments(lines: DataFrame, registry: DataFrame, banner: str | None = None) -> DataFrame:
     """Segments of English mail threads; messages without body text are left out."""
     m = messages(lines, banner).filter("text <> ''")
-    field = lambda k: F.try_element_at("fields", F.lit(k))
-    m = m.withColumn("_s", F.try_element_at(listed(field("from")), F.lit(1)))
-    m = m.withColumn("_sn", F.coalesce("_s.name", F.lit(""))).withColumn("_se", F.col("_s.email"))
-    m = resolved(m, registry, "_se", "_sn", "p")
-    none = F.array().cast("array<struct<name:string,email:string>>")
-    to = m.select("doc_id", "index", F.posexplode(F.concat(F.coalesce(listed(field("to")), none), F.coalesce(listed(field("cc")), none))).alias("pos", "r")).select("doc_id", "index", "pos", F.col("r.name").alias("rn"), F.col("r.email").alias("re"))
-    to = resolved(to, registry, "re", "rn", "q")
+    known = keys_of(registry)
+    m = m.withColumn("_s", _sender())
+    m = m.withColumn("_sn", F.col("_s.name")).withColumn("_se", F.col("_s.email"))
+    m = resolved(m, known, "_se", "_sn", "p")
+    to = m.select("doc_id", "index", F.posexplode(_recipients()).alias("pos", "r")).select("doc_id", "index", "pos", F.col("r.name").alias("rn"), F.col("r.email").alias("re"))
+    to = resolved(to, known, "re", "rn", "q")
     packed = to.groupBy("doc_id", "index").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.struct(F.col("q_name").alias("name"), F.col("re").alias("email"), F.col("q_resolved").alias("resolved")).alias("p")))), lambda x: x["p"]).alias("recipients"))
     m = m.join(packed, ["doc_id", "index"], "left")
     position = F.struct(F.lit("message").alias("type"), "index", F.lit(None).cast("string").alias("timestamp"), F.array("first_line", "last_line").cast("array<int>").alias("line_range"))
     return m.select(
         "doc_id", F.format_string("%s#m%04d", "doc_id", "index").alias("segment_id"), position.alias("position"), F.col("p_name").alias("speaker_or_author"), F.col("p_org").alias("speaker_org"),
         F.col("p_resolved").alias("speaker_resolved"), F.coalesce("recipients", F.array().cast("array<struct<name:string,email:string,resolved:boolean>>")).alias("recipients"),
-        mail_date(field("date")).alias("effective_date"), "text", field("subject").alias("subject"), F.col("has_image").alias("contains_image_placeholder"),
+        mail_date(_field("date")).alias("effective_date"), "text", _field("subject").alias("subject"), F.col("has_image").alias("contains_image_placeholder"),
     )
 
 
+def _spoken(talks: DataFrame) -> DataFrame:
+    """Facts of transcripts from their headers."""
+    field = lambda k: F.try_element_at("meta", F.lit(k))
+    return transcript_meta(talks).select("doc_id", F.lit("transcript").alias("doc_type"), field("Date").alias("doc_date"), field("Meeting").alias("title"), field("Phase").alias("phase"), F.lit(None).cast("int").alias("declared"), F.contains(F.upper("doc_id"), F.lit("INTERNAL")).alias("is_internal"), "participants")
+
+
 def document_meta(lines: DataFrame, segments: DataFrame) -> DataFrame:
     """One row a document: doc_id, doc_type, doc_date, title or subject, declared and parsed messages, is_internal, participants."""
     talks, threads = lines.filter("doc_type = 'transcript'"), lines.filter("doc_type = 'email'")
-    meta = transcript_meta(talks)
-    field = lambda k: F.try_element_at("meta", F.lit(k))
-    spoken = meta.select("doc_id", F.lit("transcript").alias("doc_type"), field("Date").alias("doc_date"), field("Meeting").alias("title"), field("Phase").alias("phase"), F.lit(None).cast("int").alias("declared"), F.contains(F.upper("doc_id"), F.lit("INTERNAL")).alias("is_internal"), "participants")
-    first = messages(threads).filter("index = 0").select("doc_id", F.try_element_at("fields", F.lit("subject")).alias("title"), F.try_element_at("fields", F.lit("count")).cast("int").alias("declared"))
+    first = messages(threads).filter("index = 0").select("doc_id", _field("subject").alias("title"), _field("count").cast("int").alias("declared"))
     found = segments.filter("position.type = 'message'").groupBy("doc_id").agg(F.min_by("effective_date", "position.index").alias("doc_date"), F.sort_array(F.array_distinct(F.concat(F.collect_set("speaker_or_author"), F.flatten(F.collect_list(F.transform("recipients", lambda r: r["name"])))))).alias("participants"))
     mails = first.join(found, "doc_id", "left").select("doc_id", F.lit("email_thread").alias("doc_type"), "doc_date", "title", F.lit(None).cast("string").alias("phase"), "declared", F.lit(False).alias("is_internal"), F.coalesce("participants", F.array().cast("array<string>")).alias("participants"))
     counts = segments.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parsed"))
-    return spoken.unionByName(mails).join(counts, "doc_id", "left").withColumn("parsed", F.coalesce("parsed", F.lit(0)))
+    return _spoken(talks).unionByName(mails).join(counts, "doc_id", "left").withColumn("parsed", F.coalesce("parsed", F.lit(0)))
+
+
+def document_facts(talks: DataFrame, threads: DataFrame, registry: DataFrame, banner: str | None = None) -> DataFrame:
+    """``document_meta`` of the lines of transcripts and of mails and the segments that ``parse`` makes of them, from the lines alone.
+
+    Lines that are dealt out by doc_id stay where they are (so the kinds are given apart: a union would lose that), messages are read
+    once and put together by thread, and what is shuffled is a row for each of a thread's people, not for each message and recipient.
+    """
+    spoken = _spoken(talks).join(utterances(talks).groupBy("doc_id").agg(F.count(F.lit(1)).alias("parsed")), "doc_id", "left")
+    said, first = F.col("text") != "", F.col("index") == 0
+    m = messages(threads, banner).withColumn("people", F.when(said, F.array_distinct(F.concat(F.array(_sender()), _recipients()))))
+    facts = m.groupBy("doc_id").agg(
+        F.struct(
+            F.min_by(mail_date(_field("date")), F.when(said, F.col("index"))).alias("doc_date"), F.max(F.when(first, _field("subject"))).alias("title"),
+            F.max(F.when(first, _field("count"))).cast("int").alias("declared"), F.count(F.when(said, 1)).alias("parsed"),
+        ).alias("facts"),
+        F.array_distinct(F.flatten(F.collect_set("people"))).alias("people"),
+    )
+    # A thread's facts go with the first of its people (or with none, if it has no text).
+    each = facts.select("doc_id", "facts", F.posexplode_outer("people").alias("pos", "r")).select("doc_id", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("facts")).alias("facts"), F.col("r.name").alias("rn"), F.col("r.email").alias("re"))
+    named = resolved(each, keys_of(registry), "re", "rn", "q").groupBy("doc_id").agg(F.max("facts").alias("f"), F.sort_array(F.collect_set("q_name")).alias("participants"))
+    mails = named.select("doc_id", F.lit("email_thread").alias("doc_type"), "f.doc_date", "f.title", F.lit(None).cast("string").alias("phase"), "f.declared", F.lit(False).alias("is_internal"), "participants", "f.parsed")
+    return spoken.unionByName(mails).withColumn("parsed", F.coalesce("parsed", F.lit(0)))
 
 
 def parse(lines: DataFrame, registry: DataFrame, banner: str | None = None) -> DataFrame:

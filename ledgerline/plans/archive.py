@@ -143,17 +143,17 @@ def q49_utterance_segments(spark, d):
     )
 
 
-def _thread_lines(spark: SparkSession, d: str) -> DataFrame:
-    """A mail thread a customer with a message an order; every third order's message holds an image."""
-    o = _by_customer(spark, d)
+def _thread_lines(spark: SparkSession, d: str, prefix: str = "") -> DataFrame:
+    """A mail thread a customer with a message an order; every third order's message holds an image.  ``prefix``: what its id begins with."""
+    o = _by_customer(spark, d, prefix)
     w = Window.partitionBy("o_custkey")
     first = F.row_number().over(w.orderBy("o_orderkey")) == 1
-    key, who = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    key, who = F.col("o_orderkey").cast("string"), F.substr("o_custkey", F.lit(len(prefix) + 1))
     month = F.element_at(F.array(*[F.lit(name) for name in X.MONTHS["en"]]), F.month("o_orderdate"))
     mail = F.concat(
         F.when(first, F.concat(F.lit("Messages in thread: "), F.count(F.lit(1)).over(w).cast("string"), F.lit("\n"))).otherwise(""),
         F.lit("From: Buyer <C"), who, F.lit("@Example.com>\nDate: Monday, "), month, F.lit(" "), F.dayofmonth("o_orderdate").cast("string"), F.lit(", "), F.year("o_orderdate").cast("string"),
-        F.lit(" 10:00 AM\nTo: Sales; Someone <c"), (F.col("o_custkey").cast("long") + 1).cast("string"), F.lit("@example.com>\nCc: Archive <archive@example.com>\nSubject: Order "), key,
+        F.lit(" 10:00 AM\nTo: Sales; Someone <c"), (who.cast("long") + 1).cast("string"), F.lit("@example.com>\nCc: Archive <archive@example.com>\nSubject: Order "), key,
         F.lit(f"\n\n{BANNER}\nOrder "), key, F.lit(" is late.\n"), F.when(F.col("o_orderkey") % 3 == 0, "[cid:logo.png]\n").otherwise(""), F.lit("Please ship.\n\nThanks\nBuyer"),
     )
     return _as_lines(o.select("o_custkey", F.col("o_orderkey").alias("seq"), mail.alias("text")), "o_custkey", "email")
@@ -204,10 +204,7 @@ SELECT * FROM talks UNION ALL SELECT * FROM mails
 )
 def q51_document_meta(spark, d):
     """One row a document of both kinds: title, date, people, messages declared and found."""
-    meeting, thread = _meeting_lines(spark, d), _thread_lines(spark, d).withColumn("doc_id", F.concat(F.lit("thread "), "doc_id"))
-    registry = _customers(spark, d)
-    found = segments.transcript_segments(meeting, registry).unionByName(segments.email_segments(thread, registry, BANNER))
-    meta = segments.document_meta(meeting.unionByName(thread), found)
+    meta = segments.document_facts(_meeting_lines(spark, d), _thread_lines(spark, d, "thread "), _customers(spark, d), BANNER)
     return meta.select("doc_id", "doc_type", "doc_date", "title", "declared", "parsed", F.array_join("participants", "; ").alias("participants"))
 
 

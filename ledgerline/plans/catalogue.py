@@ -589,9 +589,9 @@ def q43_thread_units(spark, d):
     return parsed.units.select("doc_id", "unit_no", "name", F.col("sent").cast("string").alias("sent"), F.size("lines").alias("n_lines"), F.col("lines")[0]["position"].alias("position"))
 
 
-def _by_customer(spark: SparkSession, d: str) -> DataFrame:
-    """Orders dealt out by the text of their customer's number, the id of the thread that they become: one shuffle for windows, threads and lines."""
-    o = _t(spark, d, "orders").withColumn("o_custkey", F.col("o_custkey").cast("string"))
+def _by_customer(spark: SparkSession, d: str, prefix: str = "") -> DataFrame:
+    """Orders dealt out by ``prefix`` and the text of their customer's number, the id of the thread that they become: one shuffle for windows, threads and lines."""
+    o = _t(spark, d, "orders").withColumn("o_custkey", F.concat(F.lit(prefix), F.col("o_custkey").cast("string")))
     return _dealt(o, "o_custkey", MAIL * o.count())
 
 
