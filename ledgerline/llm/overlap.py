@@ -286,18 +286,21 @@ def _frequencies(documents: DataFrame, words: int, wanted, columns: int, share:
     buckets = max(1, -(-int(columns * share) // BUCKET), 2 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")) if columns * share > BUCKET else 1)
 
     def give(sets) -> Iterator[pa.RecordBatch]:
-        origin, waiting, held = TaskContext.get().partitionId() << 32, [], 0
+        number, waiting, held = TaskContext.get().partitionId() << 32, [], 0
         for sid, h, _ in sets:
             h = h[: int(np.searchsorted(h >> np.uint64(32), np.uint64(span)))] if share < 1 else h
             waiting.append((sid, h))
             held += len(h)
             if held >= BLOCK or len(waiting) >= TOGETHER:
-                yield sent(origin, waiting)
-                origin, waiting, held = origin + 1, [], 0
+                yield sent(number, waiting)
+                number, waiting, held = number + 1, [], 0
         if waiting:
-            yield sent(origin, waiting)
+            yield sent(number, waiting)
 
-    def sent(origin: int, waiting) -> pa.RecordBatch:
+    def sent(number: int, waiting) -> pa.RecordBatch:
+        sids = np.array([sid for sid, _ in waiting], np.int64)
+        # Named by its rows as well: should a task that is run again get them in another order, nothing is put together with what it sent before.
+        origin = int(_sid([np.append(sids, number)])[0])
         key = np.concatenate([h for _, h in waiting]) >> np.uint64(64 - bits)
         row = np.repeat(np.arange(len(waiting)), [len(h) for _, h in waiting])
         order = np.argsort(key, kind="stable")
@@ -309,7 +312,7 @@ def _frequencies(documents: DataFrame, words: int, wanted, columns: int, share:
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() if len(bucket) else [0]
         rows = []
         for a, b in zip(cuts, [*cuts[1:], len(unique)], strict=True):
-            names = np.array([sid for sid, _ in waiting], np.int64).tobytes() if a == cuts[0] else None
+            names = sids.tobytes() if a == cuts[0] else None
             lo, hi = (int(starts[a]), int(ends[b - 1])) if b > a else (0, 0)
             place = int(bucket[a]) if b > a else 0
             base = np.uint64(place * span // buckets << bits - 32)
@@ -395,6 +398,8 @@ def _entries(keyed: DataFrame, percent: int, words: int) -> DataFrame:
         for batch in batches:
             for sid, n, spare, classes, h in zip(*[batch.column(k).to_pylist() for k in range(4)], grams.of(batch.column(4)), strict=True):
                 classes = np.frombuffer(classes, np.uint8)
+                if len(classes) != len(h):
+                    raise RuntimeError("columns were counted in part: rows came in another order when a task was run again")
                 shared = np.flatnonzero(classes)
                 first = h[shared[np.argsort(classes[shared], kind="stable")[:spare]]].view(np.int64)
                 waiting.append((first, np.full(len(first), n), np.full(len(first), sid)))
